@@ -10,7 +10,8 @@ from newsloom.functions.util import let
 
 CODE_OR_COMMENT = r"(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>"
 LD_SCRIPT = r"""(?i)^<script\b[^>]*\btype\s*=\s*["']?[^"'>]*application/ld\+json"""
-MAX_DEPTH = 8
+OBJECT, LIST = r"^\s*\{", r"^\s*\["
+MAX_DEPTH = 6
 
 
 def ld_blocks(html: Column) -> Column:
@@ -30,62 +31,54 @@ def _readable(text: Column) -> Column:
 
 def json_object(text: Column) -> Column:
     """map<string,string> of a JSON object, null when the text is not one."""
-    return F.when(
-        text.rlike(r"^\s*\{"),
-        F.coalesce(
-            F.from_json(text, "map<string,string>"),
-            F.from_json(_readable(text), "map<string,string>"),
-        ),
-    )
+    return F.when(text.rlike(OBJECT), F.from_json(text, "map<string,string>"))
+
+
+def _parsed(text: Column, kind: str) -> Column:
+    return F.coalesce(F.from_json(text, kind), F.from_json(_readable(text), kind))
 
 
 def json_objects(text: Column) -> Column:
     """Objects of a block as JSON texts: the one object, or those of a top-level list."""
-    items = F.coalesce(
-        F.from_json(text, "array<string>"), F.from_json(_readable(text), "array<string>")
-    )
-    parts = F.when(text.rlike(r"^\s*\["), items).when(text.rlike(r"^\s*\{"), F.array(text))
-    return F.filter(
-        F.coalesce(parts, F.array().cast("array<string>")), lambda o: json_object(o).isNotNull()
+    one = F.when(F.from_json(text, "map<string,string>").isNotNull(), F.array(text)).when(
+        F.from_json(_readable(text), "map<string,string>").isNotNull(), F.array(_readable(text))
     )
+    many = F.filter(_parsed(text, "array<string>"), lambda o: json_object(o).isNotNull())
+    parts = F.when(text.rlike(OBJECT), one).when(text.rlike(LIST), many)
+    return F.coalesce(parts, F.array().cast("array<string>"))
 
 
 def valid_blocks(blocks: Column) -> Column:
     """Blocks that parse as an object or a list."""
     return F.filter(
         blocks,
-        lambda b: json_object(b).isNotNull()
-        | (b.rlike(r"^\s*\[")
-           & F.coalesce(F.from_json(b, "array<string>"),
-                        F.from_json(_readable(b), "array<string>")).isNotNull()),
+        lambda b: F.when(b.rlike(OBJECT), _parsed(b, "map<string,string>").isNotNull())
+        .when(b.rlike(LIST), _parsed(b, "array<string>").isNotNull())
+        .otherwise(False),
     )
 
 
 def _entries(text: Column) -> Column:
-    """Entries of an object in key order; of equal keys the last value counts."""
+    """Entries of an object in key order, null for another text.
+
+    Of equal keys the first place and the last value count.
+    """
 
     def distinct(m: Column) -> Column:
         keys = F.array_distinct(F.map_keys(m))
-        return F.when(
-            F.size(keys) == F.size(m),
-            F.transform(
-                F.map_entries(m),
-                lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")),
-            ),
-        ).otherwise(
+        return F.when(F.size(keys) == F.size(m), F.map_entries(m)).otherwise(
             F.transform(
                 keys,
                 lambda k: F.struct(
                     k.alias("key"),
-                    F.element_at(
-                        F.filter(F.map_entries(m), lambda e: e["key"] == k), -1
-                    )["value"].alias("value"),
+                    F.element_at(F.filter(F.map_entries(m), lambda e: e["key"] == k), -1)[
+                        "value"
+                    ].alias("value"),
                 ),
             )
         )
 
-    empty = F.array().cast("array<struct<key:string,value:string>>")
-    return F.coalesce(let(json_object(text), distinct), empty)
+    return let(F.from_json(text, "map<string,string>"), distinct)
 
 
 def _leaf(block, item, path, key, value, depth, parent, is_open) -> Column:
@@ -96,18 +89,15 @@ def _leaf(block, item, path, key, value, depth, parent, is_open) -> Column:
     )
 
 
-def _is_object(value: Column) -> Column:
-    return F.coalesce(json_object(value).isNotNull(), F.lit(False))
-
-
 def _children(block: Column, item: Column, path: Column | None, depth: Column,
-              text: Column) -> Column:
+              entries: Column) -> Column:
     return F.transform(
-        _entries(text),
+        entries,
         lambda e: _leaf(
             block, item,
             e["key"] if path is None else F.concat(path, F.lit("."), e["key"]),
-            e["key"], e["value"], depth, F.lit(False), _is_object(e["value"]),
+            e["key"], e["value"], depth, F.lit(False),
+            F.coalesce(e["value"].rlike(OBJECT), F.lit(False)),
         ),
     )
 
@@ -125,18 +115,23 @@ def json_leaves(blocks: Column) -> Column:
             blocks,
             lambda b, i: F.flatten(
                 F.transform(
-                    json_objects(b), lambda o, j: _children(i, j, None, F.lit(0), o)
+                    json_objects(b),
+                    lambda o, j: _children(i, j, None, F.lit(0), _entries(o)),
                 )
             ),
         )
     )
 
+    def with_parent(x: Column, entries: Column) -> Column:
+        names = F.array_join(F.transform(entries, lambda e: e["key"]), ",")
+        own = _leaf(x["block"], x["item"], x["path"], x["key"], F.coalesce(names, x["value"]),
+                    x["depth"], entries.isNotNull(), F.lit(False))
+        inside = _children(x["block"], x["item"], x["path"], x["depth"] + 1, entries)
+        return F.when(entries.isNull(), F.array(own)).otherwise(F.concat(inside, F.array(own)))
+
     def open_up(x: Column) -> Column:
-        inside = _children(x["block"], x["item"], x["path"], x["depth"] + 1, x["value"])
-        names = F.array_join(F.transform(_entries(x["value"]), lambda e: e["key"]), ",")
-        own = _leaf(x["block"], x["item"], x["path"], x["key"], names, x["depth"],
-                    F.lit(True), F.lit(False))
-        return F.when(x["open"], F.concat(inside, F.array(own))).otherwise(F.array(x))
+        opened = let(_entries(x["value"]), lambda e: with_parent(x, e))
+        return F.when(x["open"], opened).otherwise(F.array(x))
 
     for _ in range(MAX_DEPTH):
         rows = let(
@@ -171,7 +166,7 @@ _STATE = (
 def _topics_of(value: Column) -> Column:
     """Topic list of a JSON value: a text, or a list of texts."""
     items = F.from_json(value, "array<string>")
-    cleaned = F.when(value.rlike(r"^\s*\[") & items.isNotNull(), clean_topic_array(items))
+    cleaned = F.when(value.rlike(LIST) & items.isNotNull(), clean_topic_array(items))
     return F.nullif(F.coalesce(cleaned, clean_topics(value)), F.lit(""))
 
 

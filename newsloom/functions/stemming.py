@@ -1,7 +1,8 @@
 """Spanish word stems by the published Snowball rules, as Spark expressions.
 
-Each step is one projection over the word column, so a stem needs no Python
-worker and no shuffle. Regions R1, R2 and RV are kept as start positions.
+Each step binds the state of the one before, so a stem is one expression of
+modest size: no Python worker, no shuffle. The regions R1, R2 and RV are kept
+as start positions.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.util import let
+
 # ---- fixed values: begin (suffix classes of the published Spanish rules) ---
 VOWELS = "aeiouáéíóúü"
 PRONOUNS = "selas|selos|sela|selo|las|les|los|nos|me|se|la|le|lo"
@@ -58,79 +61,105 @@ def _from(word: Column, start: Column) -> Column:
     return F.substring(word, start + 1, F.length(word))
 
 
-def with_stem(df: DataFrame, word: str, out: str) -> DataFrame:
-    """Add the Spanish stem of column ``word`` as column ``out``."""
-    c = F.col
-    keep = [F.col(f"`{n}`") for n in df.columns if n != out]
-
-    def also(frame: DataFrame, **columns: Column) -> DataFrame:
-        return frame.select("*", *[v.alias(k) for k, v in columns.items()])
-
-    def with_word(frame: DataFrame, new: Column, *extra: str) -> DataFrame:
-        return frame.select(*keep, "_p1", "_p2", "_pv", *extra, new.alias("_w"))
-
-    d = df.select(*keep, F.lower(c(word)).alias("_w"))
-    d = also(d, _r1=F.regexp_extract("_w", REGION_AFTER_VOWEL_CONSONANT, 1))
-    d = also(
-        d,
-        _p1=F.length("_w") - F.length("_r1"),
-        _p2=F.length("_w") - F.length(F.regexp_extract("_r1", REGION_AFTER_VOWEL_CONSONANT, 1)),
-        _pv=F.length("_w") - F.length(F.regexp_extract("_w", REGION_RV, 1)),
+def _state(word: Column, state: Column, done: Column | None = None) -> Column:
+    """Next state: a new word, the same regions."""
+    return F.struct(
+        word.alias("w"), state["p1"].alias("p1"), state["p2"].alias("p2"),
+        state["pv"].alias("pv"), (state["done"] if done is None else done).alias("done"),
     )
 
-    # Attached pronoun.
-    d = also(d, _s=_end(_from(c("_w"), c("_pv")), PRONOUNS))
-    d = also(d, _b=_cut(c("_w"), c("_s")))
-    before = _from(c("_b"), c("_pv"))
-    attached = before.rlike(rf"(?:{PRONOUN_AFTER})\z") | (
-        before.endswith("yendo") & c("_b").endswith("uyendo")
-    )
-    d = with_word(
-        d, F.when((c("_s") != "") & attached, _unaccent(c("_b"))).otherwise(c("_w"))
-    )
 
-    # Standard suffix.
-    d = also(d, _s=_end(c("_w"), STANDARD))
-    d = also(
-        d,
-        _b=_cut(c("_w"), c("_s")),
-        _done=F.when(c("_s") == "amente", c("_p1") + 6 <= F.length("_w"))
-        .when(c("_s") != "", c("_p2") + F.length("_s") <= F.length("_w"))
-        .otherwise(False),
-    )
-    rest = _from(c("_b"), c("_p2"))
-    further = (
-        F.when(c("_s") == "amente", _end(rest, "ativ|iv|os|ic|ad"))
-        .when(c("_s").isin(*ACTION), _end(rest, "ic"))
-        .when(c("_s") == "mente", _end(rest, "ante|able|ible"))
-        .when(c("_s").isin("idad", "idades"), _end(rest, "abil|ic|iv"))
-        .when(c("_s").isin("iva", "ivo", "ivas", "ivos"), _end(rest, "at"))
-        .otherwise("")
+def _regions(word: Column) -> Column:
+    """Start state: the word and where its regions begin."""
+    r1 = F.regexp_extract(word, REGION_AFTER_VOWEL_CONSONANT, 1)
+    r2 = F.regexp_extract(r1, REGION_AFTER_VOWEL_CONSONANT, 1)
+    rv = F.regexp_extract(word, REGION_RV, 1)
+    size = F.length(word)
+    return F.struct(
+        word.alias("w"), (size - F.length(r1)).alias("p1"), (size - F.length(r2)).alias("p2"),
+        (size - F.length(rv)).alias("pv"), F.lit(False).alias("done"),
     )
-    standard = (
-        F.when(c("_s").isin("logía", "logías"), F.concat("_b", F.lit("log")))
-        .when(c("_s").isin("ución", "uciones"), F.concat("_b", F.lit("u")))
-        .when(c("_s").isin("encia", "encias"), F.concat("_b", F.lit("ente")))
-        .otherwise(_cut(c("_b"), further))
-    )
-    d = with_word(d, F.when(c("_done"), standard).otherwise(c("_w")), "_done")
-
-    # Verb suffixes, only where no standard suffix went.
-    d = also(d, _s=F.regexp_extract("_w", rf"u({Y_VERBS})\z", 1))
-    y_verb = ~c("_done") & (c("_pv") + F.length("_s") <= F.length("_w"))
-    d = with_word(d, F.when(y_verb, _cut(c("_w"), c("_s"))).otherwise(c("_w")), "_done")
-    d = also(d, _s=F.when(c("_done"), "").otherwise(_end(_from(c("_w"), c("_pv")), VERBS)))
-    d = also(d, _b=_cut(c("_w"), c("_s")))
-    soft = c("_s").isin("en", "es", "éis", "emos") & c("_b").endswith("gu")
-    d = with_word(d, F.when(soft, _cut(c("_b"), F.lit("u"))).otherwise(c("_b")))
-
-    # Residual suffix.
-    d = also(d, _s=_end(_from(c("_w"), c("_pv")), RESIDUAL))
-    d = also(d, _b=_cut(c("_w"), c("_s")))
-    soft = (
-        c("_s").isin("e", "é")
-        & c("_b").endswith("gu")
-        & (c("_pv") + 1 <= F.length("_b"))
+
+
+def _attached_pronoun(x: Column) -> Column:
+    suffix = _end(_from(x["w"], x["pv"]), PRONOUNS)
+
+    def apply(y: Column) -> Column:
+        base = _cut(x["w"], y)
+        before = _from(base, x["pv"])
+        attached = before.rlike(rf"(?:{PRONOUN_AFTER})\z") | (
+            before.endswith("yendo") & base.endswith("uyendo")
+        )
+        return _state(F.when((y != "") & attached, _unaccent(base)).otherwise(x["w"]), x)
+
+    return let(suffix, apply)
+
+
+def _standard_suffix(x: Column) -> Column:
+    def apply(y: Column) -> Column:
+        base = _cut(x["w"], y)
+        size = F.length(x["w"])
+        done = (
+            F.when(y == "amente", x["p1"] + 6 <= size)
+            .when(y != "", x["p2"] + F.length(y) <= size)
+            .otherwise(False)
+        )
+        rest = _from(base, x["p2"])
+        further = (
+            F.when(y == "amente", _end(rest, "ativ|iv|os|ic|ad"))
+            .when(y.isin(*ACTION), _end(rest, "ic"))
+            .when(y == "mente", _end(rest, "ante|able|ible"))
+            .when(y.isin("idad", "idades"), _end(rest, "abil|ic|iv"))
+            .when(y.isin("iva", "ivo", "ivas", "ivos"), _end(rest, "at"))
+            .otherwise("")
+        )
+        short = (
+            F.when(y.isin("logía", "logías"), F.concat(base, F.lit("log")))
+            .when(y.isin("ución", "uciones"), F.concat(base, F.lit("u")))
+            .when(y.isin("encia", "encias"), F.concat(base, F.lit("ente")))
+            .otherwise(_cut(base, further))
+        )
+        return let(done, lambda d: _state(F.when(d, short).otherwise(x["w"]), x, d))
+
+    return let(_end(x["w"], STANDARD), apply)
+
+
+def _y_verb(x: Column) -> Column:
+    def apply(y: Column) -> Column:
+        inside = x["pv"] + F.length(y) <= F.length(x["w"])
+        return _state(F.when(inside, _cut(x["w"], y)).otherwise(x["w"]), x)
+
+    return F.when(x["done"], x).otherwise(
+        let(F.regexp_extract(x["w"], rf"u({Y_VERBS})\z", 1), apply)
     )
-    stem = _unaccent(F.when(soft, _cut(c("_b"), F.lit("u"))).otherwise(c("_b")))
-    return d.select(*keep, stem.alias(out))
+
+
+def _verb(x: Column) -> Column:
+    def apply(y: Column) -> Column:
+        base = _cut(x["w"], y)
+        soft = y.isin("en", "es", "éis", "emos") & base.endswith("gu")
+        return _state(F.when(soft, _cut(base, F.lit("u"))).otherwise(base), x)
+
+    return F.when(x["done"], x).otherwise(let(_end(_from(x["w"], x["pv"]), VERBS), apply))
+
+
+def _residual(x: Column) -> Column:
+    def apply(y: Column) -> Column:
+        base = _cut(x["w"], y)
+        soft = y.isin("e", "é") & base.endswith("gu") & (x["pv"] + 1 <= F.length(base))
+        return _unaccent(F.when(soft, _cut(base, F.lit("u"))).otherwise(base))
+
+    return let(_end(_from(x["w"], x["pv"]), RESIDUAL), apply)
+
+
+def stem(word: Column) -> Column:
+    """Spanish stem of a word."""
+    state = let(F.lower(word), _regions)
+    for step in (_attached_pronoun, _standard_suffix, _y_verb, _verb, _residual):
+        state = let(state, step)
+    return state
+
+
+def with_stem(df: DataFrame, word: str, out: str) -> DataFrame:
+    """Add the Spanish stem of column ``word`` as column ``out``."""
+    return df.withColumn(out, stem(F.col(word)))

@@ -54,16 +54,18 @@ def strip_www(name: Column) -> Column:
 
 def section_canonical(href: Column, page_url: Column) -> Column:
     """Lower-case absolute section url without fragment, closed by a slash."""
-    link = F.lower(href)
     page_origin = F.array_join(F.slice(F.split(page_url, "/"), 1, 3), "/")
-    full = (
-        F.when(link.startswith("//"), F.concat(F.lit("https:"), link))
-        .when(link.startswith("/"), F.concat(page_origin, link))
-        .when(link.startswith("www."), F.concat(F.lit("https://"), link))
-        .otherwise(link)
-    )
-    bare = F.substring_index(full, "#", 1)
-    return F.when(bare.endswith("/"), bare).otherwise(F.concat(bare, F.lit("/")))
+
+    def full(link: Column) -> Column:
+        return (
+            F.when(link.startswith("//"), F.concat(F.lit("https:"), link))
+            .when(link.startswith("/"), F.concat(page_origin, link))
+            .when(link.startswith("www."), F.concat(F.lit("https://"), link))
+            .otherwise(link)
+        )
+
+    bare = F.substring_index(let(F.lower(href), full), "#", 1)
+    return F.concat(F.regexp_replace(bare, r"/\z", ""), F.lit("/"))
 
 
 # ---- parts -----------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Same rows, but filters on them are not pushed below.
+
+    A filter on a computed column is otherwise copied under the projections
+    that compute it, column in column; with deep projections the copies grow
+    without bound. A generator that makes one row per row stops that, and the
+    columns are computed once.
+    """
+    return df.select(F.inline(F.array(F.struct("*"))))
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import dates, fixed, html, jsonld, text
-from newsloom.functions.util import blank, first_where
+from newsloom.functions.util import blank, first_where, settle
 
 Summariser = Callable[[Column], Column]
 
@@ -194,7 +194,7 @@ def article_outcomes(
         F.when(good, c("_summary.body")).alias("body"),
         F.when(good, c("_summary.n_tokens")).alias("n_tokens"),
     )
-    return out
+    return settle(out)
 
 
 def article_columns(outcomes: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from newsloom.functions.stemming import with_stem
 from newsloom.operators.skew import (
     attach_by_key, collect_in_chunks, count_per_key, keep_matching_keys, with_count,
 )
+from newsloom.sources.workspace import write_through
 
 RANKING_COLUMNS = ("media", "domain", "overall", "country", "region", "language")
 
@@ -87,10 +88,15 @@ def topic_substring_semi(sections: DataFrame, stems: DataFrame) -> DataFrame:
     lengths = stems.agg(
         F.min(F.length("topic_stem")).alias("lo"), F.max(F.length("topic_stem")).alias("hi")
     )
-    lo, hi = lengths.select("lo").scalar(), lengths.select("hi").scalar()
     size = F.length("topic")
-    top = F.least(hi, size)
-    sizes = F.when(lo <= top, F.sequence(lo, top)).otherwise(F.array().cast("array<int>"))
+    topics = sections.select("topic").filter("topic IS NOT NULL").distinct().select(
+        "topic",
+        lengths.select("lo").scalar().alias("lo"),
+        F.least(lengths.select("hi").scalar(), size).alias("hi"),
+    )
+    sizes = F.when(F.col("lo") <= F.col("hi"), F.sequence("lo", "hi")).otherwise(
+        F.array().cast("array<int>")
+    )
     pieces = F.array_distinct(
         F.flatten(
             F.transform(
@@ -102,8 +108,7 @@ def topic_substring_semi(sections: DataFrame, stems: DataFrame) -> DataFrame:
         )
     )
     matching = (
-        sections.select("topic").distinct()
-        .select("topic", F.explode(pieces).alias("topic_stem"))
+        topics.select("topic", F.explode(pieces).alias("topic_stem"))
         .join(stems.select("topic_stem"), "topic_stem", "left_semi")
         .select("topic").distinct()
     )
@@ -112,19 +117,17 @@ def topic_substring_semi(sections: DataFrame, stems: DataFrame) -> DataFrame:
 
 # ---- normalisation and scores ------------------------------------------------
 
-def minmax(value: Column, rows: DataFrame, source: Column) -> Column:
-    """(value - min) / (max - min) over all ``rows``; null where all are equal.
+def minmax_normalise(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """Add (x - min) / (max - min) over all rows; null where all are equal.
 
     The bounds come from a one-row scalar subquery, not from a global window.
     """
-    lo = rows.agg(F.min(source)).scalar()
-    hi = rows.agg(F.max(source)).scalar()
-    return (value - lo) / F.nullif(hi - lo, F.lit(0))
-
-
-def minmax_normalise(rows: DataFrame, column: str, out: str) -> DataFrame:
     value = F.col(column).cast("double")
-    return rows.withColumn(out, minmax(value, rows, value))
+    bounds = rows.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+    spread = F.nullif(F.col("_b.hi") - F.col("_b.lo"), F.lit(0))
+    return rows.withColumn("_b", bounds).withColumn(
+        out, (value - F.col("_b.lo")) / spread
+    ).drop("_b")
 
 
 def euclid_norm(*parts: Column) -> Column:
@@ -140,13 +143,17 @@ def score_sections(sections: DataFrame, ranking: DataFrame) -> DataFrame:
 
     Both sides are matched without ``www.`` and slashes; a domain that is
     ranked twice gives two rows. The score joins the normalised ranking value
-    with the topic count.
+    with the topic count. The joined rows are written once, since the bounds and
+    the scores both read them.
     """
     left = sections.withColumn("_d", urls.strip_www(F.col("domain"))).dropna("any")
     right = ranking.select(
         urls.strip_www(F.substring_index("domain", "|", 1)).alias("_d"), "overall"
     )
-    joined = left.join(right, "_d").select("domain", "url", "topic", "topic_score", "overall")
+    joined = write_through(
+        left.join(right, "_d").select("domain", "url", "topic", "topic_score", "overall"),
+        "ranked",
+    )
     return minmax_normalise(joined, "overall", "_o").select(
         "domain", "url", "topic", "overall",
         euclid_norm(F.col("_o"), F.col("topic_score")).alias("score"),
@@ -166,7 +173,9 @@ def frequency_score(sections: DataFrame, ranking: DataFrame) -> DataFrame:
         attach_frequencies(sections, "topic_stem", "freq_topic"), "domain", "freq_domain"
     )
     right = ranking.select(urls.strip_www(F.col("domain")).alias("_d"), "overall")
-    joined = both.withColumn("_d", urls.strip_www(F.col("domain"))).join(right, "_d")
+    joined = write_through(
+        both.withColumn("_d", urls.strip_www(F.col("domain"))).join(right, "_d"), "ranked"
+    )
     return minmax_normalise(joined, "overall", "_o").select(
         "domain", "url", "topic",
         euclid_norm(F.col("_o"), F.col("freq_domain"), F.col("freq_topic")).alias("score"),

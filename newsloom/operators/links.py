@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import html, urls
+from newsloom.functions.util import settle
 
 
 def page_links(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -85,10 +86,12 @@ def section_candidates(pages: DataFrame) -> DataFrame:
 
 def one_segment_urls(links: DataFrame) -> DataFrame:
     """Urls with exactly one path segment; the segment is the topic."""
-    segments = urls.path_segments(F.col("url"))
+    split = settle(links.withColumn("_segments", urls.path_segments(F.col("url"))))
     return (
-        links.withColumn("topic", urls.topic(F.col("url")))
-        .filter((F.size(segments) == 1) & (F.col("topic") != ""))
+        split.filter(F.size("_segments") == 1)
+        .withColumn("topic", F.get("_segments", F.lit(0)))
+        .filter(F.col("topic") != "")
+        .drop("_segments")
     )
 
 

@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.util import hash32
+from newsloom.sources.workspace import write_through
 
+# A per-key table up to this size (measured) is broadcast.
+BROADCAST_BYTES = 32 * 1024 * 1024
+BYTES_PER_ROW = 48
 # A key with more than 1/HOT_SHARE of the rows is hot, so there are at most
 # HOT_SHARE hot keys whatever the data: the list is safe to broadcast.
 HOT_SHARE = 1000
@@ -17,20 +21,32 @@ CHUNK_ROWS = 10_000
 
 
 def count_per_key(rows: DataFrame, key: str, out: str) -> DataFrame:
-    """Rows per key; combined map-side, so a hot key costs one row per task."""
-    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(out))
+    """Rows per non-null key; combined map-side, so a hot key costs one row per task.
+
+    Null keys are left out by their count: a filter on the key itself would be
+    pushed down and compute a derived key twice.
+    """
+    return rows.groupBy(key).agg(F.count(key).alias(out)).filter(F.col(out) > 0)
 
 
-def attach_by_key(rows: DataFrame, per_key: DataFrame, key: str, weight: str) -> DataFrame:
+def attach_by_key(rows: DataFrame, per_key: DataFrame, key: str, weight: str,
+                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Left join of ``rows`` with a table that has one row per key.
 
     ``weight`` is the column of ``per_key`` with the number of rows of the key.
-    Hot keys are split: their rows go to HOT_PARTS parts by the number of the
-    map task (the same again if the task is retried), their row of ``per_key``
-    to each part. Rows without a key are spread in the same way.
+    The per-key table is written once and measured. A small one is broadcast,
+    so the rows stay where they are. For a large one hot keys are split: their
+    rows go to HOT_PARTS parts by the number of the map task (the same again if
+    the task is retried), their row of ``per_key`` to each part. Rows without a
+    key are spread in the same way.
     """
-    total = per_key.agg(F.sum(weight)).scalar()
-    is_hot = F.col(weight) * HOT_SHARE > total
+    per_key = write_through(per_key, "per-key")
+    n, size, total = per_key.agg(
+        F.count("*"), F.sum(F.octet_length(F.col(key).cast("string"))), F.sum(weight)
+    ).first()
+    if (size or 0) + n * BYTES_PER_ROW <= broadcast_bytes:
+        return rows.join(F.broadcast(per_key), key, "left")
+    is_hot = F.col(weight) * HOT_SHARE > F.lit(total)
     hot = per_key.filter(is_hot).select(key, F.lit(True).alias("_hot"))
     part = F.spark_partition_id() % HOT_PARTS
     spread = F.col("_hot").isNotNull() | F.col(key).isNull()

@@ -67,12 +67,12 @@ def attach_frequencies(spark, sf):
 t AS (SELECT topic, count(*) AS n FROM sections_fx GROUP BY topic),
 d AS (SELECT domain, count(*) AS n FROM sections_fx GROUP BY domain),
 j AS (SELECT s.url, s.topic, s.domain, r.overall,
-  (t.n - (SELECT min(n) FROM t)) / CAST((SELECT max(n) - min(n) FROM t) AS DOUBLE) AS ft,
-  (d.n - (SELECT min(n) FROM d)) / CAST((SELECT max(n) - min(n) FROM d) AS DOUBLE) AS fd
+  (t.n - (SELECT min(n) FROM t)) / CAST(nullif((SELECT max(n) - min(n) FROM t), 0) AS DOUBLE) AS ft,
+  (d.n - (SELECT min(n) FROM d)) / CAST(nullif((SELECT max(n) - min(n) FROM d), 0) AS DOUBLE) AS fd
   FROM sections_fx s JOIN t ON s.topic = t.topic JOIN d ON s.domain = d.domain
   JOIN ranking_fx r ON regexp_replace(s.domain, '^www\\.', '') = r.domain)
-SELECT domain, url, topic, round(sqrt(ft * ft + fd * fd + power((overall - (SELECT min(overall) FROM j)) /
-  (SELECT max(overall) - min(overall) FROM j), 2)), 6) AS score FROM j""")
+SELECT domain, url, topic, round(sqrt(coalesce(ft * ft, 0) + coalesce(fd * fd, 0) + coalesce(power((overall - (SELECT min(overall) FROM j)) /
+  nullif((SELECT max(overall) - min(overall) FROM j), 0), 2), 0)), 6) AS score FROM j""")
 def frequency_score(spark, sf):
     scored = catalog.frequency_score(sections(spark, sf), ranking(spark, sf))
     return scored.withColumn("score", F.round("score", 6))
@@ -162,14 +162,14 @@ def frequent_topics(spark, sf):
 
 
 @query("domain_records", f"""{SR},{SCORED},
-f AS (SELECT domain, url, topic, round(score, 6) AS score, count(*) AS copies FROM scored GROUP BY ALL)
+f AS (SELECT domain, url, topic, score, count(*) AS copies FROM scored GROUP BY ALL)
 SELECT domain, CAST(0 AS BIGINT) AS chunk,
-  string_agg(url || ' ' || topic || ' ' || CAST(CAST(round(score * 1000) AS BIGINT) AS VARCHAR) || ' ' || CAST(copies AS VARCHAR), '|' ORDER BY url, topic, score) AS records
+  string_agg(url || ' ' || topic || ' ' || CAST(CAST(round(score * 1000000) AS BIGINT) AS VARCHAR) || ' ' || CAST(copies AS VARCHAR), '|' ORDER BY url, topic, score) AS records
 FROM f GROUP BY domain""")
 def domain_records(spark, sf):
     records = catalog.domain_records(scored_sections(spark, sf))
     one = lambda r: F.concat_ws(
-        " ", r["url"], r["topic"], F.round(r["score"] * 1000).cast("bigint").cast("string"),
+        " ", r["url"], r["topic"], F.round(r["score"] * 1000000).cast("bigint").cast("string"),
         r["copies"].cast("string"))
     return records.select(
         "domain", "chunk", F.array_join(F.transform("records", one), "|").alias("records"))

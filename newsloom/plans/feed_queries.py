@@ -173,11 +173,11 @@ def summary_request(spark, sf):
 
 
 @query("summarizer", """
-SELECT doc_id, upper(text) AS body, CAST(len(string_split(text, ' ')) AS INT) AS n_tokens FROM documents""")
+SELECT doc_id, 'Summary: ' || text AS body, CAST(len(string_split(text, ' ')) AS INT) AS n_tokens FROM documents""")
 def summarizer(spark, sf):
     """A summariser of the user's own in place of the identity."""
 
     def own(body):
-        return F.struct(F.upper(body).alias("body"), F.size(F.split(body, " ")).alias("n_tokens"))
+        return F.struct(F.concat(F.lit("Summary: "), body).alias("body"), F.size(F.split(body, " ")).alias("n_tokens"))
 
     return table(spark, sf, "documents").select("doc_id", own(c("text")).alias("s")).select("doc_id", "s.*")
