@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import clean_topic_array, clean_topics, strip_tags
-from newsloom.functions.util import let
 
 CODE_OR_COMMENT = r"(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>"
 LD_SCRIPT = r"""(?i)^<script\b[^>]*\btype\s*=\s*["']?[^"'>]*application/ld\+json"""
@@ -58,89 +57,49 @@ def valid_blocks(blocks: Column) -> Column:
     )
 
 
-def _entries(text: Column) -> Column:
-    """Entries of an object in key order, null for another text.
+def block_objects(blocks: Column) -> Column:
+    """array<array<string>>: the objects of each block."""
+    return F.transform(blocks, json_objects)
 
-    Of equal keys the first place and the last value count.
-    """
-
-    def distinct(m: Column) -> Column:
-        keys = F.array_distinct(F.map_keys(m))
-        return F.when(F.size(keys) == F.size(m), F.map_entries(m)).otherwise(
-            F.transform(
-                keys,
-                lambda k: F.struct(
-                    k.alias("key"),
-                    F.element_at(F.filter(F.map_entries(m), lambda e: e["key"] == k), -1)[
-                        "value"
-                    ].alias("value"),
-                ),
-            )
-        )
 
-    return let(F.from_json(text, "map<string,string>"), distinct)
+# The rows below are SQL text: one nested expression per level, parsed in one go.
 
-
-def _leaf(block, item, path, key, value, depth, parent, is_open) -> Column:
-    return F.struct(
-        block.alias("block"), item.alias("item"), path.alias("path"), key.alias("key"),
-        value.alias("value"), depth.alias("depth"), parent.alias("parent"),
-        is_open.alias("open"),
-    )
+def _entries(text: str) -> str:
+    """Entries of an object in key order (of equal keys: first place, last value)."""
+    return f"""transform(array(from_json({text}, 'map<string,string>')), m ->
+      CASE WHEN size(array_distinct(map_keys(m))) = size(m) THEN map_entries(m)
+      ELSE transform(array_distinct(map_keys(m)), k -> named_struct('key', k, 'value',
+        element_at(filter(map_entries(m), d -> d.key = k), -1).value)) END)[0]"""
 
 
-def _children(block: Column, item: Column, path: Column | None, depth: Column,
-              entries: Column) -> Column:
-    return F.transform(
-        entries,
-        lambda e: _leaf(
-            block, item,
-            e["key"] if path is None else F.concat(path, F.lit("."), e["key"]),
-            e["key"], e["value"], depth, F.lit(False),
-            F.coalesce(e["value"].rlike(OBJECT), F.lit(False)),
-        ),
-    )
+def _rows(entries: str, block: str, item: str, path: str, depth: str) -> str:
+    return f"""transform({entries}, e -> named_struct('block', {block}, 'item', {item},
+      'path', {path}e.key, 'key', e.key, 'value', e.value, 'depth', {depth}, 'parent', false,
+      'open', coalesce(startswith(e.value, '{{'), false)))"""
 
 
-def json_leaves(blocks: Column) -> Column:
-    """Key/value rows of nested objects, depth first.
+def json_leaves(objects: str) -> Column:
+    """Key/value rows of nested objects, depth first, from the column ``objects``.
 
-    The rows of a nested object come before the row of its own key; that row
-    (``parent`` true) holds the names of the child keys. Lists are not entered.
-    Each pass opens one more level, ``MAX_DEPTH`` levels in all; an object below
-    that stays one row with its JSON text, so nothing is lost.
+    ``objects`` names a column made by ``block_objects``. The rows of a nested
+    object come before the row of its own key; that row (``parent`` true) holds
+    the names of the child keys. Lists are not entered. Each pass opens one more
+    level, ``MAX_DEPTH`` levels in all; an object below that stays one row with
+    its JSON text, so nothing is lost.
     """
-    rows = F.flatten(
-        F.transform(
-            blocks,
-            lambda b, i: F.flatten(
-                F.transform(
-                    json_objects(b),
-                    lambda o, j: _children(i, j, None, F.lit(0), _entries(o)),
-                )
-            ),
-        )
-    )
-
-    def with_parent(x: Column, entries: Column) -> Column:
-        names = F.array_join(F.transform(entries, lambda e: e["key"]), ",")
-        own = _leaf(x["block"], x["item"], x["path"], x["key"], F.coalesce(names, x["value"]),
-                    x["depth"], entries.isNotNull(), F.lit(False))
-        inside = _children(x["block"], x["item"], x["path"], x["depth"] + 1, entries)
-        return F.when(entries.isNull(), F.array(own)).otherwise(F.concat(inside, F.array(own)))
-
-    def open_up(x: Column) -> Column:
-        opened = let(_entries(x["value"]), lambda e: with_parent(x, e))
-        return F.when(x["open"], opened).otherwise(F.array(x))
-
+    rows = f"""flatten(transform({objects}, (b, i) -> flatten(transform(b, (o, j) ->
+      {_rows(_entries('o'), 'i', 'j', '', '0')}))))"""
+    inside = _rows("c", "x.block", "x.item", "x.path || '.' || ", "x.depth + 1")
+    own = """array(named_struct('block', x.block, 'item', x.item, 'path', x.path, 'key', x.key,
+      'value', coalesce(array_join(transform(c, n -> n.key), ','), x.value), 'depth', x.depth,
+      'parent', c IS NOT NULL, 'open', false))"""
+    opened = f"""transform(array({_entries('x.value')}), c ->
+      CASE WHEN c IS NULL THEN {own} ELSE concat({inside}, {own}) END)[0]"""
     for _ in range(MAX_DEPTH):
-        rows = let(
-            rows,
-            lambda r: F.when(
-                F.exists(r, lambda x: x["open"]), F.flatten(F.transform(r, open_up))
-            ).otherwise(r),
-        )
-    return rows
+        rows = f"""transform(array({rows}), r -> CASE WHEN exists(r, y -> y.open)
+          THEN flatten(transform(r, x -> CASE WHEN x.open THEN {opened} ELSE array(x) END))
+          ELSE r END)[0]"""
+    return F.expr(rows)
 
 
 def json_depth(leaves: Column) -> Column:
@@ -236,5 +195,11 @@ def article_fields(leaves: Column, only_body: bool = True) -> Column:
     return F.aggregate(leaves, start, step, finish)
 
 
-def page_fields(html: Column, only_body: bool = True) -> Column:
-    return article_fields(json_leaves(ld_blocks(html)), only_body)
+def with_article_fields(df: DataFrame, html: Column, out: str, only_body: bool = True) -> DataFrame:
+    """Add the JSON-LD article fields of a page as struct ``out`` (null without an article)."""
+    columns = df.columns
+    return (
+        df.select("*", block_objects(ld_blocks(html)).alias("_objects"))
+        .select(*columns, json_leaves("_objects").alias("_leaves"))
+        .select(*columns, article_fields(F.col("_leaves"), only_body).alias(out))
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -51,7 +52,7 @@ _ENTITY_PIECE = r"&#[0-9]{1,7};?|&#[xX][0-9a-fA-F]{1,6};?|&[a-zA-Z][a-zA-Z0-9]*;
 def _entity_names() -> Column:
     # The HTML 4 names come with Python; "apos" is the one XML adds.
     names = {**{n: chr(c) for n, c in name2codepoint.items()}, "apos": "'"}
-    return F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
+    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
 
 
 def _code_point(number: Column) -> Column:

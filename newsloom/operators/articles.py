@@ -107,9 +107,8 @@ def page_jsonld_fields(
 ) -> DataFrame:
     """JSON-LD fields of each page (null where the page has no article block)."""
     wanted = ("body",) if only_body else jsonld.FIELDS
-    return pages.select(
-        *keep, jsonld.page_fields(F.col("html"), only_body).alias("_f")
-    ).select(*keep, *[F.col(f"_f.{f}").alias(f) for f in wanted])
+    found = jsonld.with_article_fields(pages, F.col("html"), "_f", only_body)
+    return found.select(*keep, *[F.col(f"_f.{f}").alias(f) for f in wanted])
 
 
 def paragraph_body(pages: DataFrame, keep: tuple[str, ...] = ("page_id",),
@@ -153,12 +152,13 @@ def article_outcomes(
             .otherwise(freshness_gate(c("_published"), as_of)).alias("_gate"),
         )
     )
-    parsed = gated.select(
-        *base, "_gate", "_markup",
-        F.when(
-            passed, html.meta_candidates(c("_head"), html.named_tags(html.after_head(c("_markup"))))
-        ).alias("_metas"),
-        F.when(passed, jsonld.page_fields(c("html"), jsonld_only_body)).alias("_ld"),
+    metas = html.meta_candidates(c("_head"), html.named_tags(html.after_head(c("_markup"))))
+    parsed = jsonld.with_article_fields(
+        gated.select(
+            *base, "_gate", "_markup", F.when(passed, c("html")).alias("_article"),
+            F.when(passed, metas).alias("_metas"),
+        ),
+        c("_article"), "_ld", jsonld_only_body,
     )
     from_meta = meta_fields(c("_metas"))
 

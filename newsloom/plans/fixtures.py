@@ -209,6 +209,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Rows of a recipe over the tables of ``sf_dir``."""
+    sql = f"{cte(name)} SELECT * FROM {name}"
     for t in TABLES:
-        table(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(f"{cte(name)} SELECT * FROM {name}")
+        if re.search(rf"(FROM|JOIN) {t}\b", sql):
+            table(spark, sf_dir, t).createOrReplaceTempView(t)
+    return spark.sql(sql)

@@ -91,7 +91,14 @@ def garbage_by_status(spark, sf):
     return stats.garbage_by_status(links.classify_urls(found))
 
 
-@query("section_candidates")
+BANNED = " OR ".join(f"contains(url, '{b}')" for b in fixed.SECTION_BANNED)
+
+
+@query("section_candidates", f"""WITH {PAGE_HREFS},
+home AS (SELECT string_split(url, '/')[3] AS domain, array_to_string(string_split(url, '/')[1:3], '/') || lower(href) AS link FROM page_hrefs),
+closed AS (SELECT domain, regexp_replace(regexp_replace(link, '#.*$', ''), '/$', '') || '/' AS url FROM home)
+SELECT DISTINCT domain, url FROM closed WHERE NOT (len(string_split(url, '-')) > 2 OR {BANNED}
+  OR regexp_matches(url, '[0-9]{{3}}|[?=%]') OR NOT contains(url, domain))""")
 def section_candidates(spark, sf):
     return links.section_candidates(table(spark, sf, "pages"))
 

@@ -175,10 +175,9 @@ def required_fields_gate(spark, sf):
     """The gate over meta fields and JSON-LD bodies alone."""
     rows = article_pages(spark, sf)
     metas = articles.page_meta_fields(rows, ("page_id", "html"))
-    staged = metas.select(
-        "page_id", "title", "creation_datetime", jsonld.page_fields(c("html"))["body"].alias("body"))
+    staged = jsonld.with_article_fields(metas, c("html"), "ld")
     return staged.select("page_id", articles.required_fields_gate(
-        c("title"), c("creation_datetime"), c("body")).alias("status_code"))
+        c("title"), c("creation_datetime"), c("ld.body")).alias("status_code"))
 
 
 @query("article_record", f"""{A},{RECORDS}

@@ -220,15 +220,18 @@ UNION ALL SELECT event_id + 1000000, 0, 'k', json_extract_string(props, '$.k') F
 def json_leaves(spark, sf):
     blocks = fixture(spark, sf, "json_fx").unionByName(
         table(spark, sf, "events").select((c("event_id") + 1000000).alias("doc_id"), c("props").alias("block")))
-    leaves = jsonld.json_leaves(F.array("block"))
-    return blocks.select("doc_id", F.posexplode(leaves).alias("pos", "leaf")).select(
-        "doc_id", "pos", "leaf.path", "leaf.value")
+    objects = blocks.select("doc_id", jsonld.block_objects(F.array("block")).alias("objects"))
+    return objects.select(
+        "doc_id", F.posexplode(jsonld.json_leaves("objects")).alias("pos", "leaf")
+    ).select("doc_id", "pos", "leaf.path", "leaf.value")
 
 
 @query("json_depth", f"{cte('json_fx')} SELECT doc_id, 2 AS depth FROM json_fx")
 def json_depth(spark, sf):
-    leaves = jsonld.json_leaves(F.array("block"))
-    return fixture(spark, sf, "json_fx").select("doc_id", jsonld.json_depth(leaves).alias("depth"))
+    objects = fixture(spark, sf, "json_fx").select(
+        "doc_id", jsonld.block_objects(F.array("block")).alias("objects"))
+    return objects.select("doc_id", jsonld.json_leaves("objects").alias("leaves")).select(
+        "doc_id", jsonld.json_depth(c("leaves")).alias("depth"))
 
 
 @query("valid_json_blocks", f"""{cte('blocks_fx')}
