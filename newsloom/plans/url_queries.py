@@ -258,10 +258,13 @@ def parse_iso_ts(spark, sf):
 
 
 @query("age_days", f"""{cte('times_fx')},{INSTANT}
-SELECT event_id, round((epoch_us(TIMESTAMPTZ '{AS_OF}') - micros) / 86400000000.0, 6) AS days FROM i""")
+SELECT event_id, CAST(floor((epoch_us(TIMESTAMPTZ '{AS_OF}') - micros) / 86400000000.0) AS BIGINT) AS whole_days,
+  round((epoch_us(TIMESTAMPTZ '{AS_OF}') - micros) / 1000000.0, 3) AS seconds FROM i""")
 def age_days(spark, sf):
     days = dates.age_days(dates.parse_instant(c("published")), dates.instant_literal(AS_OF))
-    return fixture(spark, sf, "times_fx").select("event_id", F.round(days, 6).alias("days"))
+    return fixture(spark, sf, "times_fx").select(
+        "event_id", F.floor(days).alias("whole_days"),
+        F.round(days * dates.SECONDS_PER_DAY, 3).alias("seconds"))
 
 
 @query("insert_time")
