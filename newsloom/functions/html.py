@@ -12,9 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import decode_entities
-from newsloom.functions.util import first_where, let
+from newsloom.functions.util import any_of, first_where, let
 
-HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
+HIDDEN = r"(?is)<(?:!--.*?(?:-->|\z)|(script|style)\b.*?(?:</\1\s*>|\z))"
 BARE_LESS = r"<(?![a-zA-Z/!?])"
 ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 TAG = rf"<(/?[a-zA-Z][^\s/>]*)({ATTRIBUTES})>([^<]*)"
@@ -196,9 +196,9 @@ def first_meta(metas: Column, test) -> Column:
 def element_text(markup: Column, tags: tuple[str, ...] = ("p",)) -> Column:
     """Text inside the given elements, each piece once, in page order.
 
-    The open elements are followed as a stack (innermost first): an end tag
-    closes the nearest open element of its name and all inside it, an end tag
-    without an open element is ignored. So text after an unclosed ``<p>``
+    The open elements are followed as a stack (innermost first, as ``/b/p/body/``):
+    an end tag closes the nearest open element of its name and all inside it, an
+    end tag without an open element is ignored. So text after an unclosed ``<p>``
     belongs to it up to the end of its container. Newline runs are collapsed
     within one element, not across two.
     """
@@ -207,36 +207,34 @@ def element_text(markup: Column, tags: tuple[str, ...] = ("p",)) -> Column:
         F.regexp_extract_all(markup, F.lit(TAG), 3),
         lambda name, text: F.struct(F.lower(name).alias("name"), text.alias("text")),
     )
-    wanted = [F.lit(t) for t in tags]
     start = F.struct(
-        F.array().cast("array<string>").alias("open"),
-        F.array().cast("array<string>").alias("out"),
+        F.lit("/").alias("open"), F.array().cast("array<string>").alias("out")
     )
 
-    def step(state: Column, piece: Column) -> Column:
-        name = piece["name"]
-        closing = name.startswith("/")
-        nearest = F.array_position(state["open"], F.substr(name, F.lit(2)))
-        now_open = (
-            F.when(name.isin(*VOID_TAGS), state["open"])
-            .when(~closing, F.concat(F.array(name), state["open"]))
-            .when(nearest > 0, F.slice(state["open"], nearest.cast("int") + 1,
-                                       F.size(state["open"])))
-            .otherwise(state["open"])
+    def stack_after(stack: Column, name: Column) -> Column:
+        nearest = F.instr(stack, F.concat(name, F.lit("/")))
+        closed = F.when(nearest > 0, F.substr(stack, nearest + F.length(name))).otherwise(stack)
+        return (
+            F.when(name.startswith("/"), closed)
+            .when(name.isin(*VOID_TAGS), stack)
+            .otherwise(F.concat(F.lit("/"), name, stack))
         )
-        text = F.when(
-            name.isin(*wanted), F.concat(F.lit(PARAGRAPH_MARK), piece["text"])
-        ).otherwise(piece["text"])
-        return let(
-            now_open,
-            lambda o: F.struct(
-                o.alias("open"),
+
+    def step(state: Column, piece: Column) -> Column:
+        name, text = piece["name"], piece["text"]
+        marked = F.when(name.isin(*tags), F.concat(F.lit(PARAGRAPH_MARK), text)).otherwise(text)
+
+        def taken(stack: Column) -> Column:
+            inside = any_of(stack.contains(f"/{t}/") for t in tags)
+            return F.struct(
+                stack.alias("open"),
                 F.when(
-                    (text != "") & F.arrays_overlap(o, F.array(*wanted)),
-                    F.concat(state["out"], F.array(text)),
+                    inside & ((text != "") | name.isin(*tags)),
+                    F.concat(state["out"], F.array(marked)),
                 ).otherwise(state["out"]).alias("out"),
-            ),
-        )
+            )
+
+        return let(stack_after(state["open"], name), taken)
 
     joined = F.aggregate(pieces, start, step, lambda s: F.array_join(s["out"], ""))
     collapsed = F.regexp_replace(decode_entities(joined), r"\n+", "\n")

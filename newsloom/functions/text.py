@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsloom.functions import fixed
-from newsloom.functions.util import blank
+from newsloom.functions.util import blank, let
 
 
 def strip_tags(text: Column) -> Column:
@@ -76,8 +76,12 @@ def _decode_piece(piece: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """One pass over named and numeric entities; unknown names stay as written."""
-    pieces = F.transform(F.regexp_extract_all(text, F.lit(_ENTITY_PIECE), 0), _decode_piece)
-    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
+
+    def decode(t: Column) -> Column:
+        pieces = F.transform(F.regexp_extract_all(t, F.lit(_ENTITY_PIECE), 0), _decode_piece)
+        return F.when(t.contains("&"), F.array_join(pieces, "")).otherwise(t)
+
+    return let(text, decode)
 
 
 # ---- responses of a text service -------------------------------------------
