@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from newsloom.functions import html, urls
 from newsloom.functions.util import settle
 
+# Up to this many rows of keys (about 200 bytes each) are broadcast.
+BROADCAST_ROWS = 100_000
+
 
 def page_links(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """One row per non-empty href of the body of each page."""
@@ -16,17 +19,29 @@ def page_links(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) ->
     )
 
 
-def section_links(pages: DataFrame, sections: DataFrame) -> DataFrame:
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has at most ``rows`` rows (stops counting beyond that)."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def section_links(pages: DataFrame, sections: DataFrame,
+                  broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Links of section pages with the media and the score of their section.
 
-    ``sections`` is (url, media_url, score). Small catalogues are broadcast by
-    Spark's own size check; larger ones join by sort and merge with skew split.
-    The join comes before the parsing, so only section pages are parsed.
+    ``sections`` is (url, media_url, score). Page texts never move between
+    machines: a small catalogue (counted) is broadcast and only section pages
+    are parsed; for a larger one the pages are parsed where they lie and their
+    link lists are joined.
     """
-    joined = pages.select("url", "html").join(sections, "url")
-    href = F.explode(html.body_hrefs(F.col("html"))).alias("href")
+    hrefs = html.body_hrefs(F.col("html")).alias("hrefs")
+    scored = sections.select("url", "media_url", "score")
+    if at_most(scored, broadcast_rows):
+        found = pages.select("url", "html").join(F.broadcast(scored), "url").select(
+            "media_url", "score", hrefs)
+    else:
+        found = pages.select("url", hrefs).join(scored, "url")
     link = urls.absolutise(urls.cut_query(F.col("href")), F.col("media_url"))
-    return joined.select("media_url", "score", href).select(
+    return found.select("media_url", "score", F.explode("hrefs").alias("href")).select(
         "media_url", link.alias("url"), "score"
     )
 
@@ -40,6 +55,19 @@ def distinct_links(links: DataFrame) -> DataFrame:
     return links.select("media_url", "url").distinct()
 
 
+def stored_among(stored: DataFrame, batch: DataFrame, on: list[str],
+                 broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Keys of ``stored`` that can meet ``batch``.
+
+    A small batch (counted) is broadcast to the stored keys, so a large store is
+    only read, not shuffled; beyond that all stored keys are kept.
+    """
+    keys = batch.select(*on)
+    if at_most(keys, broadcast_rows):
+        return stored.select(*on).join(F.broadcast(keys), on, "left_semi")
+    return stored.select(*on)
+
+
 def drop_known_garbage(candidates: DataFrame, garbage: DataFrame) -> DataFrame:
     """Candidates that are not yet rejected for their media."""
     known = garbage.select("url", "media_url")

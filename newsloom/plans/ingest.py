@@ -9,13 +9,11 @@ from newsloom.operators import articles, links, stats
 from newsloom.sources import schemas, sinks
 from newsloom.sources.workspace import write_through
 
-# Up to this many candidates (about 200 bytes each) are broadcast to the pages.
-BROADCAST_ROWS = 100_000
 MISSING_PAGE = "1_2"
 
 
 def fetched_outcomes(new: DataFrame, pages: DataFrame, as_of: Column,
-                     broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                     broadcast_rows: int = links.BROADCAST_ROWS) -> DataFrame:
     """Outcome of each new candidate (media_url, url, score) from its fetched page.
 
     Page texts never move between machines. Few candidates (counted) are
@@ -25,7 +23,7 @@ def fetched_outcomes(new: DataFrame, pages: DataFrame, as_of: Column,
     """
     names = [c for c in ("url", "html", "fetch_error") if c in pages.columns]
     pages = pages.select(*names)
-    if new.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if links.at_most(new, broadcast_rows):
         found = articles.article_outcomes(
             pages.join(F.broadcast(new.select("media_url", "url", "score")), "url"), as_of
         )
@@ -44,20 +42,24 @@ def fetched_outcomes(new: DataFrame, pages: DataFrame, as_of: Column,
 
 
 def ingest(candidates: DataFrame, garbage: DataFrame, news: DataFrame, pages: DataFrame,
-           as_of: Column, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+           as_of: Column, broadcast_rows: int = links.BROADCAST_ROWS) -> DataFrame:
     """Outcome of each candidate link that is neither rejected nor stored already.
 
     ``stage`` tells which rules gave the status: 'link' for the url rules,
-    'page' for the page. Classified links are written once to the shared
-    folder: several branches read them, and without that Spark would push the
-    url rules below the joins and run them again.
+    'page' for the page. The distinct, the classified and the new links are each
+    written once to the shared folder (urls and scores only): several branches
+    read them, and without that Spark would push the url rules below the joins
+    and run them again.
     """
-    best = links.best_link_score(candidates)
-    fresh = links.drop_known_garbage(best, garbage)
+    best = write_through(links.best_link_score(candidates), "links")
+    rejected = links.stored_among(garbage, best, ["url", "media_url"], broadcast_rows)
+    fresh = links.drop_known_garbage(best, rejected)
     classified = write_through(links.classify_urls(fresh), "classified")
     good = F.col("status_code") == "0"
-    new = links.drop_known_news(classified.filter(good), news)
-    by_page = fetched_outcomes(new.drop("status_code"), pages, as_of, broadcast_rows)
+    valid = classified.filter(good).drop("status_code")
+    known = links.stored_among(news, valid, ["url"], broadcast_rows)
+    new = write_through(links.drop_known_news(valid, known), "new")
+    by_page = fetched_outcomes(new, pages, as_of, broadcast_rows)
     by_link = classified.filter(~good).withColumn("stage", F.lit("link"))
     return by_page.withColumn("stage", F.lit("page")).unionByName(
         by_link, allowMissingColumns=True

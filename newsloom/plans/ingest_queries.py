@@ -78,6 +78,13 @@ def links_with_section_score(spark, sf):
     return section_links(spark, sf)
 
 
+@query("links_with_section_score_large", f"{WITH_LINKS} SELECT media_url, url, score FROM full_links")
+def links_with_section_score_large(spark, sf):
+    """The same by the way taken when the catalogue is too large to broadcast."""
+    return links.section_links(
+        table(spark, sf, "pages"), fixture(spark, sf, "page_sections_fx"), broadcast_rows=0)
+
+
 STATUS_COUNTS = f"""statused AS (SELECT DISTINCT media_url, url, {status_of_url()} AS status_code FROM full_links),
 meanings(status_code, meaning) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in fixed.STATUS_MEANING.items())})
 SELECT media_url, s.status_code, meaning, count(*) AS n FROM statused s JOIN meanings m ON s.status_code = m.status_code

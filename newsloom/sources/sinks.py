@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.operators.links import stored_among
 from newsloom.operators.skew import collect_in_chunks
 
 
@@ -27,7 +28,7 @@ def append_news(news: DataFrame, stored: DataFrame, path: str, batch_id: str) ->
     """
     columns = [c for c in news.columns if c != "url"]
     fresh = (
-        news.join(stored.select("url"), "url", "left_anti")
+        news.join(stored_among(stored, news, ["url"]), "url", "left_anti")
         .groupBy("url")
         .agg(F.max(F.struct("score", *[c for c in columns if c != "score"])).alias("r"))
         .select("url", "r.*")
@@ -41,7 +42,7 @@ def append_garbage(garbage: DataFrame, stored: DataFrame, path: str, batch_id: s
     keys = ["url", "media_url"]
     rest = [c for c in garbage.columns if c not in keys]
     fresh = (
-        garbage.join(stored.select(*keys), keys, "left_anti")
+        garbage.join(stored_among(stored, garbage, keys), keys, "left_anti")
         .groupBy(*keys)
         .agg(F.min(F.struct(*rest)).alias("r"))
         .select(*keys, "r.*")
