@@ -239,3 +239,27 @@ def test_classify_is_total(spark):
 def test_article_columns_have_no_null_text(spark, article_pages):
     good = articles.article_outcomes(article_pages, now()).filter("status_code = '0'")
     assert all(v is not None for r in articles.article_columns(good).collect() for v in r)
+
+
+def test_shared_folder(spark, monkeypatch):
+    from newsloom.sources import workspace
+
+    assert workspace.new_path(spark, "x") != workspace.new_path(spark, "x")
+    monkeypatch.setattr(workspace, "SETTING", "spark.newsloom.unset")
+    assert workspace.shared_folder(spark) == workspace.shared_folder(spark)
+
+
+def test_section_links_both_ways(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    sections = fixture(spark, SF, "page_sections_fx")
+    a = links.section_links(pages, sections)
+    b = links.section_links(pages, sections, broadcast_rows=0)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_known_urls_both_ways(spark):
+    rows = fixture(spark, SF, "candidates_fx").select("media_url", "url").distinct()
+    known = fixture(spark, SF, "known_urls_fx")
+    ways = [links.drop_known_news(rows, links.stored_among(known, rows, ["url"], n)) for n in (0, 10**6)]
+    plain = links.drop_known_news(rows, known)
+    assert all(sorted(w.collect()) == sorted(plain.collect()) for w in ways)
