@@ -34,7 +34,7 @@ def score_sections(spark, sf):
 
 @query("merge_rankings", f"""{cte('ranking_fx', 'special_media_fx')},
 general AS (SELECT media, domain, country, region, language, overall FROM ranking_fx
-  UNION ALL SELECT trim(Media), trim(Domain), 'Spain', 'Western Europe', 'Spanish', 1.0 FROM special_media_fx WHERE Media LIKE '%1 '),
+  UNION ALL SELECT trim(Media), trim(Domain), 'Spain', 'Western Europe', 'Spanish', 1.0 FROM special_media_fx WHERE Media LIKE ' en-%'),
 special AS (SELECT trim(Media) AS media, trim(Domain) AS domain, 'Spain' AS country, 'Western Europe' AS region,
   'Spanish' AS language, 1.0 AS overall FROM special_media_fx)
 SELECT media, domain, country, region, language, CAST(overall AS DOUBLE) AS overall FROM general
@@ -43,7 +43,7 @@ def merge_rankings(spark, sf):
     special_raw = fixture(spark, sf, "special_media_fx")
     special = tables.special_media(special_raw)
     general = ranking(spark, sf).unionByName(
-        tables.special_media(special_raw.filter("Media LIKE '%1 '")))
+        tables.special_media(special_raw.filter("Media LIKE ' en-%'")))
     return catalog.merge_rankings(general, special)
 
 

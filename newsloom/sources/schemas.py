@@ -16,12 +16,10 @@ GARBAGE = "url string, media_url string, inserted_at timestamp, status_code stri
 RANKING = "media string, domain string, country string, region string, language string, overall double"
 SPECIAL_MEDIA = "media string, domain string"
 RANKING_TEXT = "media string, domain string, score double"
-SECTION = "domain string, url string, topic string, score double"
 SECTION_RECORDS = (
     "domain string, chunk bigint, "
     "records array<struct<url:string,topic:string,score:double,copies:bigint>>"
 )
-PAGE = "page_id bigint, url string, html string"
 
 
 def status_table(spark: SparkSession) -> DataFrame:
@@ -29,3 +27,8 @@ def status_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         list(fixed.STATUS_MEANING.items()), "status_code string, meaning string"
     )
+
+
+def suggested_topics(spark: SparkSession) -> DataFrame:
+    """Topic words offered to the reader (a fixed list)."""
+    return spark.createDataFrame([(w,) for w in fixed.SUGGESTED_TOPICS], "word string")

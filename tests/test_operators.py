@@ -263,3 +263,13 @@ def test_known_urls_both_ways(spark):
     ways = [links.drop_known_news(rows, links.stored_among(known, rows, ["url"], n)) for n in (0, 10**6)]
     plain = links.drop_known_news(rows, known)
     assert all(sorted(w.collect()) == sorted(plain.collect()) for w in ways)
+
+
+def test_topic_suggest(spark):
+    from newsloom.sources.schemas import suggested_topics
+
+    def words(typed):
+        return sorted(r[0] for r in feed.topic_suggest(suggested_topics(spark), typed).collect())
+
+    assert words(" BALON ") == ["baloncesto", "balonmano"]
+    assert words("  ") == [] and words("zzz") == []
