@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from newsloom.functions import html, urls
 from newsloom.functions.util import settle
 
-# Up to this many rows of keys (about 200 bytes each) are broadcast.
+# Up to this many rows of keys, and this many bytes in them, are broadcast.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def page_links(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -19,9 +20,16 @@ def page_links(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) ->
     )
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows (stops counting beyond that)."""
-    return df.limit(rows + 1).count() <= rows
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and a broadcast holds its texts.
+
+    Counting stops beyond that number of rows.
+    """
+    texts = [n for n, t in df.dtypes if t == "string"]
+    n, size = df.limit(rows + 1).agg(
+        F.count("*"), F.sum(F.octet_length(F.concat_ws("", *texts)))
+    ).first()
+    return n <= rows and (size or 0) <= BROADCAST_BYTES
 
 
 def section_links(pages: DataFrame, sections: DataFrame,
@@ -35,7 +43,7 @@ def section_links(pages: DataFrame, sections: DataFrame,
     """
     hrefs = html.body_hrefs(F.col("html")).alias("hrefs")
     scored = sections.select("url", "media_url", "score")
-    if at_most(scored, broadcast_rows):
+    if fits_broadcast(scored, broadcast_rows):
         found = pages.select("url", "html").join(F.broadcast(scored), "url").select(
             "media_url", "score", hrefs)
     else:
@@ -63,7 +71,7 @@ def stored_among(stored: DataFrame, batch: DataFrame, on: list[str],
     only read, not shuffled; beyond that all stored keys are kept.
     """
     keys = batch.select(*on)
-    if at_most(keys, broadcast_rows):
+    if fits_broadcast(keys, broadcast_rows):
         return stored.select(*on).join(F.broadcast(keys), on, "left_semi")
     return stored.select(*on)
 

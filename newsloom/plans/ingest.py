@@ -23,7 +23,7 @@ def fetched_outcomes(new: DataFrame, pages: DataFrame, as_of: Column,
     """
     names = [c for c in ("url", "html", "fetch_error") if c in pages.columns]
     pages = pages.select(*names)
-    if links.at_most(new, broadcast_rows):
+    if links.fits_broadcast(new, broadcast_rows):
         found = articles.article_outcomes(
             pages.join(F.broadcast(new.select("media_url", "url", "score")), "url"), as_of
         )
