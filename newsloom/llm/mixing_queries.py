@@ -19,7 +19,7 @@ filled AS (
     sum(source_size) OVER () AS budget
   FROM ranked WINDOW o AS (ORDER BY most / weight, number)
 ),
-level AS (SELECT min(l) AS l FROM (
+level AS (SELECT arg_min(l, full_at) AS l FROM (
   SELECT (budget - used) / rest AS l, full_at FROM filled) WHERE l <= full_at),
 sources AS (SELECT r.*, least(weight * l, most::DOUBLE) AS target FROM ranked r, level),
 queued AS (

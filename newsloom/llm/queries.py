@@ -1,6 +1,7 @@
 """Importing this module registers the queries of the corpus operators."""
 
 from newsloom.llm import (  # noqa: F401
+    decontamination_queries,
     mixing_queries,
     quality_queries,
     simhash_queries,
