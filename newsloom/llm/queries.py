@@ -4,6 +4,7 @@ from newsloom.llm import (  # noqa: F401
     decontamination_queries,
     mixing_queries,
     quality_queries,
+    secret_queries,
     simhash_queries,
 )
 from newsloom.llm.registry import CHECKS, QUERIES  # noqa: F401
