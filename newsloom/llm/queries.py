@@ -6,5 +6,6 @@ from newsloom.llm import (  # noqa: F401
     quality_queries,
     secret_queries,
     simhash_queries,
+    warc_queries,
 )
 from newsloom.llm.registry import CHECKS, QUERIES  # noqa: F401
