@@ -2,6 +2,7 @@
 
 from newsloom.llm import (  # noqa: F401
     decontamination_queries,
+    line_queries,
     mixing_queries,
     quality_queries,
     secret_queries,
