@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import in_slices, map_rows, running_total
+from newsloom.llm.common import free_names, in_slices, map_rows, running_total
 
 WINDOW_WORDS = 10
 # Words of a shard; a longer text is a shard alone.
@@ -202,21 +202,19 @@ def blocks_of_items(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> lis
         yield [tuple(r) for r in numbered.filter(F.col("block") == block).select("item_id", "text").collect()]
 
 
-SPANS, ITEMS, WORDS = "_hit_spans", "_hit_items", "_n_words"
-
-
 def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS,
               block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``docs`` with its hit word ranges, items and number of words (_hit_spans, _hit_items, _n_words).
+    """``docs`` with three columns behind its own: hit word ranges, hit items and number of words.
 
-    ``_hit_spans`` has [start, end) pairs of word positions, merged within a block of
+    The ranges are [start, end) pairs of word positions, merged within a block of
     items; rows stay in place, one pass over them per block of items. A null text has
     no words and no hits; items that are null, empty or without an id are not searched.
     """
     place = docs.columns.index("text")
     empty = F.array().cast
+    spans, found, n_words = free_names(docs, "_hit_spans", "_hit_items", "_n_words")
     marked = docs.select(
-        "*", empty("array<array<int>>").alias(SPANS), empty("array<string>").alias(ITEMS), F.lit(0).cast("bigint").alias(WORDS)
+        "*", empty("array<array<int>>").alias(spans), empty("array<string>").alias(found), F.lit(0).cast("bigint").alias(n_words)
     )
     schema = marked.schema
     n_columns = len(docs.columns)

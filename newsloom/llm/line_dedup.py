@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import map_rows, row_key, words_of
+from newsloom.llm.common import free_names, map_rows, row_key, words_of
 from newsloom.sources.workspace import write_through
 
 # A block of fewer words stays: heads, feet and licence lines are not passages.
@@ -169,30 +169,34 @@ def delete_blocks(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFram
     """``docs`` without the repeated blocks in its texts, and with two more columns.
 
     ``_lines`` is the number of lines with a word before, ``_blocks`` the deleted blocks
-    (start, end, owner, words), which may overlap. Null and empty texts have no lines;
-    documents without an id are the latest of all; rows equal in id and text are one
-    document and are edited alike; lines equal within one document are not touched.
+    (start, end, owner, words), which may overlap; both names get more underscores where
+    ``docs`` has them. Null and empty texts have no lines; documents without an id are the
+    latest of all; rows equal in id and text are one document and are edited alike; lines
+    equal within one document are not touched.
     """
+    n_lines, blocks, id_, hash_ = free_names(docs, "_lines", "_blocks", "_id", "_hash")
     key = row_key(F.col("doc_id"), F.col("text"))
-    blocks = repeated_blocks(docs, min_words).select(F.col("key.id").alias("_id"), F.col("key.hash").alias("_hash"), F.col("blocks").alias("_blocks"))
-    joined = docs.withColumn("_id", key["id"]).withColumn("_hash", key["hash"]).join(blocks, ["_id", "_hash"], "left")
-    joined = joined.select(*docs.columns, "_blocks", F.lit(0).cast("bigint").alias("_lines"))
+    found = repeated_blocks(docs, min_words).select(F.col("key.id").alias(id_), F.col("key.hash").alias(hash_), F.col("blocks").alias(blocks))
+    joined = (
+        docs.withColumn(id_, key["id"]).withColumn(hash_, key["hash"]).join(found, [id_, hash_], "left")
+        .select(*docs.columns, F.lit(0).cast("bigint").alias(n_lines), blocks)
+    )
     names = joined.columns
-    place = names.index("text")
+    place, at_lines, at_blocks = names.index("text"), len(names) - 2, len(names) - 1
 
     def per_batch(batch: pa.RecordBatch):
-        texts, n_lines = [], []
-        for text, found in zip(batch.column(place).to_pylist(), batch.column(names.index("_blocks")).to_pylist()):
+        texts, counts = [], []
+        for text, gone_blocks in zip(batch.column(place).to_pylist(), batch.column(at_blocks).to_pylist()):
             real = real_lines(text or "")
-            n_lines.append(len(real))
-            if found:
+            counts.append(len(real))
+            if gone_blocks:
                 gone: set[int] = set()
-                for b in found:
+                for b in gone_blocks:
                     # Blank lines inside a block go with it.
                     gone.update(range(real[b["start"]][0], real[b["end"] - 1][0] + 1))
                 text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
             texts.append(text)
-        new = {place: pa.array(texts, batch.column(place).type), names.index("_lines"): pa.array(n_lines, pa.int64())}
+        new = {place: pa.array(texts, batch.column(place).type), at_lines: pa.array(counts, pa.int64())}
         yield pa.RecordBatch.from_arrays([new.get(i, c) for i, c in enumerate(batch.columns)], names)
 
     return map_rows(joined, per_batch, joined.schema)
@@ -201,5 +205,5 @@ def delete_blocks(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFram
 def without_repeats(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """``docs`` with repeated blocks deleted; a document of nothing but such blocks goes."""
     edited = delete_blocks(docs, min_words)
-    left = F.col("_blocks").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    left = F.col(edited.columns[-1]).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return edited.filter(left).select(*docs.columns)

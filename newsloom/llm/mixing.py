@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import count_words, row_key, running_total
+from newsloom.llm.common import count_words, free_names, row_key, running_total
 from newsloom.sources.workspace import write_through
 
 EPOCHS = 3
@@ -111,13 +111,15 @@ def mix(docs: DataFrame, weight=cyclic_weight, epochs: int = EPOCHS, budget: int
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` that the mix takes, with ``mix_size``, ``mix_taken`` and ``mix_copies``.
 
-    Rows that are equal in id and text are joined by their greatest number of copies.
+    Rows that are equal in id and text are joined by their greatest number of copies. Where
+    ``docs`` has one of these names already, the new one gets an underscore in front.
     """
-    taken = (
+    size, taken, copies, id_, hash_ = free_names(docs, "mix_size", "mix_taken", "mix_copies", "_id", "_hash")
+    mixed = (
         mix(docs, **options).filter("taken > 0").groupBy("key")
-        .agg(F.max("size").alias("mix_size"), F.max("taken").alias("mix_taken"), F.max("copies").alias("mix_copies"))
-        .select(F.col("key.id").alias("_id"), F.col("key.hash").alias("_hash"), "mix_size", "mix_taken", "mix_copies")
+        .agg(F.max("size").alias(size), F.max("taken").alias(taken), F.max("copies").alias(copies))
+        .select(F.col("key.id").alias(id_), F.col("key.hash").alias(hash_), size, taken, copies)
     )
     key = row_key(F.col("doc_id"), F.col("text"))
-    joined = docs.withColumn("_id", key["id"]).withColumn("_hash", key["hash"]).join(taken, ["_id", "_hash"])
-    return joined.drop("_id", "_hash")
+    joined = docs.withColumn(id_, key["id"]).withColumn(hash_, key["hash"]).join(mixed, [id_, hash_])
+    return joined.drop(id_, hash_)

@@ -1,12 +1,15 @@
 """Importing this module registers the queries of the corpus operators."""
 
 from newsloom.llm import (  # noqa: F401
+    chat_queries,
     decontamination_queries,
     line_queries,
     mixing_queries,
     quality_queries,
     secret_queries,
     simhash_queries,
+    token_queries,
+    toxicity_queries,
     warc_queries,
 )
 from newsloom.llm.registry import CHECKS, QUERIES  # noqa: F401
