@@ -75,14 +75,17 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[tuple[int, int]]:
-    """[start, end) places in ``a`` of aligned blocks, without gaps on either side, of ``min_words`` and more."""
-    blocks, start, last = [], None, (-2, -2)
-    for i, j in [*patience(a, b), (-2, -2)]:
-        if (i, j) != (last[0] + 1, last[1] + 1):
-            if start is not None and sum(words[start : last[0] + 1]) >= min_words:
-                blocks.append((start, last[0] + 1))
+    """[start, end) places of runs in ``a`` that are aligned line by line, of ``min_words`` and more.
+
+    ``b`` has the lines of a run in the same order; it may have others between them.
+    """
+    blocks, start, last = [], None, -2
+    for i in [*(i for i, _ in patience(a, b)), -2]:
+        if i != last + 1:
+            if start is not None and sum(words[start : last + 1]) >= min_words:
+                blocks.append((start, last + 1))
             start = i
-        last = (i, j)
+        last = i
     return blocks
 
 
