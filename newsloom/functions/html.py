@@ -207,9 +207,8 @@ def element_text(markup: Column, tags: tuple[str, ...] = ("p",)) -> Column:
         F.regexp_extract_all(markup, F.lit(TAG), 3),
         lambda name, text: F.struct(F.lower(name).alias("name"), text.alias("text")),
     )
-    start = F.struct(
-        F.lit("/").alias("open"), F.array().cast("array<string>").alias("out")
-    )
+    # The state keeps one letter per piece, not the pieces: copying it stays cheap.
+    start = F.struct(F.lit("/").alias("open"), F.lit("").alias("taken"))
 
     def stack_after(stack: Column, name: Column) -> Column:
         nearest = F.instr(stack, F.concat(name, F.lit("/")))
@@ -221,21 +220,24 @@ def element_text(markup: Column, tags: tuple[str, ...] = ("p",)) -> Column:
         )
 
     def step(state: Column, piece: Column) -> Column:
-        name, text = piece["name"], piece["text"]
-        marked = F.when(name.isin(*tags), F.concat(F.lit(PARAGRAPH_MARK), text)).otherwise(text)
-
         def taken(stack: Column) -> Column:
             inside = any_of(stack.contains(f"/{t}/") for t in tags)
             return F.struct(
                 stack.alias("open"),
-                F.when(
-                    inside & ((text != "") | name.isin(*tags)),
-                    F.concat(state["out"], F.array(marked)),
-                ).otherwise(state["out"]).alias("out"),
+                F.concat(state["taken"], F.when(inside, "1").otherwise("0")).alias("taken"),
             )
 
-        return let(stack_after(state["open"], name), taken)
+        return let(stack_after(state["open"], piece["name"]), taken)
+
+    def text_of(all_: Column) -> Column:
+        letters = F.split(F.aggregate(all_, start, step, lambda s: s["taken"]), "")
+        kept = F.zip_with(all_, letters, lambda piece, letter: F.when(
+            letter == "1",
+            F.when(piece["name"].isin(*tags), F.concat(F.lit(PARAGRAPH_MARK), piece["text"]))
+            .otherwise(piece["text"]),
+        ))
+        return F.array_join(kept, "")
 
-    joined = F.aggregate(pieces, start, step, lambda s: F.array_join(s["out"], ""))
+    joined = let(pieces, text_of)
     collapsed = F.regexp_replace(decode_entities(joined), r"\n+", "\n")
     return F.replace(collapsed, F.lit(PARAGRAPH_MARK), F.lit(""))

@@ -10,7 +10,8 @@ from newsloom.functions.text import clean_topic_array, clean_topics, strip_tags
 CODE_OR_COMMENT = r"(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>"
 LD_SCRIPT = r"""(?i)^<script\b[^>]*\btype\s*=\s*["']?[^"'>]*application/ld\+json"""
 OBJECT, LIST = r"^\s*\{", r"^\s*\["
-MAX_DEPTH = 6
+# What may open an object in a JSON text, also inside its strings.
+OPENINGS = r"\{|\\u007[bB]"
 
 
 def ld_blocks(html: Column) -> Column:
@@ -83,9 +84,9 @@ def json_leaves(objects: str) -> Column:
 
     ``objects`` names a column made by ``block_objects``. The rows of a nested
     object come before the row of its own key; that row (``parent`` true) holds
-    the names of the child keys. Lists are not entered. Each pass opens one more
-    level, ``MAX_DEPTH`` levels in all; an object below that stays one row with
-    its JSON text, so nothing is lost.
+    the names of the child keys. Lists are not entered. A pass opens one level;
+    there are as many passes as a text has openings at most, and once no row is
+    open the rest do nothing. Depth ends only where the JSON parser's does.
     """
     rows = f"""flatten(transform({objects}, (b, i) -> flatten(transform(b, (o, j) ->
       {_rows(_entries('o'), 'i', 'j', '', '0')}))))"""
@@ -95,11 +96,15 @@ def json_leaves(objects: str) -> Column:
       'parent', c IS NOT NULL, 'open', false))"""
     opened = f"""transform(array({_entries('x.value')}), c ->
       CASE WHEN c IS NULL THEN {own} ELSE concat({inside}, {own}) END)[0]"""
-    for _ in range(MAX_DEPTH):
-        rows = f"""transform(array({rows}), r -> CASE WHEN exists(r, y -> y.open)
-          THEN flatten(transform(r, x -> CASE WHEN x.open THEN {opened} ELSE array(x) END))
-          ELSE r END)[0]"""
-    return F.expr(rows)
+    openings = f"""aggregate(flatten({objects}), 0, (n, o) -> n + regexp_count(o, '{OPENINGS.replace(chr(92), chr(92) * 2)}'))"""
+
+    def state(of: str) -> str:
+        return f"named_struct('rows', {of}, 'open', exists({of}, y -> y.open))"
+
+    more = "flatten(transform(s.rows, x -> CASE WHEN x.open THEN " + opened + " ELSE array(x) END))"
+    step = f"CASE WHEN s.open THEN transform(array({more}), r -> {state('r')})[0] ELSE s END"
+    return F.expr(f"""aggregate(slice(sequence(0, {openings}), 2, {openings} + 1),
+      transform(array({rows}), r -> {state('r')})[0], (s, k) -> {step}, s -> s.rows)""")
 
 
 def json_depth(leaves: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,31 +46,57 @@ def join_list(items: Column) -> Column:
 
 # ---- entities --------------------------------------------------------------
 
-_ENTITY_PIECE = r"&#[0-9]{1,7};?|&#[xX][0-9a-fA-F]{1,6};?|&[a-zA-Z][a-zA-Z0-9]*;?|[^&]+|&"
+_ENTITY_PIECE = r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[a-zA-Z][a-zA-Z0-9]*;?|[^&]+|&"
+# Names that count without a semicolon, also at the start of a longer word.
+_OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+# Numbers 128 to 159 mean the letters of the Windows character set.
+_WINDOWS = [
+    bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)
+]
 
 
-def _entity_names() -> Column:
-    # The HTML 4 names come with Python; "apos" is the one XML adds.
-    names = {**{n: chr(c) for n, c in name2codepoint.items()}, "apos": "'"}
-    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+def _names(table: dict[str, str]) -> Column:
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
 
-def _code_point(number: Column) -> Column:
+def _named(piece: Column) -> tuple[Column, Column]:
+    """Values of ``&name;`` and of a name without its semicolon: the few names of HTML 4 are tried before the long list."""
+    name = F.regexp_extract(piece, "^&([a-zA-Z0-9]+);$", 1)
+    usual = _names({n: html5[f"{n};"] for n in name2codepoint})
+    every = _names({n[:-1]: c for n, c in html5.items() if n.endswith(";")})
+    opened = rf"^&({'|'.join(_OPEN_NAMES)})"
+    start = F.regexp_extract(piece, opened, 1)
+    short = _names({n: html5[n] for n in _OPEN_NAMES})
+    rest = F.substr(piece, F.length(start) + 2)
     return F.when(
-        number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF),
-        F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"),
-    ).otherwise("�")
+        piece.endswith(";"), F.coalesce(F.try_element_at(usual, name), F.try_element_at(every, name))
+    ), F.when(start != "", F.concat(F.try_element_at(short, start), rest))
+
+
+def _code_point(digits: Column, base: int) -> Column:
+    """Character of a number in ``base``; what is no number of a character gives U+FFFD or nothing."""
+    short = F.regexp_replace(digits, "^0+(?=.)", "")
+    number = F.when(F.length(short) <= 7, F.conv(short, base, 10).cast("bigint"))
+    control = number.between(1, 8) | (number == 11) | number.between(14, 31) | (number == 127)
+    no_character = number.between(0xFDD0, 0xFDEF) | ((number % 0x10000) >= 0xFFFE)
+    return (
+        F.when(number.between(128, 159), F.get(F.array(*map(F.lit, _WINDOWS)), number - 128))
+        .when(number.between(0, 0x10FFFF) & (control | no_character), "")
+        .when(
+            number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF),
+            F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"),
+        )
+        .otherwise("\ufffd")
+    )
 
 
 def _decode_piece(piece: Column) -> Column:
-    name = F.regexp_extract(piece, "^&([a-zA-Z0-9]+)", 1)
-    hexa = F.conv(F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]+)", 1), 16, 10)
-    deci = F.regexp_extract(piece, "^&#([0-9]+)", 1)
+    whole, opened = _named(piece)
     return (
         F.when(~piece.startswith("&"), piece)
-        .when(piece.rlike("^&#[xX]"), _code_point(hexa.try_cast("bigint")))
-        .when(piece.startswith("&#"), _code_point(deci.try_cast("bigint")))
-        .otherwise(F.coalesce(F.try_element_at(_entity_names(), name), piece))
+        .when(piece.rlike("^&#[xX]"), _code_point(F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]+)", 1), 16))
+        .when(piece.startswith("&#"), _code_point(F.regexp_extract(piece, "^&#([0-9]+)", 1), 10))
+        .otherwise(F.coalesce(whole, opened, piece))
     )
 
 

@@ -19,6 +19,13 @@ def decoded(text: str) -> str:
     )
 
 
+def decoded_article(text: str) -> str:
+    """Text of the derived article pages, whose entities are these."""
+    for entity, char in (("&lt;", "<"), ("&eacute;", "é"), ("&#8364;", "€"), ("&#146;", "’")):
+        text = f"replace({text}, '{entity}', '{char}')"
+    return decoded(text)
+
+
 def status_of_url(url: str = "url", media: str = "media_url") -> str:
     pieces = f"list_filter(string_split({url}, '/'), lambda x: x <> '')"
     sections = " OR ".join(f"contains({url}, '{s}')" for s in fixed.IRRELEVANT_SECTIONS)

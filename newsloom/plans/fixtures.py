@@ -112,9 +112,13 @@ SELECT doc_id AS page_id,
        ELSE '<meta property="article:published_time" content="2024-01-01T12:00:00+01:00">' END
   || '<meta name="keywords" content="Uno, Dos Tres"><meta property="article:section" content="Deportes">'
   || '<meta name="description" content="About ' || source || '"><meta property="og:image" content="https://img.example.com/' || CAST(doc_id AS STRING) || '.jpg">'
-  || CASE WHEN doc_id % 10 >= 8 THEN '<script type="application/ld+json">{"publisher":{"name":"P"},"@type":"NewsArticle","headline":"H ' || CAST(doc_id AS STRING) || '","articleBody":"b<i>ody</i> ' || CAST(doc_id AS STRING) || '","keywords":["A b","C"],"articleSection":"Local"}</script>' ELSE '' END
+  || CASE WHEN doc_id % 3 = 0 THEN '<meta property="article:modified_time" content="2024-01-01T18:00:00+01:00">' ELSE '' END
+  || CASE WHEN doc_id % 10 >= 8 THEN '<script type="application/ld+json">{"publisher":{"name":"P"},"@type":"NewsArticle","headline":"H ' || CAST(doc_id AS STRING)
+    || '","description":"LD ' || source || '","datePublished":"2024-01-01","dateModified":"2024-01-02","main":'
+    || repeat('{"n":', CAST(doc_id % 13 AS INT)) || '{"articleBody":"b<i>ody</i> ' || CAST(doc_id AS STRING) || '"}' || repeat('}', CAST(doc_id % 13 AS INT))
+    || ',"keywords":["A b","C"],"articleSection":"Local"}</script>' ELSE '' END
   || '</head><body><a href="/x/">x</a>'
-  || CASE WHEN doc_id % 10 = 6 THEN '' ELSE '<p>' || replace(replace(replace(text, '&', ' '), '<', ' '), '>', ' ') || '</p><p>para' || CAST(doc_id AS STRING) || '</p>' END
+  || CASE WHEN doc_id % 10 = 6 THEN '' ELSE '<p>' || replace(replace(text, '&', '&amp;'), '<', '&lt;') || '</p><p>para' || CAST(doc_id AS STRING) || ' 1 < 2 &middot; caf&eacute; &#8364;&#146;</p>' END
   || '</body></html>' AS html
 FROM documents""",
     # Home pages whose anchors show their host.
@@ -165,7 +169,8 @@ FROM (SELECT event_id, substr(CAST(ts AS STRING), 1, 10) AS d, substr(CAST(ts AS
     # Nested JSON objects.
     "json_fx": """
 SELECT doc_id, '{"id":' || CAST(doc_id AS STRING) || ',"meta":{"lang":"' || lang || '","origin":{"name":"' || source
-  || '","size":' || CAST(n_chars AS STRING) || '}},"tags":["a","b"],"ok":true}' AS block
+  || '","size":' || CAST(n_chars AS STRING) || '}},"tags":["a","b"],"ok":true,"deep":'
+  || repeat('{"n":', CAST(doc_id % 13 AS INT)) || '"x"' || repeat('}', CAST(doc_id % 13 AS INT)) || '}' AS block
 FROM documents""",
     # JSON blocks, some broken, some lists.
     "blocks_fx": """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import dates, html, jsonld
 from newsloom.operators import articles, links
-from newsloom.plans.check_sql import PAGE_HREFS, TAG, VISIBLE, decoded
+from newsloom.plans.check_sql import PAGE_HREFS, TAG, VISIBLE, decoded, decoded_article
 from newsloom.plans.fixtures import AS_OF, cte, fixture, table
 from newsloom.plans.registry import query
 
@@ -89,7 +89,7 @@ def meta(name: str) -> str:
 
 
 META_COLUMNS = f"""{meta('og:title')} AS title, {meta('description')} AS description,
-  {meta('article:published_time')} AS creation_datetime, CAST(NULL AS VARCHAR) AS modified_datetime,
+  {meta('article:published_time')} AS creation_datetime, {meta('article:modified_time')} AS modified_datetime,
   lower({meta('article:section')}) AS main_topic, lower(replace({meta('keywords')}, ', ', ',')) AS other_topic,
   {meta('og:image')} AS image_url"""
 
@@ -101,13 +101,15 @@ def page_meta_fields(spark, sf):
     return articles.page_meta_fields(article_pages(spark, sf))
 
 
+# The article body lies at a depth that differs by page.
+LD_TEXT = """regexp_replace(nullif(regexp_extract(j, '"articleBody":"([^"]*)"', 1), ''), '<.*?>', '', 'g')"""
 LD = "regexp_extract(html, '(?s)<script type=\"application/ld[+]json\">(.*?)</script>', 1)"
 
 
 @query("page_jsonld_fields", f"""{A}, ld AS (SELECT page_id, nullif({LD}, '') AS j FROM article_pages_fx)
-SELECT page_id, json_extract_string(j, '$.headline') AS title, CAST(NULL AS VARCHAR) AS description,
-  regexp_replace(json_extract_string(j, '$.articleBody'), '<.*?>', '', 'g') AS body,
-  CAST(NULL AS VARCHAR) AS creation_datetime, CAST(NULL AS VARCHAR) AS modified_datetime,
+SELECT page_id, json_extract_string(j, '$.headline') AS title, json_extract_string(j, '$.description') AS description,
+  {LD_TEXT} AS body,
+  json_extract_string(j, '$.datePublished') AS creation_datetime, json_extract_string(j, '$.dateModified') AS modified_datetime,
   lower(json_extract_string(j, '$.articleSection')) AS main_topic,
   lower(replace(json_extract_string(j, '$.keywords[0]') || ',' || json_extract_string(j, '$.keywords[1]'), ' ', '-')) AS other_topic FROM ld""")
 def page_jsonld_fields(spark, sf):
@@ -115,7 +117,7 @@ def page_jsonld_fields(spark, sf):
 
 
 @query("page_jsonld_body", f"""{A}, ld AS (SELECT page_id, nullif({LD}, '') AS j FROM article_pages_fx)
-SELECT page_id, regexp_replace(json_extract_string(j, '$.articleBody'), '<.*?>', '', 'g') AS body FROM ld""")
+SELECT page_id, {LD_TEXT} AS body FROM ld""")
 def page_jsonld_body(spark, sf):
     return articles.page_jsonld_fields(article_pages(spark, sf))
 
@@ -151,18 +153,19 @@ def request_status(spark, sf):
         "page_id", articles.request_status(c("fetch_error")).alias("status_code"))
 
 
-PARAGRAPHS = """regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>.*?<p>(.*)</p>', 1), '</p><p>', '', 'g'), '\\n+', chr(10), 'g')"""
-LD_BODY = f"regexp_replace(json_extract_string(nullif({LD}, ''), '$.articleBody'), '<.*?>', '', 'g')"
+PARAGRAPHS = decoded_article("""regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>.*?<p>(.*)</p>', 1), '</p><p>', '', 'g'), '\\n+', chr(10), 'g')""")
+LD_BODY = LD_TEXT.replace("(j,", f"({LD},")
 BODY = f"coalesce({LD_BODY}, {PARAGRAPHS})"
 # The record of each page with its status; '' stands for a missing text.
 RECORDS = f"""gated AS (SELECT *, CASE WHEN {REQUEST} <> '0' THEN {REQUEST} WHEN {GATE_1} <> '0' THEN {GATE_1} ELSE {GATE_2} END AS gate,
   {meta('og:title')} AS t, {BODY} AS b FROM article_pages_fx),
 records AS (SELECT page_id, url, media_url, score, html, CASE WHEN gate <> '0' THEN gate WHEN t IS NULL THEN '5_5' WHEN b = '' THEN '5_6' ELSE '0' END AS status_code,
   t AS title, {meta('description')} AS description, b AS body, {meta('article:published_time')} AS creation_datetime,
+  coalesce({meta('article:modified_time')}, '') AS modified_datetime,
   lower({meta('article:section')}) AS main_topic, lower(replace({meta('keywords')}, ', ', ',')) AS other_topic,
   {meta('og:image')} AS image_url, regexp_extract(html, '<html lang="([^"]*)"', 1) AS country FROM gated)"""
 RECORD_COLUMNS = (
-    "url, media_url, score, title, description, body, creation_datetime, '' AS modified_datetime, "
+    "url, media_url, score, title, description, body, creation_datetime, modified_datetime, "
     "main_topic, other_topic, image_url, country, -1 AS n_tokens"
 )
 

@@ -216,6 +216,8 @@ SELECT doc_id, u.pos, u.path, u.value FROM r,
  (VALUES (0, 'id'), (1, 'meta.lang'), (2, 'meta.origin.name'), (3, 'meta.origin.size'), (4, 'meta.origin'), (5, 'meta'), (6, 'tags'), (7, 'ok')) AS v(pos, path),
  LATERAL (SELECT v.pos AS pos, v.path AS path, CASE v.pos WHEN 4 THEN 'name,size' WHEN 5 THEN 'lang,origin'
    ELSE json_extract_string(r.block, '$.' || v.path) END AS value) u
+UNION ALL SELECT doc_id, CAST(8 + i AS INT), 'deep' || repeat('.n', k - i), CASE WHEN i = 0 THEN 'x' ELSE 'n' END
+  FROM (SELECT doc_id, CAST(doc_id % 13 AS INT) AS k, unnest(range(0, CAST(doc_id % 13 AS INT) + 1))::INT AS i FROM json_fx)
 UNION ALL SELECT event_id + 1000000, 0, 'k', json_extract_string(props, '$.k') FROM events""")
 def json_leaves(spark, sf):
     blocks = fixture(spark, sf, "json_fx").unionByName(
@@ -226,7 +228,7 @@ def json_leaves(spark, sf):
     ).select("doc_id", "pos", "leaf.path", "leaf.value")
 
 
-@query("json_depth", f"{cte('json_fx')} SELECT doc_id, 2 AS depth FROM json_fx")
+@query("json_depth", f"{cte('json_fx')} SELECT doc_id, CAST(greatest(2, doc_id % 13) AS INT) AS depth FROM json_fx")
 def json_depth(spark, sf):
     objects = fixture(spark, sf, "json_fx").select(
         "doc_id", jsonld.block_objects(F.array("block")).alias("objects"))

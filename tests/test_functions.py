@@ -146,7 +146,7 @@ def test_json_leaves(spark):
     assert leaves(spark, '{"a":"x\ny"}', "{broken", '[{"z":1},2,{"y":{}}]') == [
         ("a", "x y"), ("z", "1"), ("y", "")]
     deep = "{\"k\":" * 9 + "1" + "}" * 9
-    assert [p for p, _ in leaves(spark, deep)][0] == ".".join("k" * 7)
+    assert [p for p, _ in leaves(spark, deep)][0] == ".".join("k" * 9)
 
 
 def fields(spark, *blocks, only_body=True):
