@@ -111,7 +111,10 @@ def line_sequences(docs: DataFrame) -> DataFrame:
 def _candidates(sequences: DataFrame, min_words: int) -> DataFrame:
     """Runs of shared lines of a document, once per first owner of a line in the run."""
     lines = sequences.select("key", F.explode(F.array_distinct("lines")).alias("line"))
-    owners = lines.groupBy("line").agg(F.min("key").alias("owner"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Written, so that the join below deals out both sides anew and can split a frequent line.
+    owners = write_through(
+        lines.groupBy("line").agg(F.min("key").alias("owner"), F.count("*").alias("n")).filter("n > 1").drop("n"), "line-owners"
+    )
     shared = (
         lines.join(owners, "line").filter(F.col("owner") != F.col("key"))
         .groupBy("key").agg(F.collect_list(F.struct("line", "owner")).alias("shared"))
