@@ -12,7 +12,7 @@ from newsloom.sources.schemas import status_table
 def _counters() -> list[Column]:
     code, stage = F.col("status_code"), F.col("stage")
     return [
-        F.count_if(stage != "stored").alias("n_scraped"),
+        F.count_if(stage.isin("known", "page")).alias("n_scraped"),
         F.count_if(stage == "stored").alias("n_known"),
         F.count_if(stage == "page").alias("n_to_process"),
         F.count_if((stage == "page") & (code == "0")).alias("n_inserted"),
@@ -21,15 +21,23 @@ def _counters() -> list[Column]:
 
 
 def ingest_events(outcomes: DataFrame, known: DataFrame) -> DataFrame:
-    """Outcome rows and stored urls of the media as one table of (media_url, stage, status_code)."""
-    stored = known.select(
+    """Outcome rows and stored urls of their media as one table of (media_url, stage, status_code).
+
+    Only media with an outcome in the batch are reported.
+    """
+    media = outcomes.select("media_url").distinct()
+    stored = known.join(media, "media_url", "left_semi").select(
         "media_url", F.lit("stored").alias("stage"), F.lit(None).cast("string").alias("status_code")
     )
     return outcomes.select("media_url", "stage", "status_code").unionByName(stored)
 
 
 def media_ingest_stats(events: DataFrame) -> DataFrame:
-    """Per media: stored, scraped, processed, inserted urls, missing bodies, warning."""
+    """Per media: stored, scraped, processed, inserted urls, missing bodies, warning.
+
+    Scraped are the distinct valid links, whether stored already or not; rejects of the
+    url rules are not. The warning is for a media with scraped links and no insertion.
+    """
     warning = F.when(
         (F.col("n_scraped") > 0) & (F.col("n_inserted") == 0), fixed.NO_INSERT_WARNING
     ).otherwise("")
@@ -47,8 +55,8 @@ def media_and_run_stats(events: DataFrame) -> DataFrame:
 
 
 def garbage_by_status(garbage: DataFrame) -> DataFrame:
-    """Rejects per media and code, with the meaning of the code."""
-    counts = garbage.groupBy("media_url", "status_code").agg(F.count("*").alias("n"))
+    """Rejects per media and code, with the meaning of the code; good rows (code 0) are left out."""
+    counts = garbage.filter(F.col("status_code") != "0").groupBy("media_url", "status_code").agg(F.count("*").alias("n"))
     codes = status_table(garbage.sparkSession)
     return counts.join(F.broadcast(codes), "status_code", "left").select(
         "media_url", "status_code", "meaning", "n"

@@ -88,7 +88,7 @@ def links_with_section_score_large(spark, sf):
 STATUS_COUNTS = f"""statused AS (SELECT DISTINCT media_url, url, {status_of_url()} AS status_code FROM full_links),
 meanings(status_code, meaning) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in fixed.STATUS_MEANING.items())})
 SELECT media_url, s.status_code, meaning, count(*) AS n FROM statused s JOIN meanings m ON s.status_code = m.status_code
-GROUP BY media_url, s.status_code, meaning"""
+WHERE s.status_code <> '0' GROUP BY media_url, s.status_code, meaning"""
 
 
 @query("garbage_by_status", f"{WITH_LINKS},{STATUS_COUNTS}")
@@ -98,6 +98,15 @@ def garbage_by_status(spark, sf):
     return stats.garbage_by_status(links.classify_urls(found))
 
 
+@query("garbage_by_all_codes", f"""{cte('candidates_fx')},
+statused AS (SELECT DISTINCT media_url, url, {status_of_url()} AS status_code FROM candidates_fx),
+{STATUS_COUNTS.split("," + chr(10), 1)[1]}""")
+def garbage_by_all_codes(spark, sf):
+    """Candidate links that meet each url rule -> counts per media and code."""
+    found = links.distinct_links(candidates(spark, sf))
+    return stats.garbage_by_status(links.classify_urls(found))
+
+
 BANNED = " OR ".join(f"contains(url, '{b}')" for b in fixed.SECTION_BANNED)
 
 
@@ -124,7 +133,10 @@ outcomes AS (
   SELECT f.media_url, f.url, f.score, coalesce(r.status_code, '1_2'), 'page', CASE WHEN r.status_code = '0' THEN r.title END,
     CASE WHEN r.status_code = '0' THEN r.body END
   FROM fresh f LEFT JOIN records r ON f.url = r.url
-  WHERE link_status = '0' AND f.url NOT IN (SELECT url FROM known_urls_fx))"""
+  WHERE link_status = '0' AND f.url NOT IN (SELECT url FROM known_urls_fx)
+  UNION ALL
+  SELECT media_url, url, score, NULL, 'known', NULL, NULL FROM fresh
+  WHERE link_status = '0' AND url IN (SELECT url FROM known_urls_fx))"""
 
 
 def wanted(spark, sf):
@@ -132,10 +144,17 @@ def wanted(spark, sf):
     return candidates(spark, sf).unionByName(own)
 
 
+def fetched_pages(spark, sf):
+    """Article pages, each with an earlier fetch that had failed to give an article."""
+    last = fixture(spark, sf, "article_pages_fx").withColumn("fetched_at", F.timestamp_seconds(F.lit(2)))
+    first = last.withColumn("fetched_at", F.timestamp_seconds(F.lit(1))).withColumn("html", F.lit("<div>busy</div>"))
+    return last.unionByName(first)
+
+
 def outcomes(spark, sf, **options):
     return job.ingest(
         wanted(spark, sf), fixture(spark, sf, "garbage_fx"), fixture(spark, sf, "known_urls_fx"),
-        fixture(spark, sf, "article_pages_fx"), as_of(), **options)
+        fetched_pages(spark, sf), as_of(), **options)
 
 
 OUTCOME_COLUMNS = ("media_url", "url", "score", "status_code", "stage", "title", "body")
@@ -153,12 +172,13 @@ def ingest_articles_large(spark, sf):
     return outcomes(spark, sf, broadcast_rows=0).select(*OUTCOME_COLUMNS)
 
 
-COUNTERS = """count(*) FILTER (WHERE stage <> 'stored') AS n_scraped, count(*) FILTER (WHERE stage = 'stored') AS n_known,
+COUNTERS = """count(*) FILTER (WHERE stage IN ('known', 'page')) AS n_scraped, count(*) FILTER (WHERE stage = 'stored') AS n_known,
   count(*) FILTER (WHERE stage = 'page') AS n_to_process,
   count(*) FILTER (WHERE stage = 'page' AND status_code = '0') AS n_inserted,
   count(*) FILTER (WHERE stage = 'page' AND status_code = '5_6') AS n_no_body"""
 EVENTS = f"""{OUTCOMES},
-ev AS (SELECT media_url, stage, status_code FROM outcomes UNION ALL SELECT media_url, 'stored', NULL FROM known_urls_fx)"""
+ev AS (SELECT media_url, stage, status_code FROM outcomes UNION ALL SELECT media_url, 'stored', NULL FROM known_urls_fx
+  WHERE media_url IN (SELECT media_url FROM outcomes))"""
 
 
 def events(spark, sf):

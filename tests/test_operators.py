@@ -205,7 +205,10 @@ def test_ingest_is_idempotent_and_streams_equal(spark, article_pages):
     assert stored(spark, folder) == first
     again = run("b2")
     assert stored(spark, folder) == first
-    assert again.agg(F.sum("n_scraped")).first()[0] in (None, 0)
+    # The valid links are all stored now: scraped again, none inserted, so each media warns.
+    repeats = again.agg(F.sum("n_scraped"), F.sum("n_to_process"), F.sum("n_inserted")).first()
+    assert tuple(repeats) == (len(first[0]), 0, 0)
+    assert not [r for r in again.collect() if r["n_scraped"] and r["warning"] != "0 insertions to db"]
 
     work = new_path(spark, "stream")
     arriving = (spark.readStream.schema(article_pages.schema).option("maxFilesPerTrigger", 1)
@@ -215,6 +218,35 @@ def test_ingest_is_idempotent_and_streams_equal(spark, article_pages):
     assert stored(spark, work) == first
 
 
+def test_statistics_of_known_and_rejected_links(spark):
+    """Known valid links are scraped links and warn; a media with rejects alone does not."""
+    from newsloom.operators import stats
+
+    pair = "url string, media_url string"
+    site = "https://{}.example.com"
+    known = [(f"{site.format('a')}/es/a-b-c-d-{i}", site.format("a")) for i in range(2)]
+    rejected = [(f"{site.format('b')}/es/report-1.pdf", site.format("b"))]
+    other = [(f"{site.format('z')}/es/a-b-c-d-1", site.format("z"))]
+    candidates = spark.createDataFrame([(*x, 1.0) for x in known + rejected], f"{pair}, score double")
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string")
+    news = spark.createDataFrame(known + other, pair)
+    for rows in (10, 0):
+        outcomes = ingest.ingest(candidates, spark.createDataFrame([], pair), news, pages, now(), broadcast_rows=rows)
+        got = {r["media_url"]: (r["n_scraped"], r["n_known"], r["n_inserted"], r["warning"])
+               for r in stats.media_ingest_stats(stats.ingest_events(outcomes, news)).collect()}
+        assert got == {site.format("a"): (2, 2, 0, "0 insertions to db"), site.format("b"): (0, 0, 0, "")}
+
+
+def test_last_of_several_fetches_counts(spark):
+    url, media = "https://a.example.com/es/a-b-c-d-1", "https://a.example.com"
+    new = spark.createDataFrame([(media, url, 1.0), (media, url + "2", 1.0)], "media_url string, url string, score double")
+    rows = [(1, url, "<html><head></head></html>"), (3, url, "<div>"), (2, url, "<html>"), (3, url, "<div>")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for limit in (10, 0):
+        got = ingest.fetched_outcomes(new, pages, now(), broadcast_rows=limit).select("url", "status_code").collect()
+        assert sorted(map(tuple, got)) == [(url, "5_8"), (url + "2", "1_2")]
+
+
 def test_append_takes_each_url_once(spark):
     path = new_path(spark, "garbage")
     rows = spark.createDataFrame(
