@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import fixed, urls
 from newsloom.functions.stemming import with_stem
 from newsloom.operators.skew import (
-    attach_by_key, collect_in_chunks, count_per_key, keep_matching_keys, with_count,
+    attach_by_key, collect_in_parts, count_per_key, keep_matching_keys, with_count,
 )
 from newsloom.sources.workspace import write_through
 
@@ -63,9 +63,11 @@ def distinct_domains(sections: DataFrame) -> DataFrame:
 
 
 def topic_domain_scores(sections: DataFrame) -> DataFrame:
-    """Add the row counts of the topic stem and of the domain."""
-    stemmed = with_count(sections, "topic_stem", "topic_score")
-    return with_count(stemmed, "domain", "domain_score")
+    """Add the row counts of the topic stem and of the domain, both counted on the rows as given."""
+    topics = count_per_key(sections, "topic_stem", "topic_score")
+    domains = count_per_key(sections, "domain", "domain_score")
+    stemmed = attach_by_key(sections, topics, "topic_stem", "topic_score")
+    return attach_by_key(stemmed, domains, "domain", "domain_score")
 
 
 def frequent_topics(sections: DataFrame, above: int = fixed.MIN_TOPIC_COUNT) -> DataFrame:
@@ -138,20 +140,28 @@ def euclid_norm(*parts: Column) -> Column:
     return F.sqrt(total)
 
 
+def _with_ranking(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Inner join with the ranking on ``_d`` that splits the domains with most sections."""
+    ranks = right.groupBy("_d").agg(F.collect_list(F.struct("overall")).alias("_ranks"))
+    per_domain = count_per_key(left, "_d", "_n").join(ranks, "_d")
+    rows = attach_by_key(left, per_domain, "_d", "_n").filter(F.col("_ranks").isNotNull())
+    return rows.select(*left.columns, F.inline("_ranks"))
+
+
 def score_sections(sections: DataFrame, ranking: DataFrame) -> DataFrame:
     """Sections of ranked domains with their score.
 
     Both sides are matched without ``www.`` and slashes; a domain that is
     ranked twice gives two rows. The score joins the normalised ranking value
     with the topic count. The joined rows are written once, since the bounds and
-    the scores both read them.
+    the scores both read them; calling this runs jobs.
     """
     left = sections.withColumn("_d", urls.strip_www(F.col("domain"))).dropna("any")
     right = ranking.select(
         urls.strip_www(F.substring_index("domain", "|", 1)).alias("_d"), "overall"
     )
     joined = write_through(
-        left.join(right, "_d").select("domain", "url", "topic", "topic_score", "overall"),
+        _with_ranking(left, right).select("domain", "url", "topic", "topic_score", "overall"),
         "ranked",
     )
     return minmax_normalise(joined, "overall", "_o").select(
@@ -173,9 +183,8 @@ def frequency_score(sections: DataFrame, ranking: DataFrame) -> DataFrame:
         attach_frequencies(sections, "topic_stem", "freq_topic"), "domain", "freq_domain"
     )
     right = ranking.select(urls.strip_www(F.col("domain")).alias("_d"), "overall")
-    joined = write_through(
-        both.withColumn("_d", urls.strip_www(F.col("domain"))).join(right, "_d"), "ranked"
-    )
+    left = both.withColumn("_d", urls.strip_www(F.col("domain")))
+    joined = write_through(_with_ranking(left, right), "ranked")
     return minmax_normalise(joined, "overall", "_o").select(
         "domain", "url", "topic",
         euclid_norm(F.col("_o"), F.col("freq_domain"), F.col("freq_topic")).alias("score"),
@@ -190,23 +199,18 @@ def unmatched_media(sections: DataFrame, ranking: DataFrame) -> DataFrame:
 
 
 def domain_records(scored: DataFrame) -> DataFrame:
-    """Sections per domain as arrays of (url, topic, score, copies), see ``collect_in_chunks``."""
-    return collect_in_chunks(scored, "domain", ["url", "topic", "score"], "url")
+    """Sections per domain as arrays of (url, topic, score, copies), see ``collect_in_parts``."""
+    return collect_in_parts(scored, "domain", ["url", "topic", "score"], "url")
 
 
 # ---- similar topics ----------------------------------------------------------
 
-def topic_edit_pairs(
-    sections: DataFrame, key: str = "topic", limit: int = fixed.MAX_EDIT_DISTANCE
-) -> DataFrame:
-    """Unordered pairs of distinct topics within an edit distance of ``limit`` (1 or 2).
+# Words up to this length meet by deletion forms, longer ones by segments.
+FORM_LETTERS = 32
 
-    Two words within the limit share a form made by deleting at most ``limit``
-    letters from each, so pairs meet by the hash of such a form and only then
-    is the distance computed: no pass over all pairs, none is missed.
-    """
-    if limit not in (1, 2):
-        raise ValueError("limit must be 1 or 2")
+
+def _deletion_keys(words: DataFrame, limit: int) -> DataFrame:
+    """Hashes of what is left of a word without up to ``limit`` letters."""
 
     def shorter(w: Column) -> Column:
         return F.when(
@@ -217,23 +221,68 @@ def topic_edit_pairs(
             ),
         ).otherwise(F.array().cast("array<string>"))
 
-    words = sections.select(F.col(key).alias("word")).filter(F.col("word").isNotNull()).distinct()
     one = words.select("word", F.array_distinct(shorter(F.col("word"))).alias("v1"))
     forms = F.concat(F.array("word"), F.col("v1"))
     if limit == 2:
         forms = F.concat(forms, F.flatten(F.transform("v1", shorter)))
-    keyed = one.select("word", F.explode(F.array_distinct(forms)).alias("form")).select(
+    return one.select("word", F.explode(F.array_distinct(forms)).alias("form")).select(
         "word", F.xxhash64("form").alias("form")
     )
-    left = keyed.select(F.col("word").alias("word_a"), "form")
-    right = keyed.select(F.col("word").alias("word_b"), "form")
+
+
+def _segment_keys(words: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Keys of a word as the shorter and as the longer one of a pair.
+
+    The shorter word is cut into ``limit`` + 1 segments. ``limit`` edits leave one of
+    them as it is, and it stands in the longer word at most ``limit`` places away. So a
+    word has as many keys as there are lengths, segments and shifts, however long it is.
+    """
+    n, word, size = limit + 1, F.col("word"), F.length("word")
+
+    def key(length: Column, i: Column, shift: Column) -> Column:
+        least, longer = F.floor(length / n).cast("int"), n - length % n
+        start = i * least + F.greatest(F.lit(0), i - longer) + shift
+        many = least + F.when(i >= longer, 1).otherwise(0)
+        fits = (start >= 0) & (start + many <= size)
+        return F.when(fits, F.xxhash64(F.substr(word, start + 1, many), i, length))
+
+    def places(triples: list[tuple[int, int, int]]) -> Column:
+        options = F.array(*[F.struct(*[F.lit(x) for x in t]) for t in triples])
+        keys = F.transform(options, lambda t: key(size - t["col1"], t["col2"], t["col3"]))
+        return F.explode(F.array_distinct(F.filter(keys, lambda k: k.isNotNull())))
+
+    as_shorter = [(0, i, 0) for i in range(n)]
+    as_longer = [(d, i, s) for d in range(limit + 1) for i in range(n) for s in range(-limit, limit + 1)]
+    return tuple(words.select("word", places(p).alias("form")) for p in (as_shorter, as_longer))
+
+
+def topic_edit_pairs(
+    sections: DataFrame, key: str = "topic", limit: int = fixed.MAX_EDIT_DISTANCE
+) -> DataFrame:
+    """Unordered pairs of distinct topics within an edit distance of ``limit`` (1 or 2).
+
+    Short words within the limit share a form made by deleting at most ``limit``
+    letters from each, long ones share a segment near its place; pairs meet by the
+    hash of one of these and only then is the distance computed: no pass over all
+    pairs, none is missed, and the keys of a word do not grow with its length.
+    """
+    if limit not in (1, 2):
+        raise ValueError("limit must be 1 or 2")
+    words = sections.select(F.col(key).alias("word")).filter(F.col("word").isNotNull()).distinct()
+    # A pair whose shorter word is short has a longer one of at most so many letters.
+    forms = _deletion_keys(words.filter(F.length("word") <= FORM_LETTERS + limit), limit)
+    shorter, longer = _segment_keys(words.filter(F.length("word") > FORM_LETTERS), limit)
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.withColumnRenamed("word", "a").join(b.withColumnRenamed("word", "b"), "form").filter(
+            F.col("a") != F.col("b")
+        ).select(F.least("a", "b").alias("word_a"), F.greatest("a", "b").alias("word_b"))
+
     distance = F.levenshtein("word_a", "word_b", limit)
     return (
-        left.join(right, "form")
-        .filter(F.col("word_a") < F.col("word_b"))
+        met(forms, forms).filter(F.col("word_a") != F.col("word_b")).unionByName(met(shorter, longer)).distinct()
         .select("word_a", "word_b", distance.alias("distance"))
         .filter(F.col("distance") >= 0)
-        .distinct()
     )
 
 
@@ -245,11 +294,17 @@ def edit_pairs_sorted(pairs: DataFrame) -> DataFrame:
 
 def section_catalogue(links: DataFrame, ranking: DataFrame,
                       above: int = fixed.MIN_TOPIC_COUNT) -> DataFrame:
-    """Section urls -> scored sections: one segment, stem, count, frequent, ranked."""
+    """Section urls -> scored sections: one segment, stem, count, frequent, ranked.
+
+    The sections are shaped once and each distinct topic is stemmed once; calling this runs jobs.
+    """
     from newsloom.operators.links import one_segment_urls
 
-    shaped = one_segment_urls(links).withColumn("domain", urls.domain(F.col("url")))
-    stemmed = with_stem(shaped, "topic", "topic_stem")
-    counted = with_count(stemmed, "topic_stem", "topic_score")
-    frequent = counted.filter(F.col("topic_score") > above)
-    return score_sections(frequent, ranking)
+    shaped = write_through(
+        one_segment_urls(links).withColumn("domain", urls.domain(F.col("url"))), "sections")
+    topics = write_through(
+        with_stem(count_per_key(shaped, "topic", "_n"), "topic", "topic_stem"), "topics")
+    scores = topics.groupBy("topic_stem").agg(F.sum("_n").alias("topic_score"))
+    per_topic = topics.join(scores.filter(F.col("topic_score") > above), "topic_stem")
+    frequent = attach_by_key(shaped, per_topic, "topic", "_n").filter(F.col("topic_score").isNotNull())
+    return score_sections(frequent.select(*shaped.columns, "topic_stem", "topic_score"), ranking)

@@ -16,8 +16,8 @@ BYTES_PER_ROW = 48
 HOT_SHARE = 1000
 # Number of parts a hot key is split into.
 HOT_PARTS = 64
-# Target number of records in one collected array.
-CHUNK_ROWS = 10_000
+# Arrays that the records of a key are dealt out to.
+ARRAY_PARTS = 64
 
 
 def count_per_key(rows: DataFrame, key: str, out: str) -> DataFrame:
@@ -75,24 +75,19 @@ def keep_matching_keys(rows: DataFrame, key: str, matching: DataFrame) -> DataFr
     return attach_by_key(rows, flags, key, "_n").filter("_match").select(*columns)
 
 
-def collect_in_chunks(
+def collect_in_parts(
     rows: DataFrame, key: str, fields: list[str], spread_by: str, out: str = "records",
-    chunk_rows: int = CHUNK_ROWS,
+    parts: int = ARRAY_PARTS,
 ) -> DataFrame:
-    """Records per key as sorted arrays of bounded size (key, chunk, records).
+    """Records per key as sorted arrays (key, part, records).
 
-    Equal records are folded into one with a ``copies`` count. A key with up to
-    ``chunk_rows`` distinct records gives one array (chunk 0); a larger one is
-    cut by the hash of ``spread_by`` into as many chunks as it needs.
+    Equal records are folded into one with a ``copies`` count. The hash of ``spread_by``
+    deals them out to ``parts`` arrays per key, the same for every number of rows; a part
+    without records has no row. Take more parts where keys have many millions of records.
     """
     folded = rows.groupBy(key, *fields).agg(F.count("*").alias("copies"))
-    sized = with_count(folded, key, "_n")
-    chunks = F.ceil(F.col("_n") / chunk_rows).cast("bigint")
-    chunk: Column = F.when(F.col("_n") <= chunk_rows, F.lit(0).cast("bigint")).otherwise(
-        hash32(F.col(spread_by)) % chunks
-    )
+    part: Column = hash32(F.col(spread_by)) % parts
     return (
-        sized.withColumn("chunk", chunk)
-        .groupBy(key, "chunk")
+        folded.withColumn("part", part).groupBy(key, "part")
         .agg(F.sort_array(F.collect_list(F.struct(*fields, "copies"))).alias(out))
     )

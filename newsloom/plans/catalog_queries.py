@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import stemming
 from newsloom.operators import catalog, links
-from newsloom.plans.check_sql import PAGE_HREFS, stem_ctes
+from newsloom.plans.check_sql import PAGE_HREFS, part_of, stem_ctes
 from newsloom.plans.fixtures import cte, fixture, table
 from newsloom.plans.registry import query
 from newsloom.plans.scan_queries import SCORED, scored_sections
@@ -163,16 +163,16 @@ def frequent_topics(spark, sf):
 
 @query("domain_records", f"""{SR},{SCORED},
 f AS (SELECT domain, url, topic, score, count(*) AS copies FROM scored GROUP BY ALL)
-SELECT domain, CAST(0 AS BIGINT) AS chunk,
+SELECT domain, {part_of('url')} AS part,
   string_agg(url || ' ' || topic || ' ' || CAST(CAST(round(score * 1000000) AS BIGINT) AS VARCHAR) || ' ' || CAST(copies AS VARCHAR), '|' ORDER BY url, topic, score) AS records
-FROM f GROUP BY domain""")
+FROM f GROUP BY domain, part""")
 def domain_records(spark, sf):
     records = catalog.domain_records(scored_sections(spark, sf))
     one = lambda r: F.concat_ws(
         " ", r["url"], r["topic"], F.round(r["score"] * 1000000).cast("bigint").cast("string"),
         r["copies"].cast("string"))
     return records.select(
-        "domain", "chunk", F.array_join(F.transform("records", one), "|").alias("records"))
+        "domain", "part", F.array_join(F.transform("records", one), "|").alias("records"))
 
 
 @query("distinct_domains", f"{S} SELECT count(DISTINCT domain) AS n_domains FROM sections_fx")
@@ -199,10 +199,10 @@ def ranking_sorted(spark, sf):
     return catalog.ranking_sorted(ranking(spark, sf))
 
 
-@query("top_media", f"""{cte('ranking_fx')}
-SELECT media, domain, overall FROM ranking_fx ORDER BY overall, media, domain LIMIT 60""")
+@query("top_media", f"""{cte('media_ranking_fx')}
+SELECT media, domain, overall FROM media_ranking_fx ORDER BY overall, media, domain LIMIT 60""")
 def top_media(spark, sf):
-    return catalog.top_media(ranking(spark, sf))
+    return catalog.top_media(fixture(spark, sf, "media_ranking_fx"))
 
 
 @query("complete_rows", f"""{cte('news_fx')}

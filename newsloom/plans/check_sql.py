@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from newsloom.functions import fixed
+from newsloom.operators.skew import ARRAY_PARTS
 
 VISIBLE = (
     r"regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)"
@@ -26,6 +27,11 @@ def decoded_article(text: str) -> str:
     return decoded(text)
 
 
+def part_of(text: str, parts: int = ARRAY_PARTS) -> str:
+    """Part of a record by the hash of ``text``."""
+    return f"CAST(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) % {parts} AS BIGINT)"
+
+
 def status_of_url(url: str = "url", media: str = "media_url") -> str:
     pieces = f"list_filter(string_split({url}, '/'), lambda x: x <> '')"
     sections = " OR ".join(f"contains({url}, '{s}')" for s in fixed.IRRELEVANT_SECTIONS)

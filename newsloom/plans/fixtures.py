@@ -71,6 +71,11 @@ SELECT DISTINCT source AS media, source || '.example.com' AS domain, 'Spain' AS
 FROM documents WHERE source NOT LIKE '%7'
 UNION ALL
 SELECT 'ghost', 'ghost.example.com', 'Spain', 'Western Europe', 'Spanish', 50.0""",
+    # A ranking with a media per document, many of equal rank.
+    "media_ranking_fx": """
+SELECT 'm' || CAST(doc_id AS STRING) AS media, 'm' || CAST(doc_id AS STRING) || '.' || source || '.example.com' AS domain,
+  CAST(1 + n_chars % 40 AS DOUBLE) AS overall
+FROM documents""",
     # The ranking as it comes: capital names, spaces around, a rank column.
     "raw_ranking_fx": """
 SELECT '  ' || media || ' ' AS Media, domain || '  ' AS Domain, country AS Country, region AS Region,

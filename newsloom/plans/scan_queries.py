@@ -8,7 +8,7 @@ from newsloom.functions import dates
 from newsloom.functions.stemming import with_stem
 from newsloom.operators import articles, catalog, links
 from newsloom.plans import ingest as ingest_plan
-from newsloom.plans.check_sql import status_of_url, stem_ctes
+from newsloom.plans.check_sql import part_of, status_of_url, stem_ctes
 from newsloom.plans.fixtures import AS_OF, cte, fixture
 from newsloom.plans.registry import query
 from newsloom.sources import schemas, sinks, tables
@@ -43,6 +43,19 @@ def scan_sections(spark, sf):
     return tables.scan_sections(spark, path).withColumn("score", F.round("score", 6))
 
 
+@query("scan_section_documents", f"""{cte('sections_fx')}
+SELECT domain, url, topic, CAST(length(topic) / 2.0 AS DOUBLE) AS score FROM sections_fx""")
+def scan_section_documents(spark, sf):
+    """Catalogue files of the form {domain: {"records": [[url, topic, score]]}}, one object per file."""
+    path = new_path(spark, "section-documents")
+    record = F.array(F.concat(F.lit(" "), "url"), "topic", (F.length("topic") / 2.0).cast("string"))
+    entries = fixture(spark, sf, "sections_fx").groupBy("domain", (F.crc32(F.col("url").cast("binary")) % 64).alias("part")).agg(
+        F.struct(F.collect_list(record).alias("records")).alias("entry"))
+    objects = entries.select(F.to_json(F.create_map("domain", "entry")).alias("value"))
+    objects.write.option("maxRecordsPerFile", 1).text(path)
+    return tables.scan_section_documents(spark, path)
+
+
 @query("scan_ranking", f"{cte('ranking_fx')} SELECT * FROM ranking_fx")
 def scan_ranking(spark, sf):
     path = new_path(spark, "ranking")
@@ -151,15 +164,15 @@ def append_garbage(spark, sf):
 
 
 @query("write_sections", f"""{cte('sections_fx', 'ranking_fx')},{SCORED}
-SELECT domain, CAST(0 AS BIGINT) AS chunk, CAST(count(DISTINCT url || topic) AS BIGINT) AS n_records, count(*) AS n_rows,
-  string_agg(DISTINCT topic, ',' ORDER BY topic) AS topics FROM scored GROUP BY domain""")
+SELECT domain, {part_of('url')} AS part, CAST(count(DISTINCT url || topic) AS BIGINT) AS n_records, count(*) AS n_rows,
+  string_agg(DISTINCT topic, ',' ORDER BY topic) AS topics FROM scored GROUP BY domain, part""")
 def write_sections(spark, sf):
     path = new_path(spark, "sections")
     sinks.write_sections(catalog.domain_records(scored_sections(spark, sf)), path)
     r = spark.read.schema(schemas.SECTION_RECORDS).json(path)
     total = F.aggregate("records", F.lit(0).cast("bigint"), lambda a, x: a + x["copies"])
     return r.select(
-        "domain", "chunk", F.size("records").cast("bigint").alias("n_records"),
+        "domain", "part", F.size("records").cast("bigint").alias("n_records"),
         total.alias("n_rows"), F.array_join(F.array_sort("records.topic"), ",").alias("topics"))
 
 
@@ -186,11 +199,11 @@ def write_ranking(spark, sf):
     return tables.scan_ranking(spark, path)
 
 
-@query("write_top_media", f"""{cte('ranking_fx')}
-SELECT media, domain, overall FROM ranking_fx ORDER BY overall, media, domain LIMIT 60""")
+@query("write_top_media", f"""{cte('media_ranking_fx')}
+SELECT media, domain, overall FROM media_ranking_fx ORDER BY overall, media, domain LIMIT 60""")
 def write_top_media(spark, sf):
     path = new_path(spark, "top")
-    sinks.write_top_media(catalog.top_media(fixture(spark, sf, "ranking_fx")), path)
+    sinks.write_top_media(catalog.top_media(fixture(spark, sf, "media_ranking_fx")), path)
     return spark.read.csv(path, sep=";", schema="media string, domain string, overall double")
 
 
@@ -204,14 +217,14 @@ def write_frequent_topics(spark, sf):
 
 
 @query("write_region_media", f"""{cte('ranking_fx')}
-SELECT region, CAST(0 AS BIGINT) AS chunk, string_agg(DISTINCT 'https://' || domain, ',' ORDER BY 'https://' || domain) AS media_urls
-FROM ranking_fx GROUP BY region""")
+SELECT region, {part_of("'https://' || domain")} AS part, string_agg(DISTINCT 'https://' || domain, ',' ORDER BY 'https://' || domain) AS media_urls
+FROM ranking_fx GROUP BY region, part""")
 def write_region_media(spark, sf):
     path = new_path(spark, "regions")
     media = fixture(spark, sf, "ranking_fx").select(
         "region", F.concat(F.lit("https://"), "domain").alias("media_url"))
     sinks.write_region_media(media, path)
-    written = spark.read.schema("region string, chunk bigint, media_urls array<string>").json(path)
+    written = spark.read.schema("region string, part bigint, media_urls array<string>").json(path)
     return written.withColumn("media_urls", F.array_join("media_urls", ","))
 
 

@@ -17,7 +17,7 @@ RANKING = "media string, domain string, country string, region string, language
 SPECIAL_MEDIA = "media string, domain string"
 RANKING_TEXT = "media string, domain string, score double"
 SECTION_RECORDS = (
-    "domain string, chunk bigint, "
+    "domain string, part bigint, "
     "records array<struct<url:string,topic:string,score:double,copies:bigint>>"
 )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators.links import stored_among
-from newsloom.operators.skew import collect_in_chunks
+from newsloom.operators.skew import collect_in_parts
 
 
 def _append(fresh: DataFrame, path: str, batch_id: str) -> None:
@@ -52,7 +52,7 @@ def append_garbage(garbage: DataFrame, stored: DataFrame, path: str, batch_id: s
 
 
 def write_sections(records: DataFrame, path: str) -> None:
-    """Catalogue as JSON lines, one per domain chunk."""
+    """Catalogue as JSON lines, one per domain and part."""
     records.write.json(path)
 
 
@@ -75,10 +75,10 @@ def write_frequent_topics(stems: DataFrame, path: str) -> None:
 
 
 def write_region_media(media: DataFrame, path: str) -> None:
-    """Media urls per region as JSON lines (bounded arrays, see ``collect_in_chunks``)."""
+    """Media urls per region as JSON lines (arrays by parts, see ``collect_in_parts``)."""
     unique = media.select("region", "media_url").distinct()
-    collect_in_chunks(unique, "region", ["media_url"], "media_url").select(
-        "region", "chunk", F.col("records.media_url").alias("media_urls")
+    collect_in_parts(unique, "region", ["media_url"], "media_url").select(
+        "region", "part", F.col("records.media_url").alias("media_urls")
     ).write.json(path)
 
 

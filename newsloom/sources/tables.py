@@ -17,7 +17,7 @@ def scan_pages(spark: SparkSession, path: str) -> DataFrame:
 # ---- section catalogue -------------------------------------------------------
 
 def scan_sections(spark: SparkSession, path: str) -> DataFrame:
-    """Section catalogue as JSON lines (one per domain chunk) -> one row per section.
+    """Section catalogue as JSON lines (one per domain and part) -> one row per section.
 
     ``copies`` tells how often the same record was found.
     The files split at line ends, so a catalogue of any size reads in parallel.

@@ -47,15 +47,16 @@ def test_hot_key_is_split(keyed):
     assert "_part" in parts._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_collect_in_chunks(spark):
+def test_collect_in_parts(spark):
     rows = spark.createDataFrame(
         [("big", f"u{i % 250}") for i in range(300)] + [("small", "u1")], "d string, url string")
-    got = skew.collect_in_chunks(rows, "d", ["url"], "url", chunk_rows=20).collect()
-    assert all(len(r["records"]) <= 60 for r in got)
+    got = skew.collect_in_parts(rows, "d", ["url"], "url", parts=8).collect()
+    parts = {(r["d"], x["url"]): r["part"] for r in got for x in r["records"]}
     big = [x for r in got if r["d"] == "big" for x in r["records"]]
-    assert len({r["chunk"] for r in got if r["d"] == "big"}) > 5
+    assert len([r for r in got if r["d"] == "big"]) == 8
     assert len(big) == 250 and sum(x["copies"] for x in big) == 300
-    assert [r["chunk"] for r in got if r["d"] == "small"] == [0]
+    # The part of a record depends on the record alone.
+    assert parts["small", "u1"] == parts["big", "u1"]
 
 
 def distance(a, b):
@@ -79,6 +80,34 @@ def test_edit_pairs_equal_brute_force(spark, limit):
     assert got == brute
 
 
+@pytest.mark.parametrize("limit", [1, 2])
+def test_edit_pairs_of_long_words_equal_brute_force(spark, limit):
+    rng = random.Random(3)
+    words = set()
+    for size in (31, 32, 33, 34, 35, 60):
+        for _ in range(4):
+            word = "".join(rng.choice("abcñ") for _ in range(size))
+            words.add(word)
+            for _ in range(6):
+                w = list(word)
+                for _ in range(rng.randint(1, 3)):
+                    i = rng.randrange(len(w))
+                    w[i : i + rng.randint(0, 1)] = rng.choice(["", "a", "x"])
+                words.add("".join(w))
+    df = spark.createDataFrame([(w,) for w in words], "topic string")
+    got = {(r[0], r[1], r[2]) for r in catalog.topic_edit_pairs(df, limit=limit).collect()}
+    brute = {(a, b, distance(a, b)) for a, b in itertools.product(words, words)
+             if a.encode() < b.encode() and abs(len(a) - len(b)) <= limit and distance(a, b) <= limit}
+    assert got == brute and len(got) > 20
+
+
+def test_edit_pairs_of_very_long_words(spark):
+    words = ["ab" * 1000, "ab" * 1000 + "c", "x" + "ab" * 1000, "y" * 2000]
+    df = spark.createDataFrame([(w,) for w in words], "topic string")
+    got = catalog.topic_edit_pairs(df).collect()
+    assert sorted(r[2] for r in got) == [1, 1, 2]
+
+
 def test_substring_semi_equals_brute_force(spark):
     topics = ["deportes", "sport", "a", "", "economia", "eco", "x", None]
     stems = ["eco", "port", "zz"]
