@@ -9,7 +9,7 @@ from newsloom.functions import fixed
 from newsloom.sources.schemas import status_table
 
 
-def _counters() -> list[Column]:
+def counters() -> list[Column]:
     code, stage = F.col("status_code"), F.col("stage")
     return [
         F.count_if(stage.isin("known", "page")).alias("n_scraped"),
@@ -38,20 +38,24 @@ def media_ingest_stats(events: DataFrame) -> DataFrame:
     Scraped are the distinct valid links, whether stored already or not; rejects of the
     url rules are not. The warning is for a media with scraped links and no insertion.
     """
+    return with_warning(events.groupBy("media_url").agg(*counters()))
+
+
+def with_warning(counted: DataFrame) -> DataFrame:
     warning = F.when(
         (F.col("n_scraped") > 0) & (F.col("n_inserted") == 0), fixed.NO_INSERT_WARNING
     ).otherwise("")
-    return events.groupBy("media_url").agg(*_counters()).withColumn("warning", warning)
+    return counted.withColumn("warning", warning)
 
 
 def run_summary(events: DataFrame) -> DataFrame:
     """Totals over all media."""
-    return events.agg(*_counters())
+    return events.agg(*counters())
 
 
 def media_and_run_stats(events: DataFrame) -> DataFrame:
     """Both in one pass; the run total is the row of media_url null."""
-    return events.rollup("media_url").agg(*_counters())
+    return events.rollup("media_url").agg(*counters())
 
 
 def garbage_by_status(garbage: DataFrame) -> DataFrame:

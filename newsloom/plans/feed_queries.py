@@ -7,9 +7,9 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
-from newsloom.functions.util import blank
-from newsloom.operators import feed, release
+from newsloom.operators import articles, feed, release
 from newsloom.plans.fixtures import cte, fixture, table
+from newsloom.plans.page_queries import RECORDS, as_of
 from newsloom.plans.registry import query
 from newsloom.sources.tables import pending_news
 
@@ -131,9 +131,9 @@ SUMMARY = "coalesce(regexp_extract(response, '(?s)Body Summary:(.*)', 1), '')"
 @query("summary_fields", f"""{R}
 SELECT url, CASE WHEN contains({SUMMARY}, 'BodyNotFound') THEN text ELSE {SUMMARY} END AS body,
   CASE WHEN contains({SUMMARY}, 'BodyNotFound') THEN -1 ELSE {TOKENS} END AS n_tokens
-FROM responses_fx WHERE response IS NOT NULL""")
+FROM responses_fx""")
 def summary_fields(spark, sf):
-    rows = fixture(spark, sf, "responses_fx").filter("response IS NOT NULL")
+    rows = fixture(spark, sf, "responses_fx")
     return rows.select("url", text.summary_struct(c("text"), c("response")).alias("s")).select("url", "s.*")
 
 
@@ -165,19 +165,21 @@ INSTRUCTION = (
 
 @query("summary_request", f"""
 SELECT doc_id, '{INSTRUCTION.replace("'", "''")}' AS instruction,
-  regexp_replace(regexp_replace(text, '<[^\\n]*?>', '', 'g'), '\\n+', chr(10), 'g') AS content FROM documents WHERE text <> ''""")
+  regexp_replace(regexp_replace(text, '<[^\\n]*?>', '', 'g'), '\\n+', chr(10), 'g') AS content FROM documents""")
 def summary_request(spark, sf):
-    rows = table(spark, sf, "documents").filter(~blank(c("text")))
+    rows = table(spark, sf, "documents")
     content = text.collapse_newlines(text.strip_tags(c("text")))
     return rows.select("doc_id", F.lit(INSTRUCTION).alias("instruction"), content.alias("content"))
 
 
-@query("summarizer", """
-SELECT doc_id, 'Summary: ' || text AS body, CAST(len(string_split(text, ' ')) AS INT) AS n_tokens FROM documents""")
+@query("summarizer", f"""{cte('article_pages_fx')},{RECORDS}
+SELECT page_id, 'Summary: ' || body AS body, CAST(len(string_split(body, ' ')) AS INT) AS n_tokens FROM records WHERE status_code = '0'""")
 def summarizer(spark, sf):
-    """A summariser of the user's own in place of the identity."""
+    """The article job with a summariser of the user's own in place of the identity."""
 
     def own(body):
         return F.struct(F.concat(F.lit("Summary: "), body).alias("body"), F.size(F.split(body, " ")).alias("n_tokens"))
 
-    return table(spark, sf, "documents").select("doc_id", own(c("text")).alias("s")).select("doc_id", "s.*")
+    found = articles.article_outcomes(
+        fixture(spark, sf, "article_pages_fx"), as_of(), summariser=own, keep=("page_id",))
+    return found.filter("status_code = '0'").select("page_id", "body", "n_tokens")

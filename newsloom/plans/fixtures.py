@@ -71,6 +71,13 @@ SELECT DISTINCT source AS media, source || '.example.com' AS domain, 'Spain' AS
 FROM documents WHERE source NOT LIKE '%7'
 UNION ALL
 SELECT 'ghost', 'ghost.example.com', 'Spain', 'Western Europe', 'Spanish', 50.0""",
+    # Outcomes of ingest runs with their time.
+    "ingest_events_fx": """
+SELECT event_id, ts, event_type AS media_url,
+  CASE event_id % 6 WHEN 0 THEN 'link' WHEN 1 THEN 'known' WHEN 2 THEN 'stored' ELSE 'page' END AS stage,
+  CASE WHEN event_id % 6 = 0 THEN '3_2' WHEN event_id % 6 < 3 THEN NULL
+    WHEN user_id % 3 = 0 THEN '0' WHEN user_id % 3 = 1 THEN '5_6' ELSE '5_8' END AS status_code
+FROM events""",
     # A ranking with a media per document, many of equal rank.
     "media_ranking_fx": """
 SELECT 'm' || CAST(doc_id AS STRING) AS media, 'm' || CAST(doc_id AS STRING) || '.' || source || '.example.com' AS domain,

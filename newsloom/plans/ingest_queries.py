@@ -203,10 +203,6 @@ def media_and_run_stats(spark, sf):
 
 # ---- streams -----------------------------------------------------------------
 
-def stream_of(spark, sf, name, schema):
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
-
-
 @query("stream_new_pages", f"""{cte('article_pages_fx')},{RECORDS}
 SELECT 'news' AS part, url, media_url, '0' AS status_code, title, body FROM records r
   WHERE status_code = '0' AND {status_of_url('r.url', 'r.media_url')} = '0'
@@ -229,31 +225,41 @@ def stream_new_pages(spark, sf):
     return good.unionByName(bad)
 
 
-EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+def arriving(spark, rows, name, extra=()):
+    """Stream over ``rows`` (with ``ts``) as files in the order of time, one file per micro-batch.
+
+    The files are cut at noon, so that days go over two files; ``extra`` comes last.
+    """
+    path = new_path(spark, name)
+    day = F.datediff(F.to_date(c("ts") + F.expr("INTERVAL 12 HOURS")), F.lit("2024-01-01"))
+    for part in [rows.filter(day < 8), rows.filter((day >= 8) & (day < 16)), rows.filter(day >= 16), *extra]:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query("stream_dedup_links", """
 SELECT DISTINCT event_type || '/' || CAST(user_id AS STRING) || '/' || CAST(CAST(ts AS DATE) AS STRING) AS url FROM events""")
 def stream_dedup_links(spark, sf):
-    """Links with their day in the url arrive with repeats; each url passes once."""
+    """Links with their day in the url arrive in several batches, with repeats across
+    them; each url passes once, and one that comes days late not at all."""
     path = new_path(spark, "dedup")
-    found = stream_of(spark, sf, "events", EVENT_SCHEMA).select(
-        F.concat_ws("/", "event_type", c("user_id").cast("string"), F.to_date("ts").cast("string")).alias("url"),
-        c("ts").cast("timestamp").alias("published_at"))
+    rows = table(spark, sf, "events").select("ts", F.concat_ws(
+        "/", "event_type", c("user_id").cast("string"), F.to_date("ts").cast("string")).alias("url"))
+    late = rows.agg(F.min("ts").alias("ts")).select("ts", F.lit("late/row").alias("url"))
+    found = arriving(spark, rows, "links-arriving", [late]).select("url", c("ts").cast("timestamp").alias("published_at"))
     jobs.write_new_rows(
         jobs.stream_dedup_links(found), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/rows").select("url")
 
 
-@query("stream_media_stats", """
-SELECT date_trunc('hour', ts) AS hour, event_type AS media_url, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+@query("stream_media_stats", f"""{cte('ingest_events_fx')}, per AS (
+SELECT date_trunc('hour', ts) AS hour, media_url, {COUNTERS} FROM ingest_events_fx GROUP BY 1, 2)
+SELECT *, CASE WHEN n_scraped > 0 AND n_inserted = 0 THEN '0 insertions to db' ELSE '' END AS warning FROM per""")
 def stream_media_stats(spark, sf):
+    """The ingest statistics over several micro-batches equal those of one batch."""
     path = new_path(spark, "hourly")
-    rows = stream_of(spark, sf, "events", EVENT_SCHEMA).select(
-        c("ts").cast("timestamp").alias("ts"), c("event_type").alias("media_url"), "value")
+    rows = arriving(spark, fixture(spark, sf, "ingest_events_fx"), "outcomes-arriving")
+    rows = rows.withColumn("ts", c("ts").cast("timestamp"))
     jobs.write_updates(
         jobs.stream_media_stats(rows), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
-    latest = jobs.latest_updates(spark, f"{path}/rows", ["hour", "media_url"])
-    return latest.withColumn("total", F.round("total", 4))
-
-
+    return jobs.latest_updates(spark, f"{path}/rows", ["hour", "media_url"])

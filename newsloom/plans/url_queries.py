@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.functions import dates, fixed, jsonld, text, urls
-from newsloom.operators import links
+from newsloom.operators import articles, links
 from newsloom.plans.check_sql import CUT, PAGE_HREFS, absolute, status_of_url
 from newsloom.plans.fixtures import AS_OF, cte, fixture, table
 from newsloom.plans.registry import query
@@ -269,8 +269,11 @@ def age_days(spark, sf):
         F.round(days * dates.SECONDS_PER_DAY, 3).alias("seconds"))
 
 
-@query("insert_time")
+@query("insert_time", f"""{cte('candidates_fx')}
+SELECT url, media_url, {status_of_url()} AS status_code, epoch_us(TIMESTAMPTZ '{AS_OF}') AS inserted_micros
+FROM candidates_fx WHERE {status_of_url()} <> '0'""")
 def insert_time(spark, sf):
-    """Rows per media with the time of the run."""
-    return candidates(spark, sf).groupBy("media_url").agg(F.count("*").alias("n")).withColumn(
-        "inserted_at", F.current_timestamp())
+    """Rejects with the insert time of their run, which is given to it."""
+    statused = links.classify_urls(candidates(spark, sf).select("url", "media_url"))
+    rows = articles.to_garbage_rows(statused, dates.instant_literal(AS_OF))
+    return rows.select("url", "media_url", "status_code", F.unix_micros("inserted_at").alias("inserted_micros"))

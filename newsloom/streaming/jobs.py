@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from newsloom.operators import stats
 from newsloom.plans.ingest import run_ingest
 
 FRESH = "1 day"
@@ -32,19 +33,26 @@ def stream_new_pages(arriving: DataFrame, news_path: str, garbage_path: str,
 
 
 def stream_dedup_links(links: DataFrame) -> DataFrame:
-    """First arrival of each url; the state of a url is kept for the freshness limit."""
+    """First arrival of each url; the state of a url is kept for the freshness limit.
+
+    A row that is older than that limit when it arrives is left out.
+    """
     return links.withWatermark("published_at", FRESH).dropDuplicatesWithinWatermark(["url"])
 
 
-def stream_media_stats(events: DataFrame, time: str = "ts", key: str = "media_url") -> DataFrame:
-    """Rows and value sum per hour and media over arriving rows."""
-    hour = F.window(time, "1 hour")
-    return (
+def stream_media_stats(events: DataFrame, time: str = "ts") -> DataFrame:
+    """The ingest statistics per hour and media over arriving outcome rows.
+
+    ``events`` has (media_url, stage, status_code) as ``ingest_events`` gives them, and
+    the time; the counters are those of ``media_ingest_stats``.
+    """
+    counted = (
         events.withWatermark(time, FRESH)
-        .groupBy(hour, key)
-        .agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-        .select(F.col("window.start").alias("hour"), key, "n", "total")
+        .groupBy(F.window(time, "1 hour"), "media_url")
+        .agg(*stats.counters())
+        .withColumn("hour", F.col("window.start")).drop("window")
     )
+    return stats.with_warning(counted)
 
 
 def write_updates(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

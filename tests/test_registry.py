@@ -33,7 +33,7 @@ def test_query_equals_check(spark, con, name):
 
 def test_checks_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(QUERIES) - set(CHECKS) == {"insert_time"}
+    assert set(QUERIES) == set(CHECKS)
 
 
 def test_entry(spark):
