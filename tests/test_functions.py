@@ -64,6 +64,21 @@ def test_entities(spark):
     ]
 
 
+def test_entities_equal_the_standard_table(spark):
+    from html import unescape
+
+    rows = ["&notit; &notin; &notin &NotEqualTilde; &CounterClockwiseContourIntegral;", "&#146;&#x92;&#150 &#129;|",
+            "&#0; &#00000000065; &#99999999999999999999; &#xD800; &#x110000; &#1;&#11;&#13;|&#xFDD0;|", "&ampx &AMP &apos &bogus; &#; &#x;"]
+    assert run(spark, [(r,) for r in rows], "t string", text.decode_entities(c("t"))) == [unescape(r) for r in rows]
+
+
+def test_text_of_a_long_page_is_linear(spark):
+    """One page of 32,000 tags; with arrays in the fold this took half a minute."""
+    page = "".join(f"<p>a{i} <b>b</b> c</p>\n" for i in range(8000))
+    (got,) = run(spark, [(page,)], "h string", html.element_text(html.visible_markup(c("h"))))
+    assert got == "".join(f"a{i} b c" for i in range(8000))
+
+
 @pytest.mark.parametrize("word,stem", [
     ("cheques", "chequ"), ("chequeo", "cheque"), ("chía", "chi"), ("chicas", "chic"),
     ("torá", "tor"), ("tórax", "torax"), ("toreándolo", "tor"), ("toreó", "tore"),
@@ -72,6 +87,18 @@ def test_entities(spark):
     ("noticia", "notici"), ("noticias", "notici"), ("rápidamente", "rapid"),
     ("actividades", "activ"), ("investigación", "investig"), ("psicología", "psicolog"),
     ("construyendo", "constru"), ("siguen", "sig"), ("y", "y"), ("", ""),
+    # From the sample vocabulary published with the rules.
+    ("cheraw", "cheraw"), ("chesca", "chesc"), ("chester", "chest"), ("chetumal", "chetumal"),
+    ("chetumaleños", "chetumaleñ"), ("chevrolet", "chevrolet"), ("cheyene", "cheyen"),
+    ("cheyenne", "cheyenn"), ("chi", "chi"), ("chiapaneca", "chiapanec"), ("chiapas", "chiap"),
+    ("chiba", "chib"), ("chic", "chic"), ("chica", "chic"), ("chicago", "chicag"), ("chicana", "chican"),
+    ("chicano", "chican"), ("chicharrones", "chicharron"), ("chichen", "chich"),
+    ("chichimecas", "chichimec"), ("chicles", "chicl"), ("chico", "chic"), ("torácica", "torac"),
+    ("torácico", "torac"), ("torbellino", "torbellin"), ("torcedores", "torcedor"), ("torcer", "torc"),
+    ("torcida", "torc"), ("torcidos", "torc"), ("tordesillas", "tordesill"), ("toreo", "tore"),
+    ("torera", "torer"), ("torero", "torer"), ("toreros", "torer"), ("tormenta", "torment"),
+    ("tormentas", "torment"), ("tornado", "torn"), ("tornados", "torn"), ("tornar", "torn"),
+    ("torneo", "torne"), ("tornillo", "tornill"), ("torno", "torn"),
 ])
 def test_stem(spark, word, stem):
     assert run(spark, [(word,)], "w string", stemming.stem(c("w"))) == [stem]
@@ -146,6 +173,9 @@ def test_json_leaves(spark):
     assert leaves(spark, '{"a":"x\ny"}', "{broken", '[{"z":1},2,{"y":{}}]') == [
         ("a", "x y"), ("z", "1"), ("y", "")]
     deep = "{\"k\":" * 9 + "1" + "}" * 9
+    for n in (13, 120):
+        deeper = "{\"k\":" * n + "{\"articleBody\":\"x\"}" + "}" * n
+        assert leaves(spark, deeper)[0] == (".".join("k" * n) + ".articleBody", "x")
     assert [p for p, _ in leaves(spark, deep)][0] == ".".join("k" * 9)
 
 
