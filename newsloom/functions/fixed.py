@@ -66,10 +66,10 @@ SECTION_BANNED_WIDE = (
 )
 
 # Link shapes of the exploratory section rule, and its leading scheme.
-LINK_SHAPE_ABSOLUTE = r"^(?:\w*:?)/{2}[^/]+/[^/]*/?$"
-LINK_SHAPE_RELATIVE = r"^(?!(\w*:?/{1,2}))[^/]+/[^/]+/?$"
-LINK_SHAPE_NODE = r"^/[^/-]+-?[^/-]*/?$"
-LINK_SCHEME = r"^(?:\w*:?/{1,2})"
+LINK_SHAPE_ABSOLUTE = r"^(?:\w*:?)\/{2}[^\/]+\/[^\/]*\/?$"
+LINK_SHAPE_RELATIVE = r"^(?!(\w*:?\/{1,2}))[^\/]+\/[^\/]+\/?$"
+LINK_SHAPE_NODE = r"^\/[^\/-]+-?[^\/-]*\/?$"
+LINK_SCHEME = r"^(?:\w*:?\/{1,2})"
 
 # Last url word made of one to three short pieces.
 SHORT_SLUG = r"^[.a-zA-Z0-9]+(-[.a-zA-Z0-9]+){0,2}$"

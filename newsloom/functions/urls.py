@@ -68,6 +68,29 @@ def section_canonical(href: Column, page_url: Column) -> Column:
     return F.concat(F.regexp_replace(bare, r"/\z", ""), F.lit("/"))
 
 
+def section_canonical_wide(link: Column, page_url: Column) -> Column:
+    """Exploratory section url of a link that ``valid_section_url_wide`` lets pass.
+
+    A root link with ``www.`` in it names its host; another one is put behind the page
+    url without its last character.
+    """
+
+    def full(low: Column) -> Column:
+        return (
+            F.when(low.startswith("//"), F.concat(F.lit("https:"), low))
+            .when(low.startswith("/") & low.contains("www."), F.concat(F.lit("https:/"), low))
+            .when(low.startswith("/"), F.concat(F.substring(page_url, F.lit(1), F.length(page_url) - 1), low))
+            .when(low.startswith("www."), F.concat(F.lit("https://"), low))
+            .otherwise(low)
+        )
+
+    def closed(url: Column) -> Column:
+        cut = F.when(url.contains("#"), F.concat(F.substring_index(url, "#", 1), F.lit("/"))).otherwise(url)
+        return F.when(cut.endswith("/"), cut).otherwise(F.concat(cut, F.lit("/")))
+
+    return let(let(F.lower(link), full), closed)
+
+
 # ---- parts -----------------------------------------------------------------
 
 def path_pieces(url: Column) -> Column:

@@ -11,6 +11,7 @@ from newsloom.functions.util import settle
 # Up to this many rows of keys, and this many bytes in them, are broadcast.
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 * 1024 * 1024
+HASH_BUCKETS = 1 << 20
 
 
 def page_links(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -32,14 +33,26 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return n <= rows and (size or 0) <= BROADCAST_BYTES
 
 
+def may_match(pages: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``pages`` whose url falls into a hash bucket of a url of ``keys``.
+
+    A filter ahead of a costly step, not a join: some rows without a partner pass. The
+    broadcast has at most HASH_BUCKETS numbers, however many keys there are.
+    """
+    bucket = F.pmod(F.xxhash64("url"), F.lit(HASH_BUCKETS)).cast("int")
+    wanted = keys.select(bucket.alias("_bucket")).distinct()
+    marked = pages.withColumn("_bucket", bucket)
+    return marked.join(F.broadcast(wanted), "_bucket", "left_semi").drop("_bucket")
+
+
 def section_links(pages: DataFrame, sections: DataFrame,
                   broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Links of section pages with the media and the score of their section.
 
     ``sections`` is (url, media_url, score). Page texts never move between
     machines: a small catalogue (counted) is broadcast and only section pages
-    are parsed; for a larger one the pages are parsed where they lie and their
-    link lists are joined.
+    are parsed; for a larger one the pages whose urls may match are parsed where
+    they lie and their link lists are joined.
     """
     hrefs = html.body_hrefs(F.col("html")).alias("hrefs")
     scored = sections.select("url", "media_url", "score")
@@ -47,7 +60,7 @@ def section_links(pages: DataFrame, sections: DataFrame,
         found = pages.select("url", "html").join(F.broadcast(scored), "url").select(
             "media_url", "score", hrefs)
     else:
-        found = pages.select("url", hrefs).join(scored, "url")
+        found = may_match(pages.select("url", "html"), scored).select("url", hrefs).join(scored, "url")
     link = urls.absolutise(urls.cut_query(F.col("href")), F.col("media_url"))
     return found.select("media_url", "score", F.explode("hrefs").alias("href")).select(
         "media_url", link.alias("url"), "score"

@@ -23,8 +23,9 @@ def fetched_outcomes(new: DataFrame, pages: DataFrame, as_of: Column,
     """Outcome of each new candidate (media_url, url, score) from its fetched page.
 
     Page texts never move between machines. Few candidates (counted) are
-    broadcast to the pages, and only their pages are parsed. Beyond that each
-    page is parsed where it lies and the much smaller records are joined.
+    broadcast to the pages, and only their pages are parsed. Beyond that the
+    pages whose urls may match are parsed where they lie and the much smaller records
+    are joined.
     Of a url that was fetched several times the last fetch counts; for few
     candidates it is chosen on the small columns before any text is read.
     Candidates without a page get the code of a failed request.
@@ -42,7 +43,7 @@ def fetched_outcomes(new: DataFrame, pages: DataFrame, as_of: Column,
         found = articles.article_outcomes(chosen, as_of, summariser)
         reached = last.select("url")
     else:
-        unscored = pages.select(
+        unscored = links.may_match(pages, wanted).select(
             "*", F.lit(None).cast("string").alias("media_url"),
             F.lit(None).cast("double").alias("score"),
         )

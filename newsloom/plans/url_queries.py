@@ -79,7 +79,7 @@ def valid_section_url(spark, sf):
         "page_url", "href", urls.valid_section_url(c("url"), c("domain")).alias("valid"))
 
 
-@query("valid_section_url_wide", f"""{cte('section_hrefs_fx')},
+WIDE = f"""{cte('section_hrefs_fx')},
 l AS (SELECT *, lower(href) AS low, regexp_replace(lower(href), '^(\\w*:?/{{1,2}})', '') AS bare FROM section_hrefs_fx)
 SELECT page_url, href, (regexp_matches(href, '^(\\w*:?)/{{2}}[^/]+/[^/]*/?$')
     OR (NOT regexp_matches(href, '^\\w*:?/') AND regexp_matches(href, '^[^/]+/[^/]+/?$'))
@@ -87,13 +87,28 @@ SELECT page_url, href, (regexp_matches(href, '^(\\w*:?)/{{2}}[^/]+/[^/]*/?$')
   AND NOT (length(low) - length(replace(low, '-', '')) > 1 OR {BANNED_WIDE} OR regexp_matches(low, '[0-9]{{3}}')
     OR contains(low, '?') OR contains(low, '=') OR contains(low, '%') OR (contains(low, 'aviso') AND contains(low, 'legal')))
   AND NOT (low = '' OR low = page_url OR low = domain)
-  AND NOT ((starts_with(low, '//') OR NOT starts_with(low, '/')) AND NOT starts_with(bare, domain)) AS valid FROM l""")
+  AND NOT ((starts_with(low, '//') OR NOT starts_with(low, '/')) AND NOT starts_with(bare, domain)) AS valid FROM l"""
+
+
+@query("valid_section_url_wide", WIDE)
 def valid_section_url_wide(spark, sf):
     return fixture(spark, sf, "section_hrefs_fx").select(
         "page_url", "href",
         urls.valid_section_url_wide(c("href"), c("page_url"), c("domain")).alias("valid"))
 
 
+@query("section_url_canonical_wide", f"""{WIDE.replace("FROM l", "FROM l), ok AS (SELECT page_url, href, low FROM shaped WHERE valid)").replace("SELECT page_url, href, (regexp", ", shaped AS (SELECT page_url, href, low, (regexp")},
+f AS (SELECT page_url, href, CASE WHEN starts_with(low, '//') THEN 'https:' || low
+  WHEN starts_with(low, '/') AND contains(low, 'www.') THEN 'https:/' || low
+  WHEN starts_with(low, '/') THEN left(page_url, length(page_url) - 1) || low
+  WHEN starts_with(low, 'www.') THEN 'https://' || low ELSE low END AS u FROM ok)
+SELECT page_url, href, rtrim(string_split(u, '#')[1], '/') || CASE WHEN contains(u, '/#') THEN '//' ELSE '/' END AS url FROM f""")
+def section_url_canonical_wide(spark, sf):
+    rows = fixture(spark, sf, "section_hrefs_fx").filter(
+        urls.valid_section_url_wide(c("href"), c("page_url"), c("domain")))
+    return rows.select("page_url", "href", urls.section_canonical_wide(c("href"), c("page_url")).alias("url"))
+
+
 @query("classify_urls", f"{C} SELECT doc_id, url, {status_of_url()} AS status_code FROM candidates_fx")
 def classify_urls(spark, sf):
     return links.classify_urls(candidates(spark, sf)).select("doc_id", "url", "status_code")
