@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import map_rows
+from newsloom.sources.workspace import write_through
 
 # Labelled rows the model is fitted on, the first by the hash of their id.
 TRAIN_ROWS = 12_000
@@ -89,35 +90,33 @@ class _Rows:
         return np.bincount(self.column, np.abs(self.value) * self.sizes[self.row], self.width)
 
 
-def fit(rows: list[tuple[set[str], int]], counterfactual: float = COUNTERFACTUAL, least_z: float = LEAST_Z,
+Example = tuple[set[str], int, list[set[str]]]
+
+
+def example(text: str | None, label: int) -> Example:
+    """Features, label, and the features of the swapped copies of a labelled text."""
+    found = features(text)
+    return found, label, swaps(found)
+
+
+def fit(rows: list[Example], counterfactual: float = COUNTERFACTUAL,
         l1: float = L1, l2: float = L2, rounds: int = ROUNDS) -> tuple[dict[str, float], float]:
-    """Weights of words and the bias. Without rows of both classes no word has a weight."""
-    n, positive = len(rows), sum(y for _, y in rows)
+    """Weights of features and the bias. Without rows of both classes no feature has a weight."""
+    n, positive = len(rows), sum(y for _, y, _ in rows)
     prior = (positive + 0.5) / (n + 1)
     bias = float(np.log(prior / (1 - prior)))
     if not 0 < positive < n:
         return {}, bias
-    counts: dict[str, list[int]] = {}
-    for words, y in rows:
-        for w in words:
-            counts.setdefault(w, [0, 0])[y] += 1
-    chosen = []
-    for w, (without, with_) in counts.items():
-        share = (without + with_ + 1) / (n + 2)
-        error = np.sqrt(share * (1 - share) * (1 / positive + 1 / (n - positive)))
-        if abs(with_ / positive - without / (n - positive)) >= least_z * error or w in _KIND:
-            chosen.append(w)
-    column = {w: i for i, w in enumerate(sorted({*chosen, *_KIND}))}
-    x = _Rows([[(column[w], 1.0) for w in sorted(ws & column.keys())] for ws, _ in rows], len(column))
-    y = np.array([y for _, y in rows], float)
+    column = {w: i for i, w in enumerate(sorted({w for ws, _, others in rows for s in (ws, *others) for w in s}))}
+    x = _Rows([[(column[w], 1.0) for w in sorted(ws)] for ws, _, _ in rows], len(column))
+    y = np.array([y for _, y, _ in rows], float)
     pairs = [
-        [(column[w], 1.0) for w in sorted((ws - other) & column.keys())]
-        + [(column[w], -1.0) for w in sorted((other - ws) & column.keys())]
-        for ws, _ in rows for other in swaps(ws)
+        [(column[w], 1.0) for w in sorted(ws - other)] + [(column[w], -1.0) for w in sorted(other - ws)]
+        for ws, _, others in rows for other in others
     ]
     d = _Rows(pairs or [[]], len(column))
     each = 2 * counterfactual / max(1, len(pairs))
-    # Accelerated proximal gradient with a step per word.
+    # Accelerated proximal gradient with a step per feature.
     step = 1 / (0.25 * (x.bound() + x.back(np.ones(n))) / n + each * d.bound() + l2 + 1e-9)
     bias_step = 1 / (0.25 * (1 + x.sizes.mean()) + 1e-9)
     w = z = np.zeros(len(column))
@@ -140,8 +139,8 @@ def score(words: set[str], weights: dict[str, float], bias: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(at, -40, 40))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, may_learn: Column, limit: int = TRAIN_ROWS) -> list[tuple[set[str], int]]:
-    """Words and label of at most ``limit`` labelled documents that ``may_learn`` (on doc_id) allows.
+def training_sample(docs: DataFrame, labels: DataFrame, may_learn: Column, limit: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, toxic, words and swapped of at most ``limit`` labelled documents that ``may_learn`` (on doc_id) allows.
 
     Labels are chosen by the hash of the id before any text is read. A null label counts
     as none; a document that is labelled twice has the larger label.
@@ -155,13 +154,51 @@ def training_rows(docs: DataFrame, labels: DataFrame, may_learn: Column, limit:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def per_batch(batch: pa.RecordBatch):
-        words = [sorted(features(t)) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
+        found = [features(t) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([
+            batch.column(0), batch.column(1), pa.array([sorted(f) for f in found], pa.list_(pa.string())),
+            pa.array([[sorted(s) for s in swaps(f)] for f in found], pa.list_(pa.list_(pa.string()))),
+        ], ["doc_id", "toxic", "words", "swapped"])
 
     # At most ``limit`` ids: bounded, so the texts need not move.
     found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    rows = map_rows(found, per_batch, "doc_id bigint, toxic int, words array<string>").collect()
-    return [(set(r["words"]), r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["words"]))]
+    schema = "doc_id bigint, toxic int, words array<string>, swapped array<array<string>>"
+    return write_through(map_rows(found, per_batch, schema), "toxicity-sample")
+
+
+def telling_features(sample: DataFrame, least_z: float = LEAST_Z) -> set[str]:
+    """Features whose shares in the two classes differ enough, and the names of groups."""
+    n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < positive < n:
+        return set(_KIND)
+    counts = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
+        F.count_if(F.col("toxic") == 0).alias("without"), F.count_if(F.col("toxic") == 1).alias("with"))
+    share = (F.col("without") + F.col("with") + 1) / F.lit(n + 2)
+    error = F.sqrt(share * (1 - share) * (1 / positive + 1 / (n - positive)))
+    apart = F.abs(F.col("with") / positive - F.col("without") / (n - positive)) >= least_z * error
+    return {r[0] for r in counts.filter(apart).select("word").collect()} | _KIND.keys()
+
+
+def training_rows(sample: DataFrame, wanted: set[str]) -> list[Example]:
+    """The sample with the ``wanted`` features alone, in the order of the ids."""
+
+    def per_batch(batch: pa.RecordBatch):
+        words = [[w for w in ws if w in wanted] for ws in batch.column(2).to_pylist()]
+        swapped = [[[w for w in ws if w in wanted] for ws in s] for s in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([
+            batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string())), pa.array(swapped, pa.list_(pa.list_(pa.string()))),
+        ], batch.schema.names)
+
+    rows = map_rows(sample, per_batch, sample.schema).collect()
+    ordered = sorted(rows, key=lambda r: (r["doc_id"], r["words"]))
+    return [(set(r["words"]), r["toxic"], [set(s) for s in r["swapped"]]) for r in ordered]
+
+
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column, limit: int = TRAIN_ROWS,
+          **options) -> tuple[dict[str, float], float]:
+    """``fit`` on the sample: its features are counted and chosen by Spark, only these reach the driver."""
+    sample = training_sample(docs, labels, may_learn, limit)
+    return fit(training_rows(sample, telling_features(sample)), **options)
 
 
 def score_toxicity(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:

@@ -259,7 +259,7 @@ def sentences(n, seed, biased):
 
 
 def test_swapped_groups_get_like_scores():
-    rows = [(toxicity.features(t), y) for t, y in sentences(1500, 1, True)]
+    rows = [toxicity.example(t, y) for t, y in sentences(1500, 1, True)]
     neutral = toxicity.features("the muslim neighbours came by with w1 and w2")
     (swapped, *_) = [s for s in toxicity.swaps(neutral) if "christian" in s]
 
@@ -279,8 +279,8 @@ def test_swapped_groups_get_like_scores():
 
 def test_fit_on_few_rows():
     assert toxicity.fit([]) == ({}, 0.0)
-    assert toxicity.fit([({"a"}, 1)] * 3)[0] == {}
-    w, b = toxicity.fit([(set(), 0), (set(), 1)])
+    assert toxicity.fit([({"a"}, 1, [])] * 3)[0] == {}
+    w, b = toxicity.fit([(set(), 0, []), (set(), 1, [])])
     assert 0 < toxicity.score(set(), w, b) < 1
 
 
@@ -298,9 +298,12 @@ def test_held_out_accuracy_and_split(spark):
 def test_labels_of_held_out_rows_are_not_read(spark):
     docs = spark.createDataFrame([(i, "vile" if i % 2 else "fine") for i in range(60)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2, 1) for i in range(60)] + [(3, None, 0), (None, 1, 1), (4, 7, 1)], "doc_id bigint, toxic int, quality int")
-    rows = toxicity.training_rows(docs, labels, ~held_out(F.col("doc_id")))
+    sample = toxicity.training_sample(docs, labels, ~held_out(F.col("doc_id")))
+    rows = toxicity.training_rows(sample, toxicity.telling_features(sample))
+    assert all(words == {("vile" if y else "fine")} for words, y, _ in rows)
     assert len(rows) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(60))
-    assert len(toxicity.training_rows(docs, labels, F.lit(True), limit=7)) == 7
+    assert toxicity.training_sample(docs, labels, F.lit(True), limit=7).count() == 7
+    assert toxicity.train(docs, labels.limit(0), F.lit(True)) == ({}, 0.0)
     empty = toxicity.score_toxicity(spark.createDataFrame([(1, None), (None, "")], "doc_id bigint, text string"), {}, 0.0).collect()
     assert [r["score"] for r in empty] == [0.5, 0.5]
 
