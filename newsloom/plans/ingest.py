@@ -13,7 +13,8 @@ from newsloom.sources.workspace import write_through
 MISSING_PAGE = "1_2"
 
 
-# Of several fetches of a url the last is taken: by the first of these columns that differs.
+# Of several fetches of a url the last is taken: by the first of these columns that differs,
+# or by the hash of the text where the pages have none of them.
 FETCH_ORDER = ("fetched_at", "page_id")
 
 
@@ -30,9 +31,9 @@ def fetched_outcomes(new: DataFrame, pages: DataFrame, as_of: Column,
     candidates it is chosen on the small columns before any text is read.
     Candidates without a page get the code of a failed request.
     """
-    order = [c for c in FETCH_ORDER if c in pages.columns]
+    order = [F.col(c) for c in FETCH_ORDER if c in pages.columns] or [F.xxhash64("html").alias("text")]
     names = [c for c in ("url", "html", "fetch_error") if c in pages.columns]
-    pages = pages.select(*names, F.struct(*order, F.xxhash64("html").alias("text")).alias("_order"))
+    pages = pages.select(*names, F.struct(*order).alias("_order"))
     wanted = new.select("media_url", "url", "score")
     columns = ["media_url", "url"]
     if links.fits_broadcast(new, broadcast_rows):
