@@ -2,15 +2,18 @@
 
 The hash of a line leads to the first document that has it. A document is paired
 with the first owners of its shared lines, rare ones included and frequent ones
-too, so a line of n documents makes n - 1 pairs and not n squared. A pair is aligned
-by patience diff over its line hashes, and an aligned block of enough words is
+too, so a line of n documents makes n - 1 pairs and not n squared. Passages of enough
+words that are left lead in the same way to the first document that has the whole
+passage, and from there to the earlier documents that have its rarest line. A pair is
+aligned by patience diff over its line hashes, and an aligned block of enough words is
 deleted from the later document. Documents are ordered by id.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -108,45 +111,82 @@ def line_sequences(docs: DataFrame) -> DataFrame:
     return map_rows(rows, per_batch, f"key {_KEY}, lines array<bigint>, words array<int>").dropDuplicates(["key"])
 
 
-def _candidates(sequences: DataFrame, min_words: int) -> DataFrame:
-    """Runs of shared lines of a document, once per first owner of a line in the run."""
-    lines = sequences.select("key", F.explode(F.array_distinct("lines")).alias("line"))
+def _later_runs(lines: DataFrame, sequences: DataFrame, min_words: int) -> DataFrame:
+    """Runs of lines of a document that all have an earlier first owner: key, start, lines, words,
+    and per line its first owner and the number of documents that have it."""
     # Written, so that the join below deals out both sides anew and can split a frequent line.
     owners = write_through(
-        lines.groupBy("line").agg(F.min("key").alias("owner"), F.count("*").alias("n")).filter("n > 1").drop("n"), "line-owners"
+        lines.groupBy("line").agg(F.min("key").alias("owner"), F.count("*").alias("n")).filter("n > 1"), "line-owners"
     )
     shared = (
         lines.join(owners, "line").filter(F.col("owner") != F.col("key"))
-        .groupBy("key").agg(F.collect_list(F.struct("line", "owner")).alias("shared"))
+        .groupBy("key").agg(F.collect_list(F.struct("line", "owner", "n")).alias("shared"))
     )
 
     def per_batch(batch: pa.RecordBatch):
         out = []
         for row in batch.to_pylist():
-            owner = {s["line"]: (s["owner"]["id"], s["owner"]["hash"]) for s in row["shared"]}
+            known = {s["line"]: (s["owner"], s["n"]) for s in row["shared"]}
             lines, words, i = row["lines"], row["words"], 0
             while i < len(lines):
-                start, partners = i, set()
-                while i < len(lines) and lines[i] in owner:
-                    partners.add(owner[lines[i]])
+                start = i
+                while i < len(lines) and lines[i] in known:
                     i += 1
                 # No block in a shorter run can be long enough.
                 if i > start and sum(words[start:i]) >= min_words:
-                    out += [(row["key"], {"id": p[0], "hash": p[1]}, start, lines[start:i], words[start:i]) for p in sorted(partners)]
+                    owners, counts = zip(*(known[x] for x in lines[start:i]))
+                    out.append((row["key"], start, lines[start:i], words[start:i], owners, counts))
                 i += i == start
-        columns = list(zip(*out)) or [[]] * 5
+        columns = list(zip(*out)) or [[]] * 6
         key = pa.struct([("id", pa.int64()), ("hash", pa.int64())])
-        types = (key, key, pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        types = (key, pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(key), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(c), t) for c, t in zip(columns, types)], ["key", "owner", "start", "lines", "words"]
+            [pa.array(list(c), t) for c, t in zip(columns, types)], ["key", "start", "lines", "words", "owners", "counts"]
         )
 
     return map_rows(
         sequences.join(shared, "key"), per_batch,
-        f"key {_KEY}, owner {_KEY}, start int, lines array<bigint>, words array<int>",
+        f"key {_KEY}, start int, lines array<bigint>, words array<int>, owners array<{_KEY}>, counts array<bigint>",
     )
 
 
+def passages(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """[start, end) of the shortest runs of ``min_words`` from each line on and up to each line.
+
+    A line that is inside any run of so many words is also inside one of these within that run.
+    """
+    upto = [0, *accumulate(words)]
+    ends = [(i, bisect_left(upto, x + min_words)) for i, x in enumerate(upto[:-1])]
+    starts = [(bisect_right(upto, x - min_words) - 1, j) for j, x in enumerate(upto) if x >= min_words]
+    return sorted({(i, j) for i, j in ends if j < len(upto)} | {(i, j) for i, j in starts if i < j})
+
+
+def _passage_rows(runs: DataFrame, blocks: DataFrame, min_words: int) -> DataFrame:
+    """Passages of more than one line in ``runs``: passage (hash), key, start (of the run) and whether
+    the ``blocks`` leave a line of it; if so, line is the one that fewest documents have."""
+    gone = blocks.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+
+    def per_batch(batch: pa.RecordBatch):
+        out = []
+        for key, start, lines, words, counts, gone in zip(*(c.to_pylist() for c in batch.columns)):
+            deleted = {i - start for b in gone or () for i in range(b["start"], b["end"])}
+            hashes = np.array(lines, np.int64)
+            for i, j in passages(words, min_words):
+                if j - i > 1:
+                    left = not deleted.issuperset(range(i, j))
+                    line = lines[min(range(i, j), key=counts.__getitem__)] if left else None
+                    out.append((xxhash.xxh64_intdigest(hashes[i:j].tobytes()), key, start, left, line))
+        columns = list(zip(*out)) or [[]] * 5
+        columns[0] = np.array(columns[0], np.uint64).view(np.int64)
+        types = (pa.int64(), batch.schema.field("key").type, pa.int32(), pa.bool_(), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, types)], ["passage", "key", "start", "left", "line"]
+        )
+
+    rows = runs.join(gone, "key", "left").select("key", "start", "lines", "words", "counts", "gone")
+    return map_rows(rows, per_batch, f"passage bigint, key {_KEY}, start int, left boolean, line bigint")
+
+
 def repeated_blocks(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """key, and blocks (array of start, end, owner, words) per document with aligned blocks.
 
@@ -154,6 +194,8 @@ def repeated_blocks(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFr
     """
     sequences = write_through(line_sequences(docs), "line-sequences")
     others = sequences.select(F.col("key").alias("owner"), F.col("lines").alias("other"))
+    lines = sequences.select("key", F.explode(F.array_distinct("lines")).alias("line"))
+    runs = write_through(_later_runs(lines, sequences, min_words), "line-runs")
 
     def per_batch(batch: pa.RecordBatch):
         out = []
@@ -166,9 +208,30 @@ def repeated_blocks(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFr
             [pa.array(list(c), t) for c, t in zip(columns, types)], ["key", "start", "end", "owner", "words"]
         )
 
-    pairs = _candidates(sequences, min_words).join(others, "owner").select("key", "owner", "start", "lines", "words", "other")
-    blocks = map_rows(pairs, per_batch, f"key {_KEY}, start int, end int, owner bigint, words bigint")
-    return blocks.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "owner", "words"))).alias("blocks"))
+    def aligned(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(others, "owner").select("key", "owner", "start", "lines", "words", "other")
+        return map_rows(rows, per_batch, f"key {_KEY}, start int, end int, owner bigint, words bigint")
+
+    by_line = runs.select("key", "start", "lines", "words", F.explode(F.array_distinct("owners")).alias("owner"))
+    blocks = write_through(aligned(by_line), "line-blocks")
+
+    # Passages that first owners of lines leave lead to the first document with the whole passage.
+    rows = write_through(_passage_rows(runs, blocks, min_words), "passages")
+    first = rows.groupBy("passage").agg(F.min("key").alias("owner"), F.max("left").alias("any")).filter("any")
+    left = write_through(rows.filter("left").join(first, "passage").select("key", "start", "line", "owner"), "left-passages")
+    by_passage = left.filter(F.col("owner") != F.col("key")).select("key", "start", "owner")
+    # That document itself may have it from an earlier one with other lines between: each one with its rarest line is tried.
+    firsts = left.filter(F.col("owner") == F.col("key")).select("key", "start", "line").distinct()
+    by_rarest = firsts.join(lines.withColumnRenamed("key", "owner"), "line").filter("owner < key").select("key", "start", "owner")
+    pairs = (
+        by_passage.unionByName(by_rarest).distinct().join(runs, ["key", "start"])
+        .filter(~F.array_contains("owners", F.col("owner"))).select("key", "start", "lines", "words", "owner")
+    )
+    more = aligned(pairs).groupBy("key", "start", "end", "words").agg(F.min("owner").alias("owner"))
+    return (
+        blocks.unionByName(more).groupBy("key")
+        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "owner", "words"))).alias("blocks"))
+    )
 
 
 def delete_blocks(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:

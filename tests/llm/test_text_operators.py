@@ -173,6 +173,36 @@ def test_line_dedup_of_equal_and_unnamed_rows(spark):
     assert got == sorted([(1, text), (1, text), (2, ""), (None, ""), (1, "other text")], key=str)
 
 
+def edited_lines(spark, docs):
+    """doc_id -> lines left of documents that are given as lists of lines."""
+    rows = [(i, "\n".join(lines), "s") for i, lines in docs.items()]
+    return {r["doc_id"]: r["text"].split("\n") for r in line_dedup.delete_blocks(frame(spark, rows)).collect()}
+
+
+def test_line_dedup_finds_the_whole_passage_behind_other_first_owners(spark):
+    r = random.Random(12)
+    one, two, three, four = passage(r, 2, 25) + passage(r, 2, 20)
+    docs = {1: [one, "x"], 2: [two, "y"], **{i: [f"head {i}", one, two, f"foot {i}"] for i in range(3, 9)}}
+    # The earlier document has another line inside the passage, and is the first owner of neither line.
+    docs |= {11: [three], 12: [four], 13: [three, "between", four], 14: [three, four], 15: ["z", three, four]}
+    want = docs | {i: [f"head {i}", f"foot {i}"] for i in range(4, 9)} | {14: [""], 15: ["z"]}
+    assert edited_lines(spark, docs) == want
+
+
+def test_passages_hold_every_line_of_a_long_enough_run():
+    assert line_dedup.passages([25, 25], 30) == [(0, 2)] and line_dedup.passages([30, 5], 30) == [(0, 1), (0, 2)]
+    assert line_dedup.passages([29], 30) == line_dedup.passages([], 30) == []
+    r = random.Random(8)
+    for _ in range(200):
+        words = [r.randrange(1, 15) for _ in range(r.randrange(12))]
+        some = line_dedup.passages(words, 30)
+        assert all(sum(words[i:j]) >= 30 for i, j in some)
+        for a in range(len(words)):
+            for b in range(a + 1, len(words) + 1):
+                if sum(words[a:b]) >= 30:
+                    assert {k for i, j in some if a <= i and j <= b for k in range(i, j)} == set(range(a, b))
+
+
 def test_patience_equals_brute_force():
     r = random.Random(4)
     for _ in range(300):
