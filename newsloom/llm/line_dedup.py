@@ -5,8 +5,8 @@ with the first owners of its shared lines, rare ones included and frequent ones
 too, so a line of n documents makes n - 1 pairs and not n squared. Passages of enough
 words that are left lead in the same way to the first document that has the whole
 passage, and from there to the earlier documents that have its rarest line. A pair is
-aligned by patience diff over its line hashes, and an aligned block of enough words is
-deleted from the later document. Documents are ordered by id.
+aligned by patience diff over its line hashes, what that leaves by passages, and an
+aligned block of enough words is deleted from the later document. Documents are ordered by id.
 """
 
 from __future__ import annotations
@@ -77,19 +77,45 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def passages(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """[start, end) of the shortest runs of ``min_words`` from each line on and up to each line.
+
+    A line that is inside any run of so many words is also inside one of these within that run.
+    """
+    upto = [0, *accumulate(words)]
+    ends = [(i, bisect_left(upto, x + min_words)) for i, x in enumerate(upto[:-1])]
+    starts = [(bisect_right(upto, x - min_words) - 1, j) for j, x in enumerate(upto) if x >= min_words]
+    return sorted({(i, j) for i, j in ends if j < len(upto)} | {(i, j) for i, j in starts if i < j})
+
+
 def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[tuple[int, int]]:
-    """[start, end) places of runs in ``a`` that are aligned line by line, of ``min_words`` and more.
+    """[start, end) places of the lines of ``a`` that are in runs of ``min_words`` and more that ``b`` has too.
 
-    ``b`` has the lines of a run in the same order; it may have others between them.
+    ``b`` has the lines of a run in the same order; it may have others between them. Runs are
+    those that patience diff aligns; what it leaves, for want of lines that are unique in both
+    or since two runs stand in ``b`` the other way round, is looked up passage by passage.
     """
-    blocks, start, last = [], None, -2
+    inside, start, last = [False] * len(a), None, -2
     for i in [*(i for i, _ in patience(a, b)), -2]:
         if i != last + 1:
             if start is not None and sum(words[start : last + 1]) >= min_words:
-                blocks.append((start, last + 1))
+                inside[start : last + 1] = [True] * (last + 1 - start)
             start = i
         last = i
-    return blocks
+    if not all(inside):
+        places: dict[int, list[int]] = {x: [] for x in a}
+        for j, x in enumerate(b):
+            if x in places:
+                places[x].append(j)
+        for i, j in passages(words, min_words):
+            if not all(inside[i:j]):
+                k, at = i, -1
+                while k < j and (n := bisect_right(places[a[k]], at)) < len(places[a[k]]):
+                    k, at = k + 1, places[a[k]][n]
+                if k == j:
+                    inside[i:j] = [True] * (j - i)
+    edges = [i for i in range(len(a) + 1) if (i > 0 and inside[i - 1]) != (i < len(a) and inside[i])]
+    return list(zip(edges[::2], edges[1::2]))
 
 
 def line_sequences(docs: DataFrame) -> DataFrame:
@@ -150,17 +176,6 @@ def _later_runs(lines: DataFrame, sequences: DataFrame, min_words: int) -> DataF
     )
 
 
-def passages(words: list[int], min_words: int) -> list[tuple[int, int]]:
-    """[start, end) of the shortest runs of ``min_words`` from each line on and up to each line.
-
-    A line that is inside any run of so many words is also inside one of these within that run.
-    """
-    upto = [0, *accumulate(words)]
-    ends = [(i, bisect_left(upto, x + min_words)) for i, x in enumerate(upto[:-1])]
-    starts = [(bisect_right(upto, x - min_words) - 1, j) for j, x in enumerate(upto) if x >= min_words]
-    return sorted({(i, j) for i, j in ends if j < len(upto)} | {(i, j) for i, j in starts if i < j})
-
-
 def _passage_rows(runs: DataFrame, blocks: DataFrame, min_words: int) -> DataFrame:
     """Passages of more than one line in ``runs``: passage (hash), key, start (of the run) and whether
     the ``blocks`` leave a line of it; if so, line is the one that fewest documents have."""

@@ -189,6 +189,36 @@ def test_line_dedup_finds_the_whole_passage_behind_other_first_owners(spark):
     assert edited_lines(spark, docs) == want
 
 
+def test_line_dedup_of_passages_without_unique_lines_and_in_other_order(spark):
+    p, q = passage(random.Random(13), 3), passage(random.Random(14), 4)
+    twice = {1: ["h", *p, "m", *p, "t"], 2: ["a", *p, "b"], 3: [*p, *p, "c"]}
+    assert edited_lines(spark, twice) == twice | {2: ["a", "b"], 3: ["c"]}
+    once = {1: ["h", *p, "t"], 2: ["a", *p, *p, "b"]}
+    assert edited_lines(spark, once) == once | {2: ["a", "b"]}
+    swapped = {1: ["h", *q, *p, "t"], 2: ["a", *p, *q, "b"]}
+    assert edited_lines(spark, swapped) == swapped | {2: ["a", "b"]}
+
+
+def in_order(lines, other):
+    rest = iter(other)
+    return all(x in rest for x in lines)
+
+
+def test_line_dedup_equals_a_look_at_every_earlier_document(spark):
+    r = random.Random(15)
+    pool = [" ".join(f"{chr(97 + k)}{n}" for n in range(r.choice([4, 7, 11, 16, 31]))) for k in range(26)]
+    docs = {i: [r.choice(pool[: 9 if i % 3 else 26]) for _ in range(r.randrange(1, 14))] for i in range(90)}
+    want = {}
+    for i, lines in docs.items():
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(len(x.split()) for x in lines[a:b]) >= 30 and any(in_order(lines[a:b], docs[e]) for e in docs if e < i):
+                    gone.update(range(a, b))
+        want[i] = [x for k, x in enumerate(lines) if k not in gone] or [""]
+    assert edited_lines(spark, docs) == want
+
+
 def test_passages_hold_every_line_of_a_long_enough_run():
     assert line_dedup.passages([25, 25], 30) == [(0, 2)] and line_dedup.passages([30, 5], 30) == [(0, 1), (0, 2)]
     assert line_dedup.passages([29], 30) == line_dedup.passages([], 30) == []
