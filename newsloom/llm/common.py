@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from newsloom.sources.workspace import write_through
@@ -94,6 +94,15 @@ def running_total(rows: DataFrame, order: list[Column], value: str, out: str) ->
     )
 
 
+def in_blocks(rows: DataFrame, order: list[Column], size: str, block_size: int) -> Iterator[list[Row]]:
+    """Rows in ``order``, in lists whose ``size`` sums to about ``block_size``, each fetched when it is asked for."""
+    total, block = free_names(rows, "_total", "_block")
+    placed = running_total(rows, order, size, total)
+    numbered = write_through(placed.withColumn(block, F.floor((F.col(total) - F.col(size)) / block_size)), "blocks")
+    for (number,) in numbered.select(block).distinct().orderBy(block).toLocalIterator():
+        yield numbered.filter(F.col(block) == number).orderBy(total).select(*rows.columns).collect()
+
+
 def in_slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges whose sizes sum to ``limit`` or to one row above it."""
     start = total = 0
