@@ -6,6 +6,7 @@ from newsloom.llm import (  # noqa: F401
     line_queries,
     mixing_queries,
     quality_queries,
+    run_queries,
     search_queries,
     secret_queries,
     simhash_queries,

@@ -3,11 +3,13 @@
 import math
 import random
 import re
+import tempfile
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from newsloom.llm import presence_masks
+from newsloom.llm import presence_masks, run_queries, word_runs
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -66,7 +68,6 @@ def test_search_equals_brute_force(spark, block_bytes, monkeypatch):
 
 
 def test_masks_end_only_when_no_bound_reaches_the_kept_scores(monkeypatch):
-    import numpy as np
     import pyarrow as pa
 
     docs, items = search_rows()
@@ -97,3 +98,105 @@ def test_search_in_empty_tables(spark):
     assert presence_masks.ranked_search(none, items).count() == 0
     assert presence_masks.ranked_search(some, items.limit(0)).count() == 0
     assert [tuple(r)[:3] for r in presence_masks.ranked_search(some, items).collect()] == [(1, 1, 1)]
+
+
+def brute_runs(words, min_words):
+    """(start, length, smallest period) of all runs, by looking at each period."""
+    found = {}
+    for q in range(1, len(words) // 2 + 1):
+        i = 0
+        while i + q < len(words):
+            start = i
+            while i + q < len(words) and words[i] == words[i + q]:
+                i += 1
+            if i - start + q >= max(min_words, 2 * q):
+                found.setdefault((start, i - start + q), q)
+            i += i == start
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def run_texts(r, n_texts):
+    texts = []
+    for _ in range(n_texts):
+        n, kinds = r.choice([0, 1, 5, 11, 12, 13, 30, 100, 300]), r.choice([1, 2, 3, 50])
+        words = [f"w{r.randrange(kinds)}" for _ in range(n)]
+        if n and r.random() < 0.5:
+            a = r.randrange(n)
+            p = 1 + (n - a) // r.randint(3, 10)
+            words = [words[i if i < a else a + (i - a) % p] for i in range(n)]
+        texts.append(words)
+    return texts
+
+
+@pytest.mark.parametrize("min_words", [2, 3, 7, 12])
+@pytest.mark.parametrize("at_once", [40, 10**6])
+def test_runs_equal_brute_force(min_words, at_once, monkeypatch):
+    monkeypatch.setattr(word_runs, "_PAIRS_AT_ONCE", at_once)
+    r = random.Random(min_words)
+    for _ in range(40):
+        texts = run_texts(r, r.choice([1, 3, 8]))
+        got = word_runs.runs_of(texts, min_words)
+        assert [list(map(tuple, g.tolist())) for g in got] == [brute_runs(t, min_words) for t in texts]
+
+
+def test_runs_in_words_of_nested_periods():
+    a, b = "a", "ab"
+    while len(b) < 700:
+        a, b = b, b + a
+    for words in (list(b), ["x"] * 500, list("abcabcab" * 40), list("aab" * 30 + "aab" * 30)):
+        assert list(map(tuple, word_runs.runs_of([words])[0].tolist())) == brute_runs(words, 12)
+
+
+def test_grammar_extension_equals_a_walk():
+    r = random.Random(4)
+    for kinds in (1, 2, 3, 40):
+        s = np.array([r.randrange(kinds) for _ in range(400)] * 2 + [kinds])
+        a = np.array([r.randrange(799) for _ in range(900)])
+        b = np.array([r.randrange(x + 1, 800) for x in a])
+        want = [next(k for k in range(800) if s[x + k] != s[y + k]) for x, y in zip(a.tolist(), b.tolist())]
+        assert word_runs.Grammar(s).extension(a, b).tolist() == want
+
+
+def test_periodic_runs_of_a_table(spark):
+    r = random.Random(6)
+    docs = [(i, r.choice([" ", "\n", " \t"]).join(t)) for i, t in enumerate(run_texts(r, 30))]
+    docs += [(None, "a b " * 9), (3, None), (3, ""), (5, " \n "), (5, "é\x85 ü " * 8), (6, "long " * 60_000)]
+    got = word_runs.periodic_runs(documents(spark, docs).repartition(2)).collect()
+    want = []
+    for i, t in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        runs = [(0, 60_000, 1)] if i == 6 and len(words) > 50_000 else brute_runs(words, 12)
+        gone = {k for s, n, q in runs for k in range(s + q, s + n)}
+        want.append((i, len(words), runs, " ".join(w for k, w in enumerate(words) if k not in gone)))
+    key = lambda x: (x[0] is None, x[0] or 0, x[1], x[3])
+    rows = [(g["doc_id"], g["n_words"], list(map(tuple, g["runs"])), g["collapsed"]) for g in got]
+    assert sorted(rows, key=key) == sorted(want, key=key)
+    assert word_runs.periodic_runs(documents(spark, [])).count() == 0
+
+
+def test_run_query_digests(spark):
+    import hashlib
+    import zlib
+
+    docs = [(i, " ".join(f"w{k % 97}" for k in range(n))) for i, n in enumerate([0, 1, 40, 200, 333] * 12)] + [(None, "a " * 20), (60, None)]
+    folder = tempfile.mkdtemp(prefix="newsloom-runs-")
+    documents(spark, docs).write.parquet(f"{folder}/documents.parquet")
+    got = {(r["doc_id"], r["collapsed_sha256"]): r for r in run_queries.op12_recompression_runs(spark, folder).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    planted = 0
+    for i, t in docs:
+        words = (t or "").split()
+        n, h = len(words), 1 if i is None else zlib.crc32(str(i).encode())
+        if h % 10 == 0 and n:
+            planted += 1
+            a = h // 10 % n
+            p = 1 + (n - a) // (3 + h // 10 % 8)
+            words = [words[k if k < a else a + (k - a) % p] for k in range(n)]
+        runs = brute_runs(words, 12)
+        gone = {k for s, m, q in runs for k in range(s + q, s + m)}
+        row = got[i, sha(" ".join(w for k, w in enumerate(words) if k not in gone))]
+        assert row["n_runs"] == len(runs) and row["runs_sha256"] == sha("".join(f"{s},{m},{q}\n" for s, m, q in runs))
+        top = min(((-m, s, q) for s, m, q in runs), default=None)
+        want = (None,) * 4 if top is None else (top[1], -top[0], top[2], 1000 * -top[0] // top[2])
+        assert (row["start"], row["length"], row["period"], row["exponent_milli"]) == want
+    assert planted
