@@ -3,6 +3,7 @@
 from newsloom.llm import (  # noqa: F401
     chat_queries,
     decontamination_queries,
+    join_queries,
     line_queries,
     mixing_queries,
     quality_queries,

@@ -9,7 +9,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from newsloom.llm import presence_masks, run_queries, word_runs
+from newsloom.llm import ngram_join, presence_masks, run_queries, word_runs
+from newsloom.sources.workspace import write_through
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -200,3 +201,106 @@ def test_run_query_digests(spark):
         want = (None,) * 4 if top is None else (top[1], -top[0], top[2], 1000 * -top[0] // top[2])
         assert (row["start"], row["length"], row["period"], row["exponent_milli"]) == want
     assert planted
+
+
+def brute_sets(docs, n=4):
+    out = []
+    for _, t in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        out.append({tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set())
+    return out
+
+
+def brute_groups(docs, percent=85):
+    sets, label = brute_sets(docs), list(range(len(docs)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b) and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    out = []
+    for k, (doc_id, _) in enumerate(docs):
+        ids = [d for (d, _), x in zip(docs, label) if x == label[k] and d is not None]
+        out.append((doc_id, len(sets[k]), min(ids, default=None) if sets[k] else doc_id))
+    return out
+
+
+def near_copies(r, n):
+    """Texts of many lengths with edited copies, chains of copies, and one passage that many have."""
+    words = [f"w{i}" for i in range(2000)]
+    passage = r.choices(words, k=60)
+    texts = []
+    for k in range(n):
+        base = r.choices(words, k=r.choice([1, 2, 3, 4, 8, 9, 10, 12, 16, 20, 25, 40, 80, 150]))
+        if k % 3 == 0:
+            base = base[:10] + passage + base[10:20]
+        texts.append(base)
+        for _ in range(r.choice([0, 0, 1, 2, 4])):
+            copy = list(texts[-1])
+            for _ in range(r.choice([0, 1, 1, 2])):
+                copy[r.randrange(len(copy))] = r.choice(words)
+            copy = copy[: len(copy) - r.choice([0, 0, 1, 3])] or copy
+            texts.append(copy)
+    base = r.choices(words, k=90)
+    texts += [[*base[:k], "x" + str(k), *base[k:]] for k in range(40)]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs += [(None, docs[5][1]), (None, "only nameless"), (None, "ONLY  nameless"), (3, docs[9][1]), (5000, None), (5001, ""), (5002, " \n"), (None, None)]
+    docs += [(5003, "w1 " * 5000), (5004, "W1\n" * 4000), (5005, "a\x85b c"), (5006, "A\x85B C"), (2, docs[2][1])]
+    return docs
+
+
+def by_row(rows):
+    return sorted(rows, key=lambda r: [(v is None, v or 0) for v in r])
+
+
+@pytest.mark.parametrize("boundary, most", [(-1, 20), (30, 0), (10**6, 20), (None, 1000)])
+def test_join_equals_brute_force(spark, boundary, most):
+    docs = near_copies(random.Random(13), 60)
+    if boundary == 10**6:  # subsets of long sets are many
+        docs = [(i, " ".join((t or "").split()[:60])) for i, t in docs]
+    got = ngram_join.jaccard_groups(documents(spark, docs).repartition(3), boundary=boundary, most=most)
+    assert got.columns == ["doc_id", "n_shingles", "component_id"]
+    assert by_row(map(tuple, got.collect())) == by_row(brute_groups(docs))
+
+
+def test_join_without_broadcast_and_in_empty_tables(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BROADCAST_SETS", 0)
+    docs = near_copies(random.Random(14), 20)
+    got = ngram_join.jaccard_groups(documents(spark, docs), percent=70)
+    assert by_row(map(tuple, got.collect())) == by_row(brute_groups(docs, 70))
+    assert ngram_join.jaccard_groups(documents(spark, [])).count() == 0
+    none = ngram_join.jaccard_groups(documents(spark, [(1, None), (None, "")])).collect()
+    assert by_row(map(tuple, none)) == by_row([(1, 0, 1), (None, 0, None)])
+
+
+def test_the_boundary_follows_the_cost(spark):
+    r = random.Random(15)
+    words = [f"w{i}" for i in range(9000)]
+    apart = [(i, " ".join(r.choices(words, k=60))) for i in range(80)]
+    # Sets of ten to thirty n-grams from a few: their lists are long, and subsets are few.
+    dense = [(100 + i, " ".join(r.choices("ab", k=r.choice([16, 24, 32])))) for i in range(300)]
+    sets = lambda docs: write_through(ngram_join.ngram_sets(documents(spark, docs)), "test-sets")
+    chosen = lambda s: ngram_join.choose_boundary(s, ngram_join.frequent_elements(s))
+    low, high = chosen(sets(apart)), chosen(sets(dense + apart))
+    assert low < 57 and high >= low
+
+
+def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    r = random.Random(16)
+    base = [f"w{i}" for i in range(400)]
+    made = []
+    plain = ngram_join._linked
+    monkeypatch.setattr(ngram_join, "_linked", lambda pairs, *a: made.append(pairs.count()) or plain(pairs, *a))
+
+    def pairs_of(n):
+        docs = []
+        for i in range(n):
+            copy = list(base)
+            copy[r.randrange(400)] = f"x{i}"
+            docs.append((i, " ".join(copy)))
+        made.clear()
+        got = ngram_join.jaccard_groups(documents(spark, docs)).collect()
+        assert {g["component_id"] for g in got} == {0}
+        return sum(made)
+
+    few, many = pairs_of(60), pairs_of(240)
+    assert many < 8 * few and many < 240 * 239 / 4
