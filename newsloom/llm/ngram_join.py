@@ -37,6 +37,12 @@ FREQUENT = 200_000
 SAMPLE_BITS = 5
 # Most sets whose elements are looked up by a broadcast; beyond, by a shuffle.
 BROADCAST_SETS = 1_000_000
+# Words of 64 bits in the sketch of a set: the parities of its elements by hash.
+SKETCH_WORDS = 16
+# Buckets of so many members compare them without a look at the sketches first.
+FEW_MEMBERS = 8
+# Bits, as a power of two, that tell which buckets may have two sets.
+FILTER_BITS = 26
 _ELEMENTS_AT_ONCE = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _VOCABULARY = 1_000_000
@@ -70,8 +76,15 @@ def ngrams(text: str, hashes: dict, n: int = NGRAM_WORDS) -> np.ndarray:
     return np.unique(_mixed(rolling + np.uint64(length)).view(np.int64))
 
 
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """Parities of the number of elements by their upper bits, as words of 64 bits."""
+    at = elements.view(np.uint64) >> np.uint64(64 - (64 * SKETCH_WORDS - 1).bit_length())
+    odd = np.bincount(at.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def ngram_sets(docs: DataFrame, n: int = NGRAM_WORDS) -> DataFrame:
-    """doc_id, n (elements), sid (hash of the set, null if it is empty) and elements per row of ``docs``."""
+    """doc_id, n (elements), sid (hash of the set, null if it is empty), sketch and elements per row of ``docs``."""
 
     def per_batch(batch: pa.RecordBatch):
         hashes, texts = _WordHashes(), batch.column(1).to_pylist()
@@ -80,13 +93,15 @@ def ngram_sets(docs: DataFrame, n: int = NGRAM_WORDS) -> DataFrame:
             sizes = [len(s) for s in sets]
             sids = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
             cuts = pa.array(np.cumsum([0, *sizes]).astype(np.int32))
+            words = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH_WORDS)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).slice(start, end - start), pa.array(sizes, pa.int32()), pa.array(sids, pa.int64()),
+                pa.ListArray.from_arrays(words, pa.array(np.concatenate([sketch(s) for s in sets]))),
                 pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(sets))),
-            ], ["doc_id", "n", "sid", "elements"])
+            ], ["doc_id", "n", "sid", "sketch", "elements"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return map_rows(rows, per_batch, "doc_id bigint, n int, sid bigint, elements array<bigint>")
+    return map_rows(rows, per_batch, "doc_id bigint, n int, sid bigint, sketch array<bigint>, elements array<bigint>")
 
 
 def frequent_elements(sets: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -225,16 +240,35 @@ def _may_link(x: str, y: str, percent: int):
     return sizes & ((px < 0) | ((F.col(f"{x}.large") | F.col(f"{y}.large")) & (bound >= common)))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _in_common(x: str, y: str, percent: int):
+    """Whether the sketches of two sets allow a link: bits that differ stand for an element of one of them at least."""
+    apart = sum(F.bit_count(F.col(f"{x}.sketch")[k].bitwiseXOR(F.col(f"{y}.sketch")[k])) for k in range(SKETCH_WORDS))
+    both = F.col(f"{x}.size").cast("bigint") + F.col(f"{y}.size")
+    return apart * (100 + percent) <= both * (100 - percent)
+
+
+def _of_paired(pairs: DataFrame, sets: DataFrame, firsts: DataFrame, column: str) -> DataFrame:
+    """sid, size and ``column``, once for each set of the ``pairs`` (a, b)."""
+    sids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    named = write_through(firsts.join(sids, "sid", "left_semi").select("row"), "paired-sets")
+    asked = F.broadcast(named) if named.count() <= BROADCAST_SETS else named
+    return write_through(
+        sets.select("row", "sid", F.col("n").alias("size"), column).join(asked, "row", "left_semi").drop("row"), f"set-{column}"
+    )
+
+
+def _not_apart(pairs: DataFrame, sets: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """Distinct ``pairs`` (a, b) that their sketches allow to be linked."""
+    pairs = write_through(pairs.distinct(), "met-pairs")
+    sketches = _of_paired(pairs, sets, firsts, "sketch")
+    both = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.sid")).join(sketches.alias("y"), F.col("b") == F.col("y.sid"))
+    return both.filter(_in_common("x", "y", percent)).select("a", "b")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) that are linked, from their elements."""
     pairs = write_through(pairs, "set-pairs")
-    named = write_through(
-        pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), "paired-sets"
-    )
-    rows = sets.select("sid", "elements")
-    asked = F.broadcast(named) if named.count() <= BROADCAST_SETS else named
-    # Copies of a set have equal elements, any one will do.
-    found = write_through(rows.join(asked, "sid", "left_semi").dropDuplicates(["sid"]), "set-elements")
+    found = _of_paired(pairs, sets, firsts, "elements")
     left, right = (found.select(F.col("sid").alias(k), F.col("elements").alias(f"of_{k}")) for k in "ab")
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("of_a", "of_b")).cast("bigint")
@@ -242,17 +276,43 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "of_a", "of_b", common.alias("common")).filter(100 * F.col("common") >= percent * size).select("a", "b")
 
 
+def _marked(buckets: DataFrame) -> np.ndarray:
+    """Bits of the numbers that the upper bits of the ``buckets`` make; a fixed number of bytes for any number of buckets."""
+    bit = F.shiftrightunsigned("bucket", 64 - FILTER_BITS) + 1
+    rows = buckets.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for part, bits in rows.toLocalIterator():
+        out[(part - 1) * len(bits) : part * len(bits)] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _members(sets: DataFrame, frequent, boundary: int, percent: int) -> DataFrame:
+    """Rows of :func:`signatures` whose bucket has two sets and more, with the class of the size."""
+    rows = signatures(sets, frequent, boundary, percent)
+    shared = write_through(
+        rows.groupBy("bucket").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low < high").select("bucket"), "shared-buckets"
+    )
+    marks = sets.sparkSession.sparkContext.broadcast(_marked(shared))
+
+    def per_batch(batch: pa.RecordBatch):
+        at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+        some = (marks.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+        yield batch.filter(pa.array(some == 1))
+
+    # Most buckets have one set: their rows stay where they are.
+    few = map_rows(rows, per_batch, _ROWS)
+    return few.join(shared, "bucket").distinct().withColumn("class", size_class("size", percent))
+
+
 def set_links(sets: DataFrame, percent: int = PERCENT, boundary: int | None = None, most: int = FREQUENT) -> DataFrame:
     """Node and root (node, root) of the sids that are linked with others; ``boundary`` as given, or by cost."""
     filled = sets.filter("n > 0")
     frequent = frequent_elements(filled, most)
     if boundary is None:
         boundary = choose_boundary(filled, frequent, percent)
-    rows = signatures(filled, frequent, boundary, percent)
-    shared = rows.groupBy("bucket").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low < high").select("bucket")
-    members = write_through(
-        rows.join(shared, "bucket").distinct().withColumn("class", size_class("size", percent)), "bucket-members"
-    )
+    # A row for each sid: copies of a set have equal elements.
+    firsts = write_through(filled.groupBy("sid").agg(F.min("row").alias("row")), "first-rows")
+    members = write_through(_members(filled, frequent, boundary, percent), "bucket-members")
 
     def named(x: str, y: str):
         return F.least(f"{x}.sid", f"{y}.sid").alias("a"), F.greatest(f"{x}.sid", f"{y}.sid").alias("b")
@@ -260,8 +320,10 @@ def set_links(sets: DataFrame, percent: int = PERCENT, boundary: int | None = No
     entry = F.struct("sid", "size", "place", "large")
     first = members.groupBy("bucket", "class").agg(F.min(entry).alias("y"))
     meeting = members.alias("x").join(first, ["bucket", "class"]).filter(F.col("x.sid") != F.col("y.sid"))
-    tried = write_through(meeting.filter(_may_link("x", "y", percent)).select(*named("x", "y")).distinct(), "first-pairs")
-    links = write_through(_linked(tried, filled, percent), "first-links")
+    tried = write_through(
+        _not_apart(meeting.filter(_may_link("x", "y", percent)).select(*named("x", "y")), filled, firsts, percent), "first-pairs"
+    )
+    links = write_through(_linked(tried, filled, firsts, percent), "first-links")
 
     groups = write_through(connected(links), "first-groups")
     placed = write_through(
@@ -269,18 +331,29 @@ def set_links(sets: DataFrame, percent: int = PERCENT, boundary: int | None = No
     )
     # In a bucket, members of its largest group meet the others only.
     counts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    main = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
-    open_ = write_through(placed.join(main.select("bucket", "main"), "bucket"), "open-members")
-    others = open_.filter(F.col("root") != F.col("main")).withColumn(
-        "near", F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1))))
+    main = (
+        counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("groups"), F.sum("n").alias("n"))
+        .filter("groups > 1").select("bucket", "main", (F.col("n") > FEW_MEMBERS).alias("many"))
     )
-    met = others.alias("x").join(
-        open_.alias("y"),
-        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.near") == F.col("y.class")) & (F.col("x.root") != F.col("y.root"))
-        & ((F.col("y.root") == F.col("y.main")) | (F.col("x.sid") < F.col("y.sid"))) & _may_link("x", "y", percent),
-    )
-    rest = met.select(*named("x", "y")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = write_through(_linked(rest, filled, percent), "more-links")
+    open_ = write_through(placed.join(main, "bucket"), "open-members")
+
+    def met(rows: DataFrame, *filters) -> DataFrame:
+        others = rows.filter(F.col("root") != F.col("main")).withColumn(
+            "near", F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1))))
+        )
+        on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.near") == F.col("y.class")) & (F.col("x.root") != F.col("y.root"))
+        on &= (F.col("y.root") == F.col("y.main")) | (F.col("x.sid") < F.col("y.sid"))
+        for f in (_may_link, *filters):
+            on &= f("x", "y", percent)
+        return others.alias("x").join(rows.alias("y"), on).select(*named("x", "y"))
+
+    # Pairs of buckets with few members are few; in the others, sketches are compared before a pair is made.
+    many = open_.filter("many")
+    sids = many.select(F.col("sid").alias("a"), F.col("sid").alias("b")).distinct()
+    sketched = write_through(many.join(_of_paired(sids, filled, firsts, "sketch").drop("size"), "sid"), "sketched-members")
+    pairs = _not_apart(met(open_.filter("not many")), filled, firsts, percent).unionByName(met(sketched, _in_common).distinct())
+    rest = pairs.distinct().join(tried, ["a", "b"], "left_anti")
+    more = write_through(_linked(rest, filled, firsts, percent), "more-links")
     if more.isEmpty():
         return groups
     return connected(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
@@ -294,7 +367,7 @@ def jaccard_groups(docs: DataFrame, n: int = NGRAM_WORDS, percent: int = PERCENT
     their component is their own id. Equal rows and rows that share an id are rows each.
     Other columns are not read. Sets and n-grams are known by 64-bit hashes.
     """
-    sets = write_through(ngram_sets(docs, n), "ngram-sets")
+    sets = write_through(ngram_sets(docs, n).withColumn("row", F.monotonically_increasing_id()), "ngram-sets")
     ids = sets.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"))
     groups = set_links(sets, percent, **options)
     rooted = write_through(

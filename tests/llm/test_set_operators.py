@@ -253,7 +253,8 @@ def by_row(rows):
 
 
 @pytest.mark.parametrize("boundary, most", [(-1, 20), (30, 0), (10**6, 20), (None, 1000)])
-def test_join_equals_brute_force(spark, boundary, most):
+def test_join_equals_brute_force(spark, boundary, most, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FEW_MEMBERS", 2 if boundary == 30 else 8)
     docs = near_copies(random.Random(13), 60)
     if boundary == 10**6:  # subsets of long sets are many
         docs = [(i, " ".join((t or "").split()[:60])) for i, t in docs]
