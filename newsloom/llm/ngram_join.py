@@ -43,9 +43,9 @@ SKETCH_WORDS = 16
 FEW_MEMBERS = 8
 # Bits, as a power of two, that tell which buckets may have two sets.
 FILTER_BITS = 26
-_ELEMENTS_AT_ONCE = 1_000_000
+_ELEMENTS_AT_ONCE = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_VOCABULARY = 1_000_000
+_VOCABULARY = 100_000
 _ROWS = "bucket bigint, sid bigint, size int, place int, large boolean"
 
 
