@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -115,6 +116,13 @@ def in_slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def text_slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int, list[str]]]:
+    """Row ranges of about ``limit`` bytes of text, or of one longer text, with their texts (null as empty)."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for start, end in in_slices([n + 1 for n in sizes], limit):
+        yield start, end, [t or "" for t in texts.slice(start, end - start).to_pylist()]
+
+
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest node of the component of each of ``n`` nodes, for edges a-b in memory."""
     label = np.arange(n)

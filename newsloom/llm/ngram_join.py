@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import in_slices, map_rows
+from newsloom.llm.common import in_slices, map_rows, text_slices
 from newsloom.llm.simhash_groups import connected
 from newsloom.sources.workspace import write_through
 
@@ -45,6 +45,7 @@ FEW_MEMBERS = 8
 FILTER_BITS = 26
 _ELEMENTS_AT_ONCE = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_TEXT_AT_ONCE = 1 << 20
 _VOCABULARY = 100_000
 _ROWS = "bucket bigint, sid bigint, size int, place int, large boolean"
 
@@ -87,9 +88,9 @@ def ngram_sets(docs: DataFrame, n: int = NGRAM_WORDS) -> DataFrame:
     """doc_id, n (elements), sid (hash of the set, null if it is empty), sketch and elements per row of ``docs``."""
 
     def per_batch(batch: pa.RecordBatch):
-        hashes, texts = _WordHashes(), batch.column(1).to_pylist()
-        for start, end in in_slices([1 + len(t or "") // 5 for t in texts], _ELEMENTS_AT_ONCE):
-            sets = [ngrams(t or "", hashes, n) for t in texts[start:end]]
+        hashes = _WordHashes()
+        for start, end, texts in text_slices(batch.column(1), _TEXT_AT_ONCE):
+            sets = [ngrams(t, hashes, n) for t in texts]
             sizes = [len(s) for s in sets]
             sids = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
             cuts = pa.array(np.cumsum([0, *sizes]).astype(np.int32))
@@ -108,7 +109,7 @@ def frequent_elements(sets: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray
     """Frequent elements, ascending, and about how many sets have each; at most ``most``."""
 
     def per_batch(batch: pa.RecordBatch):
-        for start, end in in_slices(batch.column(1).to_pylist(), _ELEMENTS_AT_ONCE * 4):
+        for start, end in in_slices(batch.column(1).to_pylist(), _ELEMENTS_AT_ONCE):
             values, counts = np.unique(batch.column(0).slice(start, end - start).flatten().to_numpy(), return_counts=True)
             again = counts > 1
             yield pa.RecordBatch.from_arrays([pa.array(values[again]), pa.array(counts[again])], ["element", "n"])
