@@ -29,9 +29,9 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text) if _OTHER_SPACE.search(text) else text.split()
 
 
-def count_words(text: Column) -> Column:
+def count_words(text: Column, word: str = WORD_CLASS) -> Column:
     """Number of words of a text, 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD_CLASS)), F.lit(0)).cast("bigint")
+    return F.coalesce(F.regexp_count(text, F.lit(word)), F.lit(0)).cast("bigint")
 
 
 def row_key(doc_id: Column, text: Column) -> Column:

@@ -10,18 +10,26 @@ searches the shards of its own rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from newsloom.llm.common import free_names, in_slices, map_rows, running_total
+from newsloom.llm.common import count_words, free_names, in_blocks, in_slices, map_rows, row_key
+from newsloom.sources.workspace import write_through
 
 WINDOW_WORDS = 10
 # Words of a shard; a longer text is a shard alone.
 SHARD_WORDS = 500_000
 # Bytes of test items searched in one pass; more items are searched in more passes.
 BLOCK_BYTES = 4 * 1024 * 1024
+# Hits of several blocks are broadcast to their rows up to this size, which is measured.
+BROADCAST_BYTES = 32 * 1024 * 1024
+PHRASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SAMPLE_EVERY = 8
 FOREIGN = 1
 
@@ -45,13 +53,13 @@ class _Vocabulary(dict):
 class Phrases:
     """Windows of a block of test items, as numbers, with the items that have them."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW_WORDS):
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW_WORDS):
         self.vocabulary = _Vocabulary()
-        self.items: list[str] = []
+        self.items: list[str | None] = []
         found: dict[tuple[int, ...], set[int]] = {}
         for item_id, text in items:
             words = phrase_words(text or "")
-            if not words or item_id is None:
+            if not words:
                 continue
             numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + FOREIGN + 1) for w in words]
             self.items.append(item_id)
@@ -192,56 +200,86 @@ def _runs(mask: np.ndarray) -> list[list[int]]:
     return edges.reshape(-1, 2).tolist()
 
 
-def blocks_of_items(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[str, str]]]:
+def blocks_of_items(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, str]]]:
     """Test items in blocks of bounded size, each fetched by itself when it is asked for."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.filter(F.length("text") > 0).withColumn("bytes", F.octet_length("text") + 16)
-    placed = running_total(items, [F.col("item_id"), F.col("text")], "bytes", "upto")
-    numbered = placed.withColumn("block", F.floor((F.col("upto") - F.col("bytes")) / block_bytes))
-    for (block,) in numbered.select("block").distinct().orderBy("block").toLocalIterator():
-        yield [tuple(r) for r in numbered.filter(F.col("block") == block).select("item_id", "text").collect()]
+    for block in in_blocks(items, [F.col("item_id"), F.col("text")], "bytes", block_bytes):
+        yield [(r["item_id"], r["text"]) for r in block]
+
+
+def _search(docs: DataFrame, shared, shard_words: int) -> DataFrame:
+    """``docs`` with hit word ranges, hit items and number of words behind its own columns, for one block of items."""
+    place, n_columns = docs.columns.index("text"), len(docs.columns)
+    empty = F.array().cast
+    marked = docs.select(
+        "*", empty("array<array<int>>").alias("_1"), empty("array<string>").alias("_2"), F.lit(0).cast("bigint").alias("_3")
+    )
+    names_of = [f"c{i}" for i in range(n_columns + 3)]
+
+    def per_batch(batch: pa.RecordBatch):
+        phrases = shared.value
+        texts = [t or "" for t in batch.column(place).to_pylist()]
+        for first, end in in_slices([len(t) // 5 for t in texts], shard_words):
+            words = [phrase_words(t) for t in texts[first:end]]
+            hit, pairs = _shard_hits(words, phrases)
+            part = batch.slice(first, end - first)
+            spans, names = [[] for _ in words], [[] for _ in words]
+            cuts = np.cumsum([0] + [len(w) for w in words])
+            # Pairs are sorted by text.
+            hit_texts, begin = np.unique(pairs[:, 0], return_index=True)
+            for i, items in zip(hit_texts.tolist(), np.split(pairs[:, 1], begin[1:])):
+                spans[i] = _runs(hit[cuts[i] : cuts[i + 1]])
+                names[i] = [phrases.items[j] for j in items]
+            columns = part.columns[:n_columns] + [
+                pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(names, pa.list_(pa.string())),
+                pa.array(np.diff(cuts), pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names_of)
+
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(names_of, marked.schema)])
+    return map_rows(marked.toDF(*names_of), per_batch, schema)
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS,
               block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` with three columns behind its own: hit word ranges, hit items and number of words.
 
-    The ranges are [start, end) pairs of word positions, merged within a block of
-    items; rows stay in place, one pass over them per block of items. A null text has
-    no words and no hits; items that are null, empty or without an id are not searched.
+    The ranges are [start, end) pairs of word positions. Items of one block are searched
+    while the rows stay in place. Of more blocks one at a time is on the driver and with
+    the tasks: its hits are written with the keys of their rows, and merged by key behind
+    the last. A null text has no words and no hits; null and empty items are not searched;
+    items without an id are, and stand as null among the hit items.
     """
-    place = docs.columns.index("text")
-    empty = F.array().cast
-    spans, found, n_words = free_names(docs, "_hit_spans", "_hit_items", "_n_words")
-    marked = docs.select(
-        "*", empty("array<array<int>>").alias(spans), empty("array<string>").alias(found), F.lit(0).cast("bigint").alias(n_words)
-    )
-    schema = marked.schema
-    n_columns = len(docs.columns)
     context = docs.sparkSession.sparkContext
-    for items in [*blocks_of_items(benchmark, block_bytes)] or [[]]:
+    names = [*docs.columns, *free_names(docs, "_hit_spans", "_hit_items", "_n_words")]
+    blocks = blocks_of_items(benchmark, block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return _search(docs, context.broadcast(Phrases(first, window)), shard_words).toDF(*names)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(row_key(F.col("doc_id"), text).alias("key"), text.alias("text"))
+    hits = None
+    for items in chain([first, second], blocks):
         shared = context.broadcast(Phrases(items, window))
-
-        def per_batch(batch: pa.RecordBatch, shared=shared, columns_of=list(marked.columns)):
-            phrases = shared.value
-            texts = [t or "" for t in batch.column(place).to_pylist()]
-            for first, end in in_slices([len(t) // 5 for t in texts], shard_words):
-                words = [phrase_words(t) for t in texts[first:end]]
-                hit, pairs = _shard_hits(words, phrases)
-                part = batch.slice(first, end - first)
-                spans, names = part.column(n_columns).to_pylist(), part.column(n_columns + 1).to_pylist()
-                cuts = np.cumsum([0] + [len(w) for w in words])
-                for i in np.unique(pairs[:, 0]).tolist():
-                    spans[i] = spans[i] + _runs(hit[cuts[i] : cuts[i + 1]])
-                    names[i] = names[i] + [phrases.items[j] for j in pairs[pairs[:, 0] == i, 1]]
-                columns = part.columns[:n_columns] + [
-                    pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(names, pa.list_(pa.string())),
-                    pa.array(np.diff(cuts), pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, columns_of)
-
-        marked = map_rows(marked, per_batch, schema)
-    return marked
+        found = _search(rows, shared, shard_words).toDF("key", "text", "spans", "items", "n").filter(F.size("spans") > 0)
+        # Equal rows have equal hits.
+        part = write_through(found.select("key", "spans", "items").dropDuplicates(["key"]), "block-hits")
+        hits = part if hits is None else hits.unionByName(part)
+        shared.destroy()
+    merged_hits = write_through(hits.groupBy("key").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+    ), "merged-hits")
+    size = F.octet_length(F.concat_ws("", "items")) + 8 * F.size("spans") + 64
+    n_bytes = merged_hits.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    right = F.broadcast(merged_hits) if n_bytes <= BROADCAST_BYTES else merged_hits
+    spans, items, n_words, key = *names[-3:], *free_names(docs, "_key")
+    none = F.array().cast
+    joined = docs.withColumn(key, row_key(F.col("doc_id"), text)).alias("d").join(right.alias("h"), F.col(f"d.{key}") == F.col("h.key"), "left")
+    return joined.select(
+        *(F.col(f"d.`{c}`") for c in docs.columns), F.coalesce("h.spans", none("array<array<int>>")).alias(spans),
+        F.coalesce("h.items", none("array<string>")).alias(items), count_words(F.col("d.text"), PHRASE_WORD).alias(n_words),
+    )
 
 
 def merged(spans: list[list[int]]) -> list[list[int]]:
@@ -256,15 +294,19 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted as strings), spans and contaminated per row of ``docs``."""
+    """doc_id, n_words, n_hit, n_items, items (sorted as strings), spans and contaminated per row of ``docs``.
+
+    Items without an id hit like all others and count as one item, which ``items`` leaves out.
+    """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def per_batch(batch: pa.RecordBatch):
         spans = [merged(s) for s in batch.column(1).to_pylist()]
         hits = [sum(b - a for a, b in s) for s in spans]
-        items = [sorted(set(i)) for i in batch.column(2).to_pylist()]
+        found = [set(i) for i in batch.column(2).to_pylist()]
+        items = [sorted(i - {None}) for i in found]
         yield pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(3), pa.array(hits, pa.int64()), pa.array([len(i) for i in items], pa.int64()),
+            batch.column(0), batch.column(3), pa.array(hits, pa.int64()), pa.array([len(i) for i in found], pa.int64()),
             pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int32()))),
             pa.array([h > 0 for h in hits]),
         ], ["doc_id", "n_words", "n_hit", "n_items", "items", "spans", "contaminated"])

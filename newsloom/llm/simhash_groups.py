@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import components, map_rows
+from newsloom.llm.common import NO_ID, components, free_names, map_rows, row_key
 from newsloom.sources.workspace import write_through
 
 SHINGLE_WORDS = 3
@@ -53,14 +53,13 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fingerprint (``fp``, the 64 bits as a signed number) per row of ``docs``."""
+    """key and fingerprint (``fp``, the 64 bits as a signed number) per row of ``docs`` (key, text)."""
 
     def per_batch(batch: pa.RecordBatch):
         fps = np.array([fingerprint(t or "", shingle_words) for t in batch.column(1).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["key", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return map_rows(rows, per_batch, "doc_id bigint, fp bigint")
+    return map_rows(docs.select("key", "text"), per_batch, "key struct<id:bigint,hash:bigint>, fp bigint")
 
 
 def _distance(fps: np.ndarray, point: np.uint64) -> np.ndarray:
@@ -245,6 +244,18 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _grouped(docs: DataFrame, shingle_words: int, bits: int, sample: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Key and fingerprint (key, fp) per row of ``docs``, and the smallest key of its group per fingerprint (fp, first)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(row_key(F.col("doc_id"), text).alias("key"), text.alias("text"))
+    marked = write_through(fingerprints(rows, shingle_words), "fingerprints")
+    ids = write_through(marked.groupBy("fp").agg(F.min("key").alias("low")), "distinct-fingerprints")
+    groups = connected(fingerprint_links(ids.select("fp"), bits, sample, shard_rows))
+    rooted = ids.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    smallest = rooted.groupBy("root").agg(F.min("low").alias("first"))
+    return marked, rooted.join(smallest, "root").select("fp", "first")
+
+
 def simhash_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bits: int = MAX_BITS,
                    sample: int = TREE_SAMPLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id per row of ``docs``.
@@ -253,22 +264,24 @@ def simhash_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bits: in
     other. component_id is the smallest id of the group, null if no row of it has an id.
     Rows that share an id give a row each. Other columns are not read.
     """
-    marked = write_through(fingerprints(docs, shingle_words), "fingerprints")
-    ids = write_through(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    groups = connected(fingerprint_links(ids.select("fp"), bits, sample, shard_rows))
-    rooted = ids.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    per_fp = rooted.join(smallest, "root").select("fp", "component_id")
+    marked, per_fp = _grouped(docs, shingle_words, bits, sample, shard_rows)
+    # Rows without an id have the largest key.
     return marked.join(per_fp, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        F.nullif("key.id", F.lit(NO_ID)).alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.nullif("first.id", F.lit(NO_ID)).alias("component_id"),
     )
 
 
-def one_per_group(docs: DataFrame, **options) -> DataFrame:
-    """One row of each group, that with the smallest id; rows without an id stay.
+def one_per_group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bits: int = MAX_BITS,
+                  sample: int = TREE_SAMPLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """One row of each group: that with the smallest id, of several with that id the one with the smallest text hash.
 
-    Of several rows with that id one stays.
+    A row without an id stays only where no row of its group has one; of rows that are
+    equal in id and text one stays, with the other columns of any one of them.
     """
-    kept = simhash_groups(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    _, per_fp = _grouped(docs, shingle_words, bits, sample, shard_rows)
+    id_, hash_ = free_names(docs, "_id", "_hash")
+    kept = per_fp.select(F.col("first.id").alias(id_), F.col("first.hash").alias(hash_)).distinct()
+    key = row_key(F.col("doc_id"), F.col("text").cast("string"))
+    named = docs.withColumn(id_, key["id"]).withColumn(hash_, key["hash"])
+    return named.join(kept, [id_, hash_], "left_semi").dropDuplicates([id_, hash_]).select(*docs.columns)

@@ -149,7 +149,7 @@ PHRASE = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def contamination(text, items, window=10):
-    """n_words, hit word places and item ids."""
+    """n_words, hit word places and item ids (null for all items without one)."""
     words = PHRASE.findall((text or "").translate(LOWER))
     hit, found = set(), set()
     for item_id, item in items:
@@ -159,8 +159,8 @@ def contamination(text, items, window=10):
         for i in range(len(words) - n + 1):
             if tuple(words[i : i + n]) in wanted:
                 hit.update(range(i, i + n))
-                found.add(str(item_id))
-    return len(words), hit, sorted(found)
+                found.add(None if item_id is None else str(item_id))
+    return len(words), hit, found
 
 
 def cut(text, hit):
