@@ -10,7 +10,8 @@ from newsloom.plans import ingest as job
 from newsloom.plans.check_sql import CUT, PAGE_HREFS, absolute, status_of_url
 from newsloom.plans.fixtures import RECIPES, cte, fixture, table
 from newsloom.plans.page_queries import RECORDS, as_of
-from newsloom.plans.registry import query
+from newsloom.plans.registry import CHECKS, query
+from newsloom.sources import keys
 from newsloom.sources.workspace import new_path
 from newsloom.streaming import jobs
 
@@ -263,3 +264,23 @@ def stream_media_stats(spark, sf):
     jobs.write_updates(
         jobs.stream_media_stats(rows), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
     return jobs.latest_updates(spark, f"{path}/rows", ["hour", "media_url"])
+
+
+# ---- key tables --------------------------------------------------------------
+
+def key_table(spark, sf, recipe, on, keep=()):
+    """The stored keys of a fixture as a key table, in as many buckets as the session shuffles to."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return keys.write_keys(fixture(spark, sf, recipe), new_path(spark, f"keys-{recipe}"), on, buckets, keep)
+
+
+@query("drop_known_garbage_by_keys", CHECKS["drop_known_garbage"])
+def drop_known_garbage_by_keys(spark, sf):
+    stored = key_table(spark, sf, "garbage_fx", ["url", "media_url"])
+    return keys.drop_known(links.distinct_links(candidates(spark, sf)), stored, ["url", "media_url"])
+
+
+@query("drop_known_news_by_keys", CHECKS["drop_known_news"])
+def drop_known_news_by_keys(spark, sf):
+    stored = key_table(spark, sf, "known_urls_fx", ["url"])
+    return keys.drop_known(links.distinct_links(candidates(spark, sf)), stored, ["url"])

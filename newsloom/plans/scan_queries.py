@@ -11,7 +11,7 @@ from newsloom.plans import ingest as ingest_plan
 from newsloom.plans.check_sql import part_of, status_of_url, stem_ctes
 from newsloom.plans.fixtures import AS_OF, cte, fixture
 from newsloom.plans.registry import query
-from newsloom.sources import schemas, sinks, tables
+from newsloom.sources import keys, schemas, sinks, tables
 from newsloom.sources.workspace import new_path
 
 MEDIA = "https://src1.example.com"
@@ -228,3 +228,18 @@ def write_region_media(spark, sf):
     return written.withColumn("media_urls", F.array_join("media_urls", ","))
 
 
+
+
+def keys_by_media(spark, sf, recipe):
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return keys.write_keys(fixture(spark, sf, recipe), new_path(spark, f"media-{recipe}"), ["media_url"], buckets, ("url",))
+
+
+@query("news_urls_of_media_by_keys", f"{cte('news_fx')} SELECT DISTINCT url FROM news_fx WHERE media_url = '{MEDIA}'")
+def news_urls_of_media_by_keys(spark, sf):
+    return keys.of_media(keys_by_media(spark, sf, "news_fx"), MEDIA)
+
+
+@query("garbage_of_media_by_keys", f"{cte('garbage_fx')} SELECT DISTINCT url FROM garbage_fx WHERE media_url = '{MEDIA}'")
+def garbage_of_media_by_keys(spark, sf):
+    return keys.of_media(keys_by_media(spark, sf, "garbage_fx"), MEDIA)

@@ -9,7 +9,7 @@ from newsloom.operators.links import stored_among
 from newsloom.operators.skew import collect_in_parts
 
 
-def _append(fresh: DataFrame, path: str, batch_id: str) -> None:
+def append_batch(fresh: DataFrame, path: str, batch_id: str) -> None:
     """Write one batch to its own partition; the same batch again replaces itself."""
     (
         fresh.withColumn("batch_id", F.lit(batch_id))
@@ -34,7 +34,7 @@ def append_news(news: DataFrame, stored: DataFrame, path: str, batch_id: str) ->
         .select("url", "r.*")
         .select(*news.columns)
     )
-    _append(fresh, path, batch_id)
+    append_batch(fresh, path, batch_id)
 
 
 def append_garbage(garbage: DataFrame, stored: DataFrame, path: str, batch_id: str) -> None:
@@ -48,7 +48,7 @@ def append_garbage(garbage: DataFrame, stored: DataFrame, path: str, batch_id: s
         .select(*keys, "r.*")
         .select(*garbage.columns)
     )
-    _append(fresh, path, batch_id)
+    append_batch(fresh, path, batch_id)
 
 
 def write_sections(records: DataFrame, path: str) -> None:
@@ -83,6 +83,6 @@ def write_region_media(media: DataFrame, path: str) -> None:
 
 
 __all__ = [
-    "append_news", "append_garbage", "write_sections", "write_stats", "write_ranking",
+    "append_batch", "append_news", "append_garbage", "write_sections", "write_stats", "write_ranking",
     "write_top_media", "write_frequent_topics", "write_region_media",
 ]

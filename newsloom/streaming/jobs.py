@@ -2,34 +2,135 @@
 
 from __future__ import annotations
 
+import math
+from contextlib import contextmanager
+from datetime import timedelta
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-from newsloom.operators import stats
-from newsloom.plans.ingest import run_ingest
+from newsloom.functions import text
+from newsloom.operators import articles, links, stats
+from newsloom.operators.articles import Summariser
+from newsloom.plans.ingest import open_table
+from newsloom.sources import schemas, sinks
+from newsloom.sources.workspace import write_through
 
 FRESH = "1 day"
 
 
-def stream_new_pages(arriving: DataFrame, news_path: str, garbage_path: str,
-                     checkpoint: str, as_of: Column) -> StreamingQuery:
+# What is remembered of a url: whether it is stored as news, and the media it was rejected for.
+_SEEN = "news boolean, rejected array<string>"
+_DISK_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB and so need not hold it in memory."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _DISK_STATE)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
+def page_records(pages: DataFrame, as_of: Column, summariser: Summariser = text.identity_summary) -> DataFrame:
+    """Outcome of each arriving page (url, media_url, score, html) with the code of its link and the order of its fetch.
+
+    A page is parsed whatever the link of its row, since it may be the last fetch of a url that
+    another media links as well. The markup does not go on.
+    """
+    times = [F.col(c).cast("timestamp").cast("double") for c in ("fetched_at",) if c in pages.columns]
+    order = F.col("page_id").cast("bigint") if "page_id" in pages.columns else F.xxhash64("html")
+    marked = links.classify_urls(pages).withColumnRenamed("status_code", "link_code").select(
+        "*", F.coalesce(*times, F.lit(0.0)).alias("fetch_time"), F.coalesce(order, F.lit(-1)).alias("fetch_order")
+    )
+    return articles.article_outcomes(marked, as_of, summariser, keep=("link_code", "fetch_time", "fetch_order"))
+
+
+def first_outcomes(records: DataFrame, known: DataFrame | None = None, keep_for: timedelta | None = None) -> DataFrame:
+    """The records that are new: rejects once per url and media, news once per url.
+
+    ``records`` is a stream of :func:`page_records`. The state is keyed by url, so a micro-batch
+    looks up its own urls only. Of several fetches of a url in a micro-batch the last counts,
+    for each of its media with the best score of that media. ``known`` is a stream of rows
+    (url, media_url, status_code) that are stored already and only enter the state. A url that
+    did not arrive for the time of ``keep_for`` is forgotten; without it, none is.
+    """
+    rows = records.withColumn("is_known", F.lit(False))
+    if known is not None:
+        rows = rows.unionByName(known.select("url", "media_url", "status_code", F.lit(True).alias("is_known")), allowMissingColumns=True)
+    columns = records.columns
+
+    def decide(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        news, rejected = state.get if state.exists else (False, [])
+        rejected = set(rejected)
+        arrived = [{k: None if v != v else v for k, v in r.items()} for f in frames for r in f.to_dict("records")]
+        for row in arrived:
+            if row["is_known"]:
+                news = news or row["status_code"] == "0"
+                rejected |= {row["media_url"]} if row["status_code"] != "0" else set()
+        fetched = [r for r in arrived if not r["is_known"]]
+        last = max(fetched, key=lambda r: (r["fetch_time"], r["fetch_order"]), default=None)
+        best: dict[str | None, dict] = {}
+        for row in fetched:
+            score = -math.inf if row["score"] is None else row["score"]
+            if row["media_url"] not in best or score > best[row["media_url"]]["rank"]:
+                best[row["media_url"]] = {**last, "rank": score, **{k: row[k] for k in ("media_url", "score", "link_code")}}
+        out, good = [], []
+        for media, row in best.items():
+            if row["link_code"] != "0":
+                row["status_code"] = row["link_code"]
+            if media in rejected or (news and row["link_code"] == "0"):
+                continue
+            (good if row["status_code"] == "0" else out).append(row)
+        rejected |= {r["media_url"] for r in out}
+        if good:
+            out.append(max(good, key=lambda r: (r["rank"], r["media_url"] or "")))
+            news = True
+        state.update((news, sorted(rejected, key=str)))
+        if keep_for is not None:
+            state.setTimeoutDuration(int(keep_for.total_seconds() * 1000))
+        if out:
+            yield pd.DataFrame(out, columns=columns, dtype=object)
+
+    timeout = GroupStateTimeout.NoTimeout if keep_for is None else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy("url").applyInPandasWithState(decide, records.schema, _SEEN, "append", timeout)
+
+
+def stream_new_pages(arriving: DataFrame, news_path: str, garbage_path: str, checkpoint: str, as_of: Column,
+                     known: DataFrame | None = None, keep_for: timedelta | None = None) -> StreamingQuery:
     """Process each url once as pages (url, media_url, score, html) arrive.
 
-    Each micro-batch is one increment of the batch job under its own batch id,
-    so a batch that is repeated after a failure replaces its own rows.
+    What was seen before is in the state of the query, on disk and in the checkpoint: no
+    stored table is read. ``known`` and ``keep_for`` are those of :func:`first_outcomes`. A
+    micro-batch owns a batch id, so one that is repeated after a failure replaces its own rows.
     """
+    spark = arriving.sparkSession
+    fresh = first_outcomes(page_records(arriving, as_of), known, keep_for)
+    for path, schema in ((news_path, schemas.NEWS), (garbage_path, schemas.GARBAGE)):
+        open_table(spark, path, schema)
 
     def one(batch: DataFrame, number: int) -> None:
-        candidates = batch.select("media_url", "url", "score")
-        run_ingest(candidates, batch, news_path, garbage_path, as_of, f"s{number:012d}")
-
-    return (
-        arriving.writeStream.foreachBatch(one)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        found = write_through(batch, "fresh-outcomes")
+        sinks.append_batch(articles.to_news_rows(found, as_of), news_path, f"s{number:012d}")
+        sinks.append_batch(articles.to_garbage_rows(found, as_of), garbage_path, f"s{number:012d}")
+
+    with state_on_disk(spark):
+        return (
+            fresh.writeStream.foreachBatch(one).outputMode("append")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
 
 
 def stream_dedup_links(links: DataFrame) -> DataFrame:

@@ -205,7 +205,7 @@ def article_pages(spark):
 def stored(spark, folder):
     news = spark.read.parquet(f"{folder}/news").select("url", "media_url", "title", "article_body")
     bad = spark.read.parquet(f"{folder}/garbage").select("url", "media_url", "status_code")
-    return sorted(map(tuple, news.collect())), sorted(map(tuple, bad.collect()))
+    return sorted(map(tuple, news.collect()), key=repr), sorted(map(tuple, bad.collect()), key=repr)
 
 
 def test_both_ways_of_fetching_agree(spark, article_pages):
@@ -334,3 +334,52 @@ def test_topic_suggest(spark):
 
     assert words(" BALON ") == ["baloncesto", "balonmano"]
     assert words("  ") == [] and words("zzz") == []
+
+
+def test_stream_of_five_batches_with_repeats_and_a_restart(spark, article_pages):
+    """The state of the urls gives what the batch job finds in the stored tables."""
+    pages = article_pages.filter("page_id < 70").select("page_id", "url", "media_url", "score", "html").collect()
+    rng = random.Random(5)
+    parts = [pages[i::5] + rng.sample(pages, 20) for i in range(5)]
+    # Other media for known urls, a later fetch in one batch, a bad link, rows without media or score.
+    other = "https://other.example.org"
+    parts[1] += [(r.page_id + 1000, r.url, other, 2.0, r.html) for r in pages[:20]]
+    parts[3] += [(r.page_id + 2000, r.url, r.media_url, None, "<html>") for r in pages[:30]]
+    parts[4] += [(9000, f"{other}/report.pdf", other, 1.0, "<html>"), (9001, pages[3].url, None, 1.0, pages[3].html)]
+    schema = "page_id bigint, url string, media_url string, score double, html string"
+    folder, work, arriving = new_path(spark, "five"), new_path(spark, "five-stream"), new_path(spark, "five-arriving")
+    tables = [spark.createDataFrame([tuple(r) for r in part], schema) for part in parts]
+    for i, table in enumerate(tables):
+        ingest.run_ingest(table.select("media_url", "url", "score"), table, f"{folder}/news", f"{folder}/garbage", now(), f"b{i}")
+
+    def start():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+        query = jobs.stream_new_pages(stream, f"{work}/news", f"{work}/garbage", f"{work}/cp", now())
+        query.awaitTermination()
+        return query
+
+    for table in tables[:3]:
+        table.coalesce(1).write.mode("append").parquet(arriving)
+    start()
+    for table in tables[3:]:
+        table.coalesce(1).write.mode("append").parquet(arriving)
+    last = start()
+    assert stored(spark, work) == stored(spark, folder)
+    used = [o["customMetrics"] for p in last.recentProgress for o in p["stateOperators"]]
+    assert used and all("rocksdbGetCount" in m for m in used)
+
+
+def test_known_rows_enter_the_state_and_old_ones_leave_it(spark, article_pages):
+    from datetime import timedelta
+
+    from newsloom.operators import links
+
+    some = article_pages.filter("page_id < 40").select("page_id", "url", "media_url", "score", "html")
+    valid = links.classify_urls(some).filter("status_code = '0'").drop("status_code")
+    work = new_path(spark, "known")
+    valid.write.parquet(f"{work}/pages")
+    valid.select("url", "media_url", F.lit("0").alias("status_code")).write.parquet(f"{work}/known")
+    read = lambda name: spark.readStream.schema(spark.read.parquet(f"{work}/{name}").schema).parquet(f"{work}/{name}")
+    jobs.stream_new_pages(read("pages"), f"{work}/news", f"{work}/garbage", f"{work}/cp", now(),
+                          known=read("known"), keep_for=timedelta(days=30)).awaitTermination()
+    assert spark.read.parquet(f"{work}/news").isEmpty() and spark.read.parquet(f"{work}/garbage").isEmpty()
