@@ -98,11 +98,16 @@ def first_outcomes(records: DataFrame, known: DataFrame | None = None, keep_for:
             news = True
         state.update((news, sorted(rejected, key=str)))
         if keep_for is not None:
-            state.setTimeoutDuration(int(keep_for.total_seconds() * 1000))
+            now = max(r["seen_at"].timestamp() for r in arrived)
+            state.setTimeoutTimestamp(max(int((now + keep_for.total_seconds()) * 1000), state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=columns, dtype=object)
 
-    timeout = GroupStateTimeout.NoTimeout if keep_for is None else GroupStateTimeout.ProcessingTimeTimeout
+    timeout = GroupStateTimeout.NoTimeout
+    if keep_for is not None:
+        # By the times of the micro-batches as event time: a timeout by processing time never lets availableNow end.
+        rows = rows.withColumn("seen_at", F.current_timestamp()).withWatermark("seen_at", "1 second")
+        timeout = GroupStateTimeout.EventTimeTimeout
     return rows.groupBy("url").applyInPandasWithState(decide, records.schema, _SEEN, "append", timeout)
 
 
