@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.sources.workspace import write_through
@@ -71,6 +72,18 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Jobs that run inside hand batches of at most so many rows to Python: for rows of many kilobytes."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def running_total(rows: DataFrame, order: list[Column], value: str, out: str) -> DataFrame:
     """Add the sum of ``value`` over all rows up to each one in ``order``.
 

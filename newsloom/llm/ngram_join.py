@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import in_slices, map_rows, text_slices
+from newsloom.llm.common import in_slices, map_rows, small_batches, text_slices
 from newsloom.llm.simhash_groups import connected
 from newsloom.sources.workspace import write_through
 
@@ -368,14 +368,15 @@ def jaccard_groups(docs: DataFrame, n: int = NGRAM_WORDS, percent: int = PERCENT
     their component is their own id. Equal rows and rows that share an id are rows each.
     Other columns are not read. Sets and n-grams are known by 64-bit hashes.
     """
-    sets = write_through(ngram_sets(docs, n).withColumn("row", F.monotonically_increasing_id()), "ngram-sets")
-    ids = sets.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"))
-    groups = set_links(sets, percent, **options)
-    rooted = write_through(
-        ids.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted-sets"
-    )
-    smallest = rooted.groupBy("root").agg(F.min("low").alias("smallest"))
-    per_set = rooted.join(smallest, "root").select("sid", "smallest")
+    with small_batches(docs.sparkSession):
+        sets = write_through(ngram_sets(docs, n).withColumn("row", F.monotonically_increasing_id()), "ngram-sets")
+        ids = sets.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"))
+        groups = set_links(sets, percent, **options)
+        rooted = write_through(
+            ids.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted-sets"
+        )
+        smallest = rooted.groupBy("root").agg(F.min("low").alias("smallest"))
+        per_set = rooted.join(smallest, "root").select("sid", "smallest")
     return sets.select("doc_id", "n", "sid").join(per_set, "sid", "left").select(
         "doc_id", F.col("n").cast("bigint").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"),
