@@ -241,11 +241,15 @@ def _may_link(x: str, y: str, percent: int):
     return sizes & ((px < 0) | ((F.col(f"{x}.large") | F.col(f"{y}.large")) & (bound >= common)))
 
 
+def _apart(x: str, y: str):
+    """Bits in which two sketches differ; each stands for an element at least that only one of the sets has."""
+    return sum(F.bit_count(F.col(f"{x}.sketch")[k].bitwiseXOR(F.col(f"{y}.sketch")[k])) for k in range(SKETCH_WORDS))
+
+
 def _in_common(x: str, y: str, percent: int):
-    """Whether the sketches of two sets allow a link: bits that differ stand for an element of one of them at least."""
-    apart = sum(F.bit_count(F.col(f"{x}.sketch")[k].bitwiseXOR(F.col(f"{y}.sketch")[k])) for k in range(SKETCH_WORDS))
+    """Whether the sketches of two sets allow a link."""
     both = F.col(f"{x}.size").cast("bigint") + F.col(f"{y}.size")
-    return apart * (100 + percent) <= both * (100 - percent)
+    return _apart(x, y) * (100 + percent) <= both * (100 - percent)
 
 
 def _of_paired(pairs: DataFrame, sets: DataFrame, firsts: DataFrame, column: str) -> DataFrame:
@@ -327,9 +331,7 @@ def set_links(sets: DataFrame, percent: int = PERCENT, boundary: int | None = No
     links = write_through(_linked(tried, filled, firsts, percent), "first-links")
 
     groups = write_through(connected(links), "first-groups")
-    placed = write_through(
-        members.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "placed-members"
-    )
+    placed = members.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     # In a bucket, members of its largest group meet the others only.
     counts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     main = (
@@ -353,11 +355,37 @@ def set_links(sets: DataFrame, percent: int = PERCENT, boundary: int | None = No
     sids = many.select(F.col("sid").alias("a"), F.col("sid").alias("b")).distinct()
     sketched = write_through(many.join(_of_paired(sids, filled, firsts, "sketch").drop("size"), "sid"), "sketched-members")
     pairs = _not_apart(met(open_.filter("not many")), filled, firsts, percent).unionByName(met(sketched, _in_common).distinct())
-    rest = pairs.distinct().join(tried, ["a", "b"], "left_anti")
-    more = write_through(_linked(rest, filled, firsts, percent), "more-links")
-    if more.isEmpty():
-        return groups
-    return connected(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    rest = write_through(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "other-pairs")
+    # One pair of two groups may join them and spare the others: the one whose sketches differ least goes first.
+    for last in (False, False, True):
+        rest = write_through(_between_groups(rest, groups), "open-pairs")
+        if rest.isEmpty():
+            break
+        now = rest if last else _nearest(rest, filled, firsts)
+        more = write_through(_linked(now.select("a", "b"), filled, firsts, percent), "more-links")
+        if not last:
+            rest = rest.select("a", "b").join(now.select("a", "b"), ["a", "b"], "left_anti")
+        if not more.isEmpty():
+            groups = write_through(
+                connected(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "more-groups"
+            )
+    return groups
+
+
+def _between_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets in different groups, with the groups (of_a, of_b) in order."""
+    for k in "ab":
+        pairs = pairs.join(groups.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")), k, "left")
+    root_a, root_b = F.coalesce("root_a", "a"), F.coalesce("root_b", "b")
+    return pairs.filter(root_a != root_b).select("a", "b", F.least(root_a, root_b).alias("of_a"), F.greatest(root_a, root_b).alias("of_b"))
+
+
+def _nearest(pairs: DataFrame, sets: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Per two groups (of_a, of_b) the pair (a, b) whose sketches differ least."""
+    sketches = _of_paired(pairs, sets, firsts, "sketch")
+    both = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.sid")).join(sketches.alias("y"), F.col("b") == F.col("y.sid"))
+    order = F.struct(_apart("x", "y").alias("apart"), "a", "b")
+    return write_through(both.groupBy("of_a", "of_b").agg(F.min(order).alias("p")).select("p.a", "p.b"), "nearest-pairs")
 
 
 def jaccard_groups(docs: DataFrame, n: int = NGRAM_WORDS, percent: int = PERCENT, **options) -> DataFrame:
