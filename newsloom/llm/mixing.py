@@ -2,9 +2,11 @@
 
 Each source is a queue of its documents in a fixed shuffled order, offered
 ``epochs`` times. A document's virtual finish time is the number of its source's
-words up to and with it, divided by the weight of the source. All documents are
-sorted by that time over ranges, and the queue ends where the budget of words is
-used up. DataFrame functions only.
+words up to and with it, divided by the weight of the source. A document longer
+than the quantum, a thousandth of the budget over the number of sources, is offered
+in slices of that many words, each with its own finish time, so that no source waits
+for a long document of another one. All offers are sorted by finish time over ranges,
+and the queue ends where the budget of words is used up. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from newsloom.llm.common import count_words, free_names, row_key, running_total
 from newsloom.sources.workspace import write_through
 
 EPOCHS = 3
+# The quantum is the budget divided by this and by the number of sources.
+QUANTA = 1000
 SEED = "mix-1"
 
 
@@ -65,12 +69,13 @@ def mix(docs: DataFrame, weight=cyclic_weight, epochs: int = EPOCHS, budget: int
     """What the mix takes of each row of ``docs`` (doc_id, text, source).
 
     Columns: key (``row_key``), doc_id, source, size, source_size, target, taken (words,
-    repeats counted) and copies. ``weight`` gives a source's weight by its number.
-    Documents are taken whole; the queue ends before the document that would exceed the
-    budget. A null text has size 0 and is taken no time; a null source is a source of its
-    own, the last; a null id is shuffled as the empty one; equal rows are queued one after
-    the other, so they may be taken a different number of times. The same rows give the
-    same mix.
+    repeats counted) and copies (begun ones). ``weight`` gives a source's weight by its
+    number. Documents are taken whole, but for those in service when the budget ends, at
+    most one per source: of their last copy the mix takes the first slices only, so taken
+    is less than size * copies. A source is off its target by a few quanta. A null text has
+    size 0 and is taken no time; a null source is a source of its own, the last; a null id
+    is shuffled as the empty one; equal rows are queued one after the other, so they may be
+    taken a different number of times. The same rows give the same mix.
     """
     sized = write_through(docs.select(
         row_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -78,41 +83,67 @@ def mix(docs: DataFrame, weight=cyclic_weight, epochs: int = EPOCHS, budget: int
         F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("shuffle"),
     ), "sized")
     sources, budget = source_table(sized, weight, epochs, budget)
+    quantum = max(1, budget // (QUANTA * max(1, sources.count())))
     order = [F.col("source").asc_nulls_last(), F.col("shuffle"), F.col("key"), F.col("size")]
     queued = write_through(
         running_total(sized, order, "size", "at").alias("d")
         .join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
         .select("d.key", "d.doc_id", "d.source", "size", "source_size", "number", "weight", "target",
-                (F.col("at") - F.col("start")).alias("at")),
+                (F.col("at") - F.col("size") - F.col("start")).alias("before")),
         "queued",
     )
+    # Slices behind the first ``budget`` words of a document are never reached.
+    slices = F.ceil(F.least(F.col("size"), F.lit(max(1, budget))) / quantum)
 
-    def finish(epoch: Column) -> Column:
-        return (epoch * F.col("source_size") + F.col("at")).cast("double") / F.col("weight")
+    def upto(slice_: Column) -> Column:
+        return F.least(slice_ * quantum, F.col("size"))
+
+    def finish(epoch: Column, slice_: Column) -> Column:
+        words = epoch * F.col("source_size") + F.col("before") + upto(slice_)
+        return words.cast("double") / F.col("weight")
 
     offers = queued.filter("size > 0").select(
-        "size", "number", "source_size", "at", "weight",
+        "size", "number", "source_size", "before", "weight", slices.alias("slices"),
         F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"),
-    ).select("size", "number", finish(F.col("epoch")).alias("finish"))
-    taken = running_total(offers, [F.col("finish"), F.col("number")], "size", "total").filter(F.col("total") <= budget)
-    last = taken.agg(F.max(F.struct("finish", "number")).alias("last")).first()["last"]
-    copies = F.lit(0)
+    ).filter(
+        # Nor are documents with more words of their own source before them.
+        F.col("epoch") * F.col("source_size") + F.col("before") < budget
+    ).select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("slices"))).alias("slice")).select(
+        (upto(F.col("slice")) - upto(F.col("slice") - 1)).alias("words"), "number",
+        finish(F.col("epoch"), F.col("slice")).alias("finish"),
+    )
+    served = running_total(offers, [F.col("finish"), F.col("number")], "words", "total").filter(F.col("total") <= budget)
+    last = served.agg(F.max(F.struct("finish", "number")).alias("last")).first()["last"]
+    taken = copies = F.lit(0).cast("bigint")
     if last is not None:
         end = F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["number"]).alias("number"))
-        for epoch in range(epochs):
-            place = F.struct(finish(F.lit(epoch)).alias("finish"), F.col("number").cast("bigint").alias("number"))
-            copies = copies + F.when((F.col("size") > 0) & (place <= end), 1).otherwise(0)
-    return queued.withColumn("copies", copies).select(
-        "key", "doc_id", "source", "size", "source_size", "target",
-        (F.col("size") * F.col("copies")).alias("taken"), "copies",
+
+        def is_served(epoch: Column, slice_: Column) -> Column:
+            place = F.struct(finish(epoch, slice_).alias("finish"), F.col("number").cast("bigint").alias("number"))
+            return (F.col("size") > 0) & (place <= end)
+
+        first = F.lit(1).cast("bigint")
+
+        def words_served(epoch: Column) -> Column:
+            head = F.filter(F.sequence(first, slices), lambda j: is_served(epoch, j))
+            part = F.when(is_served(epoch, first), upto(F.size(head).cast("bigint"))).otherwise(0)
+            return F.when(is_served(epoch, slices), upto(slices)).otherwise(part)
+
+        for epoch in map(F.lit, range(epochs)):
+            taken = taken + words_served(epoch)
+            copies = copies + F.when(is_served(epoch, first), 1).otherwise(0)
+    return queued.select(
+        "key", "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"),
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` that the mix takes, with ``mix_size``, ``mix_taken`` and ``mix_copies``.
 
-    Rows that are equal in id and text are joined by their greatest number of copies. Where
-    ``docs`` has one of these names already, the new one gets an underscore in front.
+    Texts stay whole: where ``mix_taken`` is less than ``mix_size * mix_copies``, a reader
+    ends the last copy after the words that are left. Rows that
+    are equal in id and text are joined by their greatest number of copies. Where ``docs``
+    has one of these names already, the new one gets an underscore in front.
     """
     size, taken, copies, id_, hash_ = free_names(docs, "mix_size", "mix_taken", "mix_copies", "_id", "_hash")
     mixed = (

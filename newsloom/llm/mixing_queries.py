@@ -1,4 +1,4 @@
-from newsloom.llm.mixing import EPOCHS, SEED, mix
+from newsloom.llm.mixing import EPOCHS, QUANTA, SEED, mix
 from newsloom.llm.registry import query, table
 
 CHECK = rf"""
@@ -27,13 +27,15 @@ queued AS (
     sum(d.size) OVER (PARTITION BY s.number ORDER BY shuffle, d.doc_id ROWS UNBOUNDED PRECEDING) AS upto
   FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source
 ),
+quantum AS (SELECT greatest(1, sum(source_size)::BIGINT // ({QUANTA} * count(*))) AS q FROM sources),
 offers AS (
-  SELECT doc_id, size, number, (e * source_size + upto)::DOUBLE / weight AS finish
-  FROM queued, range({EPOCHS}) t(e) WHERE size > 0
+  SELECT doc_id, number, least(j * q, size) - (j - 1) * q AS words,
+    (e * source_size + upto - size + least(j * q, size))::DOUBLE / weight AS finish
+  FROM (SELECT *, unnest(range(1, ((size + q - 1) // q)::BIGINT + 1)) AS j FROM queued, quantum), range({EPOCHS}) t(e)
 ),
 taken AS (
-  SELECT doc_id, sum(size) AS taken FROM (
-    SELECT *, sum(size) OVER (ORDER BY finish, number ROWS UNBOUNDED PRECEDING) AS total FROM offers)
+  SELECT doc_id, sum(words) AS taken FROM (
+    SELECT *, sum(words) OVER (ORDER BY finish, number ROWS UNBOUNDED PRECEDING) AS total FROM offers)
   WHERE total <= (SELECT sum(size) FROM sized) GROUP BY 1
 )
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken

@@ -188,21 +188,22 @@ def mix(docs, seed="mix-1", epochs=3):
         if not over:
             break
         full |= over
-    offers = []
+    offers, quantum = [], max(1, budget // (1000 * max(1, len(sources))))
     for k, s in enumerate(sources):
         order = sorted((i for i, _, x in docs if x == s), key=lambda i: hashlib.md5(f"{seed}:{i}".encode()).hexdigest())
         at = 0
         for e in range(epochs):
             for i in order:
-                at += size[i]
-                if size[i]:
-                    offers.append((at / weight[s], k, i))
+                for start in range(0, size[i], quantum):
+                    words = min(quantum, size[i] - start)
+                    at += words
+                    offers.append((at / weight[s], k, i, words))
     taken, used = Counter(), 0
-    for _, _, i in sorted(offers):
-        used += size[i]
+    for _, _, i, words in sorted(offers):
+        used += words
         if used > budget:
             break
-        taken[i] += size[i]
+        taken[i] += words
     return {i: (size[i], total[s], target[s], taken[i]) for i, _, s in docs}
 
 

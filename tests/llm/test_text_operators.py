@@ -147,7 +147,6 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
         assert {"key", "size", "_id", "words", "mix_size"} <= set(out.columns)
         got = [(x["doc_id"], x["text"].strip()) for x in out.collect()]
         assert {t for _, t in got} <= {a, b, " ".join(c.split()[12:])} and len(got) == len(set(got))
-        # The mix takes whole documents of a source within its target.
         assert bool(got) == bool(docs)
 
 
@@ -352,6 +351,22 @@ def test_mix_equals_brute_force(spark):
     assert again == {i: x[3] for i, x in got.items()}
 
 
+def test_mix_comes_near_its_targets(spark):
+    r = random.Random(4)
+    rows = [(i, "w " * r.choice([1, 40, 900]), r.choice("aaaabc")) for i in range(300)]
+    rows += [(900, "w " * 60_000, "d"), (901, "w " * 500, "e"), (902, "w " * 40_000, None)]
+    docs = frame(spark, rows)
+    for options in ({}, {"budget": 20_000}, {"budget": 300_000, "epochs": 2}):
+        mixed = mixing.mix(docs, **options).collect()
+        for source in {x["source"] for x in mixed}:
+            own = [x for x in mixed if x["source"] == source]
+            assert abs(sum(x["taken"] for x in own) - own[0]["target"]) <= max(8, 0.01 * own[0]["target"]), (options, source)
+            # Each of its documents is taken whole, but for one.
+            assert sum(x["taken"] != x["size"] * x["copies"] for x in own) <= 1
+        assert all((x["copies"] - 1) * x["size"] < x["taken"] <= x["copies"] * x["size"] for x in mixed if x["copies"])
+    assert sum(x["taken"] for x in mixing.mix(docs, budget=0).collect()) == 0
+
+
 def test_mix_of_equal_rows_and_no_words(spark):
     rows = [(1, "a b c", "x")] * 5 + [(None, "d e", None)] * 3 + [(2, None, "y"), (3, "", "y")]
     got = mixing.mix(frame(spark, rows)).collect()
