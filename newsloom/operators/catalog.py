@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import fixed, urls
 from newsloom.functions.stemming import with_stem
 from newsloom.operators.skew import (
-    attach_by_key, collect_in_parts, count_per_key, keep_matching_keys, with_count,
+    attach_by_key, collect_in_parts, count_per_key, join_rows, keep_matching_keys, with_count,
 )
 from newsloom.sources.workspace import write_through
 
@@ -140,14 +140,6 @@ def euclid_norm(*parts: Column) -> Column:
     return F.sqrt(total)
 
 
-def _with_ranking(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Inner join with the ranking on ``_d`` that splits the domains with most sections."""
-    ranks = right.groupBy("_d").agg(F.collect_list(F.struct("overall")).alias("_ranks"))
-    per_domain = count_per_key(left, "_d", "_n").join(ranks, "_d")
-    rows = attach_by_key(left, per_domain, "_d", "_n").filter(F.col("_ranks").isNotNull())
-    return rows.select(*left.columns, F.inline("_ranks"))
-
-
 def score_sections(sections: DataFrame, ranking: DataFrame) -> DataFrame:
     """Sections of ranked domains with their score.
 
@@ -161,7 +153,7 @@ def score_sections(sections: DataFrame, ranking: DataFrame) -> DataFrame:
         urls.strip_www(F.substring_index("domain", "|", 1)).alias("_d"), "overall"
     )
     joined = write_through(
-        _with_ranking(left, right).select("domain", "url", "topic", "topic_score", "overall"),
+        join_rows(left, right, "_d").select("domain", "url", "topic", "topic_score", "overall"),
         "ranked",
     )
     return minmax_normalise(joined, "overall", "_o").select(
@@ -184,7 +176,7 @@ def frequency_score(sections: DataFrame, ranking: DataFrame) -> DataFrame:
     )
     right = ranking.select(urls.strip_www(F.col("domain")).alias("_d"), "overall")
     left = both.withColumn("_d", urls.strip_www(F.col("domain")))
-    joined = write_through(_with_ranking(left, right), "ranked")
+    joined = write_through(join_rows(left, right, "_d"), "ranked")
     return minmax_normalise(joined, "overall", "_o").select(
         "domain", "url", "topic",
         euclid_norm(F.col("_o"), F.col("freq_domain"), F.col("freq_topic")).alias("score"),

@@ -16,6 +16,8 @@ BYTES_PER_ROW = 48
 HOT_SHARE = 1000
 # Number of parts a hot key is split into.
 HOT_PARTS = 64
+# Side of the grid for a key that is hot on both sides of a join of rows.
+GRID_SIDE = 8
 # Arrays that the records of a key are dealt out to.
 ARRAY_PARTS = 64
 
@@ -62,6 +64,46 @@ def attach_by_key(rows: DataFrame, per_key: DataFrame, key: str, weight: str,
     return left.join(right, [key, "_part"], "left").drop("_part")
 
 
+def join_rows(left: DataFrame, right: DataFrame, key: str,
+              broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Inner join where either side may hold very many rows of one key.
+
+    The right side is written once and measured with all its columns; a small one is
+    broadcast. For a large one each hot key gets a grid of parts: a row of the left goes
+    to all parts of one grid row, a row of the right to all parts of one grid column, so
+    each pair meets once and no part has more than its share of either side. A key that
+    is hot on one side only has that side split and the few rows of the other repeated.
+    """
+    right = write_through(right, "joined-rows")
+    text_bytes = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in right.columns), F.lit(0))
+    n, size = right.agg(F.count("*"), F.sum(text_bytes)).first()
+    if (size or 0) + n * BYTES_PER_ROW <= broadcast_bytes:
+        return left.join(F.broadcast(right), key)
+    counts = write_through(count_per_key(left, key, "_l").join(count_per_key(right, key, "_r"), key), "counts")
+    all_left, all_right = counts.agg(F.sum("_l"), F.sum("_r")).first()
+    hot_left, hot_right = F.col("_l") * HOT_SHARE > F.lit(all_left), F.col("_r") * HOT_SHARE > F.lit(all_right)
+    whole, side, one = F.lit(HOT_PARTS), F.lit(GRID_SIDE), F.lit(1)
+    hot = counts.filter(hot_left | hot_right).select(
+        key,
+        F.when(hot_left & hot_right, side).when(hot_left, whole).otherwise(one).alias("_rows"),
+        F.when(hot_left & hot_right, side).when(hot_right, whole).otherwise(one).alias("_cols"),
+    )
+
+    def dealt(rows: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        # Equal rows of different map tasks go to different parts, and to the same ones on a retry.
+        number = F.xxhash64(F.spark_partition_id(), *rows.columns)
+        return (
+            rows.join(F.broadcast(hot), key, "left")
+            .withColumn(own, F.pmod(number, F.coalesce(F.col(n_own), F.lit(1))).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n_other), F.lit(1)) - 1)))
+            .drop("_rows", "_cols")
+        )
+
+    return dealt(left, "_row", "_rows", "_col", "_cols").join(
+        dealt(right, "_col", "_cols", "_row", "_rows"), [key, "_row", "_col"]
+    ).drop("_row", "_col")
+
+
 def with_count(rows: DataFrame, key: str, out: str) -> DataFrame:
     """Add the number of rows that share ``key`` (null for a null key)."""
     return attach_by_key(rows, count_per_key(rows, key, out), key, out)
