@@ -227,15 +227,18 @@ def stream_new_pages(spark, sf):
 
 
 def arriving(spark, rows, name, extra=()):
-    """Stream over ``rows`` (with ``ts``) as files in the order of time, one file per micro-batch.
+    """Streams over a folder to which ``rows`` (with ``ts``) come part by part in the order of time.
 
-    The files are cut at noon, so that days go over two files; ``extra`` comes last.
+    Each part has as many files as Spark makes of it, all of one micro-batch if the job runs
+    to its end before the next part is asked for. The parts are cut at noon, so that days go
+    over two of them; rows without a time are in the first, ``extra`` comes last.
     """
     path = new_path(spark, name)
     day = F.datediff(F.to_date(c("ts") + F.expr("INTERVAL 12 HOURS")), F.lit("2024-01-01"))
-    for part in [rows.filter(day < 8), rows.filter((day >= 8) & (day < 16)), rows.filter(day >= 16), *extra]:
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    early, late = F.coalesce(day < 8, F.lit(True)), F.coalesce(day >= 16, F.lit(False))
+    for part in [rows.filter(early), rows.filter(~early & ~late), rows.filter(late), *extra]:
+        part.write.mode("append").parquet(path)
+        yield spark.readStream.schema(rows.schema).parquet(path)
 
 
 @query("stream_dedup_links", """
@@ -247,9 +250,10 @@ def stream_dedup_links(spark, sf):
     rows = table(spark, sf, "events").select("ts", F.concat_ws(
         "/", "event_type", c("user_id").cast("string"), F.to_date("ts").cast("string")).alias("url"))
     late = rows.agg(F.min("ts").alias("ts")).select("ts", F.lit("late/row").alias("url"))
-    found = arriving(spark, rows, "links-arriving", [late]).select("url", c("ts").cast("timestamp").alias("published_at"))
-    jobs.write_new_rows(
-        jobs.stream_dedup_links(found), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    for stream in arriving(spark, rows, "links-arriving", [late]):
+        found = stream.select("url", c("ts").cast("timestamp").alias("published_at"))
+        jobs.write_new_rows(
+            jobs.stream_dedup_links(found), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/rows").select("url")
 
 
@@ -259,10 +263,10 @@ SELECT *, CASE WHEN n_scraped > 0 AND n_inserted = 0 THEN '0 insertions to db' E
 def stream_media_stats(spark, sf):
     """The ingest statistics over several micro-batches equal those of one batch."""
     path = new_path(spark, "hourly")
-    rows = arriving(spark, fixture(spark, sf, "ingest_events_fx"), "outcomes-arriving")
-    rows = rows.withColumn("ts", c("ts").cast("timestamp"))
-    jobs.write_updates(
-        jobs.stream_media_stats(rows), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    for stream in arriving(spark, fixture(spark, sf, "ingest_events_fx"), "outcomes-arriving"):
+        rows = stream.withColumn("ts", c("ts").cast("timestamp"))
+        jobs.write_updates(
+            jobs.stream_media_stats(rows), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
     return jobs.latest_updates(spark, f"{path}/rows", ["hour", "media_url"])
 
 
