@@ -11,7 +11,9 @@ from newsloom.operators import articles, feed, release
 from newsloom.plans.fixtures import cte, fixture, table
 from newsloom.plans.page_queries import RECORDS, as_of
 from newsloom.plans.registry import query
+from newsloom.sources import releases
 from newsloom.sources.tables import pending_news
+from newsloom.sources.workspace import new_path
 
 N = cte("news_fx")
 SEED = "2024-01-02"
@@ -73,6 +75,25 @@ def mark_processed(spark, sf):
     return release.release_run(rows, SEED, F.expr(NOW)).select("url", "processed_at", "preprocessed")
 
 
+@query("release_by_batches", f"""{N}, taken AS (SELECT *, hour(created_at) >= 2 AS run FROM news_fx WHERE hour(created_at) < 3),
+pending AS (SELECT * FROM taken WHERE processed_at IS NULL AND NOT preprocessed),
+chosen AS (SELECT url FROM (SELECT url, row_number() OVER (PARTITION BY run, description ORDER BY
+  -ln((('0x' || substr(md5('{SEED}' || url), 1, 8))::BIGINT + 0.5) / 4294967296.0) / (score + 1), url) AS rn
+  FROM pending WHERE description <> '') WHERE rn = 1)
+SELECT url, CASE WHEN url IN (SELECT url FROM pending) THEN {NOW} ELSE processed_at END AS processed_at,
+  preprocessed OR url IN (SELECT url FROM chosen) AS preprocessed FROM news_fx""")
+def release_by_batches(spark, sf):
+    """The hours arrive as batches; a run takes the first two, another one the third, and the rest waits."""
+    rows, path = news(spark, sf).select("url", "description", "score", "processed_at", "preprocessed", "created_at"), new_path(spark, "releases")
+    releases.create_store(spark, path, rows.schema)
+    hour = F.hour("created_at")
+    for batch, (part, run) in enumerate([(hour == 0, None), (hour == 1, "r1"), (hour == 2, "r2"), (hour >= 3, None)]):
+        releases.add_batch(rows.filter(part), path, f"b{batch}")
+        if run:
+            releases.release_batches(spark, path, rows.schema, run, SEED, F.expr(NOW))
+    return releases.snapshot(spark, path, rows.schema).select("url", "processed_at", "preprocessed")
+
+
 # ---- feed --------------------------------------------------------------------
 
 FEED = "url, created_at, inserted_at, title, description, article_body, image_url, score, preprocessed"
