@@ -1,12 +1,19 @@
 """Line deduplication by pairwise alignment.
 
-The hash of a line leads to the first document that has it. A document is paired
-with the first owners of its shared lines, rare ones included and frequent ones
-too, so a line of n documents makes n - 1 pairs and not n squared. Passages of enough
-words that are left lead in the same way to the first document that has the whole
-passage, and from there to the earlier documents that have its rarest line. A pair is
-aligned by patience diff over its line hashes, what that leaves by passages, and an
-aligned block of enough words is deleted from the later document. Documents are ordered by id.
+The hash of a line leads to the first document that has it. A document is paired with
+the first owners of its shared lines, rare ones included and frequent ones too, so a
+line of n documents makes n - 1 pairs and not n squared. A pair holds the lines of the
+later document around those that the earlier one owns, and no more, so a document of
+many lines with as many first owners is sent about once. It is aligned by patience
+diff over its line hashes, and what that leaves by passages. Passages that no pair
+settles lead by their hash to the first document with the whole passage. An aligned
+block of enough words is deleted from the later document. Documents are ordered by id.
+
+A passage is a shortest run of lines with enough words that all have an earlier first
+owner. It goes if its lines stand in the same order in the first owner of one of its
+lines (or of a line of the passages that overlap it), others between them allowed; or
+if they follow one another in any earlier document, where lines that no other document
+has do not count. Lines and passages are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -137,69 +144,119 @@ def line_sequences(docs: DataFrame) -> DataFrame:
     return map_rows(rows, per_batch, f"key {_KEY}, lines array<bigint>, words array<int>").dropDuplicates(["key"])
 
 
-def _later_runs(lines: DataFrame, sequences: DataFrame, min_words: int) -> DataFrame:
-    """Runs of lines of a document that all have an earlier first owner: key, start, lines, words,
-    and per line its first owner and the number of documents that have it."""
+def _later_stretches(lines: DataFrame, sequences: DataFrame, min_words: int) -> DataFrame:
+    """Stretches of the lines of a document that others have too, up to a line that it has first itself.
+
+    key, and per line its place, hash, words and first owner. Lines that no other document has are left out.
+    """
     # Written, so that the join below deals out both sides anew and can split a frequent line.
     owners = write_through(
-        lines.groupBy("line").agg(F.min("key").alias("owner"), F.count("*").alias("n")).filter("n > 1"), "line-owners"
-    )
-    shared = (
-        lines.join(owners, "line").filter(F.col("owner") != F.col("key"))
-        .groupBy("key").agg(F.collect_list(F.struct("line", "owner", "n")).alias("shared"))
+        lines.groupBy("line").agg(F.min("key").alias("owner"), F.count("*").alias("n")).filter("n > 1").drop("n"), "line-owners"
     )
+    shared = lines.join(owners, "line").groupBy("key").agg(F.collect_list(F.struct("line", "owner")).alias("shared"))
 
     def per_batch(batch: pa.RecordBatch):
         out = []
         for row in batch.to_pylist():
-            known = {s["line"]: (s["owner"], s["n"]) for s in row["shared"]}
-            lines, words, i = row["lines"], row["words"], 0
-            while i < len(lines):
-                start = i
-                while i < len(lines) and lines[i] in known:
-                    i += 1
-                # No block in a shorter run can be long enough.
-                if i > start and sum(words[start:i]) >= min_words:
-                    owners, counts = zip(*(known[x] for x in lines[start:i]))
-                    out.append((row["key"], start, lines[start:i], words[start:i], owners, counts))
-                i += i == start
-        columns = list(zip(*out)) or [[]] * 6
+            known = {s["line"]: s["owner"] for s in row["shared"]}
+            stretch: list[tuple] = []
+            for place, (line, words) in enumerate([*zip(row["lines"], row["words"]), (None, 0)]):
+                owner = known.get(line)
+                if line is not None and owner != row["key"]:
+                    if owner:
+                        stretch.append((place, line, words, owner))
+                else:
+                    # No block in a shorter one can be long enough.
+                    if sum(x[2] for x in stretch) >= min_words:
+                        out.append((row["key"], *map(list, zip(*stretch))))
+                    stretch = []
+        columns = list(zip(*out)) or [[]] * 5
         key = pa.struct([("id", pa.int64()), ("hash", pa.int64())])
-        types = (key, pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(key), pa.list_(pa.int64()))
+        types = (key, pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(key))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(c), t) for c, t in zip(columns, types)], ["key", "start", "lines", "words", "owners", "counts"]
+            [pa.array(list(c), t) for c, t in zip(columns, types)], ["key", "places", "lines", "words", "owners"]
         )
 
     return map_rows(
         sequences.join(shared, "key"), per_batch,
-        f"key {_KEY}, start int, lines array<bigint>, words array<int>, owners array<{_KEY}>, counts array<bigint>",
+        f"key {_KEY}, places array<int>, lines array<bigint>, words array<int>, owners array<{_KEY}>",
     )
 
 
-def _passage_rows(runs: DataFrame, blocks: DataFrame, min_words: int) -> DataFrame:
-    """Passages of more than one line in ``runs``: passage (hash), key, start (of the run) and whether
-    the ``blocks`` leave a line of it; if so, line is the one that fewest documents have."""
+def owned_windows(starts: list[int], ends: list[int], owned: list[int]) -> list[tuple[int, int]]:
+    """[start, end) of the passages that have one of the lines ``owned``, joined where they overlap.
+
+    The passages are those of a run, in order: their starts ascend and so do their ends.
+    """
+    out: list[tuple[int, int]] = []
+    for at in owned:
+        first, last = bisect_right(ends, at), bisect_right(starts, at)
+        if first < last:
+            start, end = starts[first], ends[last - 1]
+            if out and start < out[-1][1]:
+                start, end = out.pop()[0], max(end, ends[last - 1])
+            out.append((start, end))
+    return out
+
+
+def _solid_runs(places: list[int]) -> list[tuple[int, int]]:
+    """[start, end) of the parts of a stretch whose lines follow one another in the document."""
+    cuts = [0, *(k for k in range(1, len(places)) if places[k] != places[k - 1] + 1), len(places)]
+    return list(zip(cuts, cuts[1:]))
+
+
+def owner_pairs(stretches: DataFrame, min_words: int) -> DataFrame:
+    """key, owner, start, and lines and words of the document around the lines that the owner has first."""
+
+    def per_batch(batch: pa.RecordBatch):
+        out = []
+        for row in batch.to_pylist():
+            for a, b in _solid_runs(row["places"]):
+                owned: dict[tuple, list[int]] = {}
+                for k, owner in enumerate(row["owners"][a:b]):
+                    owned.setdefault((owner["id"], owner["hash"]), []).append(k)
+                words = row["words"][a:b]
+                starts, ends = zip(*(passages(words, min_words) or [(0, 0)]))
+                for (id_, hash_), at in owned.items():
+                    for i, j in owned_windows(starts, ends, at):
+                        owner = {"id": id_, "hash": hash_}
+                        out.append((row["key"], owner, row["places"][a + i], row["lines"][a + i : a + j], words[i:j]))
+        columns = list(zip(*out)) or [[]] * 5
+        key = batch.schema.field("key").type
+        types = (key, key, pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(c), t) for c, t in zip(columns, types)], ["key", "owner", "start", "lines", "words"]
+        )
+
+    return map_rows(stretches, per_batch, f"key {_KEY}, owner {_KEY}, start int, lines array<bigint>, words array<int>")
+
+
+def _passage_rows(stretches: DataFrame, blocks: DataFrame, min_words: int) -> DataFrame:
+    """Passages of more than one line: passage (hash), key, [start, end) places, words, and whether the lines
+    follow one another in the document and the ``blocks`` leave one of them."""
     gone = blocks.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
 
     def per_batch(batch: pa.RecordBatch):
         out = []
-        for key, start, lines, words, counts, gone in zip(*(c.to_pylist() for c in batch.columns)):
-            deleted = {i - start for b in gone or () for i in range(b["start"], b["end"])}
+        for key, places, lines, words, gone in zip(*(c.to_pylist() for c in batch.columns)):
+            deleted = {i for b in gone or () for i in range(b["start"], b["end"])}
+            kept = [0, *accumulate(x not in deleted for x in places)]
+            upto = [0, *accumulate(words)]
             hashes = np.array(lines, np.int64)
             for i, j in passages(words, min_words):
                 if j - i > 1:
-                    left = not deleted.issuperset(range(i, j))
-                    line = lines[min(range(i, j), key=counts.__getitem__)] if left else None
-                    out.append((xxhash.xxh64_intdigest(hashes[i:j].tobytes()), key, start, left, line))
-        columns = list(zip(*out)) or [[]] * 5
+                    left = places[j - 1] - places[i] == j - 1 - i and kept[j] > kept[i]
+                    name = xxhash.xxh64_intdigest(hashes[i:j].tobytes())
+                    out.append((name, key, places[i], places[j - 1] + 1, upto[j] - upto[i], left))
+        columns = list(zip(*out)) or [[]] * 6
         columns[0] = np.array(columns[0], np.uint64).view(np.int64)
-        types = (pa.int64(), batch.schema.field("key").type, pa.int32(), pa.bool_(), pa.int64())
+        types = (pa.int64(), batch.schema.field("key").type, pa.int32(), pa.int32(), pa.int64(), pa.bool_())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, types)], ["passage", "key", "start", "left", "line"]
+            [pa.array(c, t) for c, t in zip(columns, types)], ["passage", "key", "start", "end", "words", "left"]
         )
 
-    rows = runs.join(gone, "key", "left").select("key", "start", "lines", "words", "counts", "gone")
-    return map_rows(rows, per_batch, f"passage bigint, key {_KEY}, start int, left boolean, line bigint")
+    rows = stretches.join(gone, "key", "left").select("key", "places", "lines", "words", "gone")
+    return map_rows(rows, per_batch, f"passage bigint, key {_KEY}, start int, end int, words bigint, left boolean")
 
 
 def repeated_blocks(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
@@ -210,7 +267,7 @@ def repeated_blocks(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFr
     sequences = write_through(line_sequences(docs), "line-sequences")
     others = sequences.select(F.col("key").alias("owner"), F.col("lines").alias("other"))
     lines = sequences.select("key", F.explode(F.array_distinct("lines")).alias("line"))
-    runs = write_through(_later_runs(lines, sequences, min_words), "line-runs")
+    stretches = write_through(_later_stretches(lines, sequences, min_words), "line-stretches")
 
     def per_batch(batch: pa.RecordBatch):
         out = []
@@ -223,29 +280,19 @@ def repeated_blocks(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFr
             [pa.array(list(c), t) for c, t in zip(columns, types)], ["key", "start", "end", "owner", "words"]
         )
 
-    def aligned(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(others, "owner").select("key", "owner", "start", "lines", "words", "other")
-        return map_rows(rows, per_batch, f"key {_KEY}, start int, end int, owner bigint, words bigint")
-
-    by_line = runs.select("key", "start", "lines", "words", F.explode(F.array_distinct("owners")).alias("owner"))
-    blocks = write_through(aligned(by_line), "line-blocks")
+    pairs = owner_pairs(stretches, min_words).join(others, "owner").select("key", "owner", "start", "lines", "words", "other")
+    blocks = write_through(map_rows(pairs, per_batch, f"key {_KEY}, start int, end int, owner bigint, words bigint"), "line-blocks")
 
     # Passages that first owners of lines leave lead to the first document with the whole passage.
-    rows = write_through(_passage_rows(runs, blocks, min_words), "passages")
-    first = rows.groupBy("passage").agg(F.min("key").alias("owner"), F.max("left").alias("any")).filter("any")
-    left = write_through(rows.filter("left").join(first, "passage").select("key", "start", "line", "owner"), "left-passages")
-    by_passage = left.filter(F.col("owner") != F.col("key")).select("key", "start", "owner")
-    # That document itself may have it from an earlier one with other lines between: each one with its rarest line is tried.
-    firsts = left.filter(F.col("owner") == F.col("key")).select("key", "start", "line").distinct()
-    by_rarest = firsts.join(lines.withColumnRenamed("key", "owner"), "line").filter("owner < key").select("key", "start", "owner")
-    pairs = (
-        by_passage.unionByName(by_rarest).distinct().join(runs, ["key", "start"])
-        .filter(~F.array_contains("owners", F.col("owner"))).select("key", "start", "lines", "words", "owner")
+    rows = write_through(_passage_rows(stretches, blocks, min_words), "passages")
+    first = rows.groupBy("passage").agg(F.min("key").alias("first"), F.max("left").alias("any")).filter("any").drop("any")
+    more = (
+        rows.filter("left").join(first, "passage").filter(F.col("first") < F.col("key"))
+        .select("key", "start", "end", F.col("first.id").alias("owner"), "words")
     )
-    more = aligned(pairs).groupBy("key", "start", "end", "words").agg(F.min("owner").alias("owner"))
     return (
         blocks.unionByName(more).groupBy("key")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "owner", "words"))).alias("blocks"))
+        .agg(F.array_sort(F.collect_set(F.struct("start", "end", "owner", "words"))).alias("blocks"))
     )
 
 
@@ -274,10 +321,9 @@ def delete_blocks(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFram
             real = real_lines(text or "")
             counts.append(len(real))
             if gone_blocks:
-                gone: set[int] = set()
-                for b in gone_blocks:
-                    # Blank lines inside a block go with it.
-                    gone.update(range(real[b["start"]][0], real[b["end"] - 1][0] + 1))
+                inside = {k for b in gone_blocks for k in range(b["start"], b["end"])}
+                # Blank lines between two deleted ones go with them.
+                gone = {i for k in inside for i in range(real[k][0], real[k + 1][0] if k + 1 in inside else real[k][0] + 1)}
                 text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
             texts.append(text)
         new = {place: pa.array(texts, batch.column(place).type), at_lines: pa.array(counts, pa.int64())}

@@ -110,44 +110,69 @@ def patience(a, b, a0=0, b0=0):
     return out + tail
 
 
+def in_order(lines, other):
+    rest = iter(other)
+    return all(x in rest for x in lines)
+
+
+def follow(lines, other):
+    return any(other[k : k + len(lines)] == lines for k in range(len(other) - len(lines) + 1))
+
+
+def repeated_lines(i, docs, first, shared, min_words):
+    """Places of the lines of document ``i`` in ``docs`` (id -> lines) that earlier ones have."""
+    own, gone = docs[i], set()
+    size = [len(WORD.findall(x)) for x in own]
+    passages = []
+    for a in range(len(own)):
+        b = a
+        while b < len(own) and first[own[b]] < i:
+            b += 1
+            if sum(size[a:b]) >= min_words:
+                if min(sum(size[a + 1 : b]), sum(size[a : b - 1])) < min_words:
+                    passages.append((a, b))
+                elif sum(size[a + 1 : b]) >= min_words and sum(size[a : b - 1]) >= min_words:
+                    break
+    for f in {first[x] for x in own} - {i}:
+        windows = []
+        for a, b in passages:
+            if any(first[x] == f for x in own[a:b]):
+                if windows and a < windows[-1][1]:
+                    windows[-1][1] = max(windows[-1][1], b)
+                else:
+                    windows.append([a, b])
+        for a, b in passages:
+            if any(x <= a and b <= y for x, y in windows) and in_order(own[a:b], docs[f]):
+                gone.update(range(a, b))
+    for e in docs:
+        if e < i:
+            other = [x for x in docs[e] if x in shared]
+            for a, b in passages:
+                if not gone.issuperset(range(a, b)) and own[a] in other and follow(own[a:b], other):
+                    gone.update(range(a, b))
+    return gone
+
+
 def line_dedup(docs, min_words=30):
     """New text, or None where nothing is left, of (doc_id, text) rows with distinct ids."""
-    lines = {i: [(n, x.strip(SPACE)) for n, x in enumerate((t or "").split("\n")) if x.strip(SPACE)] for i, t in docs}
-    owner = {}
-    for i in sorted(lines):
-        for _, x in lines[i]:
-            owner.setdefault(x, i)
-    shared_by = Counter(x for ls in lines.values() for x in {x for _, x in ls})
+    real = {i: [(n, x.strip(SPACE)) for n, x in enumerate((t or "").split("\n")) if x.strip(SPACE)] for i, t in docs}
+    lines = {i: [x for _, x in real[i]] for i in sorted(real)}
+    first = {}
+    for i in lines:
+        for x in lines[i]:
+            first.setdefault(x, i)
+    shared = {x for x, n in Counter(x for ls in lines.values() for x in set(ls)).items() if n > 1}
     out = {}
     for i, text in docs:
-        own = [x for _, x in lines[i]]
-        size = [len(WORD.findall(x)) for x in own]
-        gone, k = set(), 0
-        while k < len(own):
-            start = k
-            while k < len(own) and owner[own[k]] < i and shared_by[own[k]] > 1:
-                k += 1
-            if sum(size[start:k]) >= min_words:
-                for f in {owner[x] for x in own[start:k]}:
-                    pairs = [(start + a, b) for a, b in patience(own[start:k], [x for _, x in lines[f]])]
-                    blocks = []
-                    for a, b in sorted(pairs):
-                        if blocks and a == blocks[-1][-1][0] + 1:
-                            blocks[-1].append((a, b))
-                        else:
-                            blocks.append([(a, b)])
-                    for block in blocks:
-                        if sum(size[a] for a, _ in block) >= min_words:
-                            gone.update(range(lines[i][block[0][0]][0], lines[i][block[-1][0]][0] + 1))
-            k += k == start
+        gone = set()
+        inside = repeated_lines(i, lines, first, shared, min_words)
+        for k in inside:
+            gone.update(range(real[i][k][0], real[i][k + 1][0] if k + 1 in inside else real[i][k][0] + 1))
         new = "\n".join(x for n, x in enumerate((text or "").split("\n")) if n not in gone) if gone else text
         out[i] = None if gone and not WORD.search(new) else new
     return out
 
 
-PHRASE = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-
-
 def contamination(text, items, window=10):
     """n_words, hit word places and item ids (null for all items without one)."""
     words = PHRASE.findall((text or "").translate(LOWER))

@@ -5,6 +5,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from newsloom.llm import decontamination, line_dedup, mixing, quality_rules, simhash_groups
@@ -225,24 +226,41 @@ def test_line_dedup_of_passages_without_unique_lines_and_in_other_order(spark):
     assert edited_lines(spark, swapped) == swapped | {2: ["a", "b"]}
 
 
-def in_order(lines, other):
-    rest = iter(other)
-    return all(x in rest for x in lines)
-
-
 def test_line_dedup_equals_a_look_at_every_earlier_document(spark):
     r = random.Random(15)
     pool = [" ".join(f"{chr(97 + k)}{n}" for n in range(r.choice([4, 7, 11, 16, 31]))) for k in range(26)]
     docs = {i: [r.choice(pool[: 9 if i % 3 else 26]) for _ in range(r.randrange(1, 14))] for i in range(90)}
-    want = {}
-    for i, lines in docs.items():
-        gone = set()
-        for a in range(len(lines)):
-            for b in range(a + 1, len(lines) + 1):
-                if sum(len(x.split()) for x in lines[a:b]) >= 30 and any(in_order(lines[a:b], docs[e]) for e in docs if e < i):
-                    gone.update(range(a, b))
-        want[i] = [x for k, x in enumerate(lines) if k not in gone] or [""]
-    assert edited_lines(spark, docs) == want
+    docs |= {i: [x for y in lines for x in (y, *[f"only {i}"] * (r.random() < 0.3))] for i, lines in docs.items() if i % 4 == 0}
+    want = brute.line_dedup([(i, "\n".join(lines)) for i, lines in docs.items()])
+    assert edited_lines(spark, docs) == {i: (t or "").split("\n") for i, t in want.items()}
+
+
+def stretches_of(spark, docs):
+    sequences = line_dedup.line_sequences(docs)
+    lines = sequences.select("key", F.explode(F.array_distinct("lines")).alias("line"))
+    return line_dedup._later_stretches(lines, sequences, 30)
+
+
+def test_pairs_of_boilerplate_grow_with_the_documents(spark):
+    r = random.Random(16)
+    pool = passage(r, 150, 11)
+    counts = []
+    for n in (200, 400, 800):
+        docs = frame(spark, [(i, "\n".join(r.sample(pool, 20)), "s") for i in range(n)])
+        counts.append(line_dedup.owner_pairs(stretches_of(spark, docs), 30).count())
+    assert counts[1] <= 2.2 * counts[0] and counts[2] <= 2.2 * counts[1] and counts[2] <= 20 * 800
+
+
+def test_line_dedup_of_many_lines_with_as_many_first_owners(spark):
+    n = 100_000
+    text = F.concat_ws(" ", *(F.concat(F.lit(f"w{k}x"), "id") for k in range(12)))
+    single = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))
+    long = single.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    docs = single.unionByName(long.selectExpr(f"{n}L AS doc_id", "text")).unionByName(long.selectExpr(f"{n + 1}L AS doc_id", "text"))
+    pairs = line_dedup.owner_pairs(stretches_of(spark, docs), 30)
+    assert pairs.agg(F.sum(F.size("lines"))).first()[0] <= 2 * 6 * n
+    left = {x["doc_id"]: x["n"] for x in line_dedup.delete_blocks(docs).filter(f"doc_id >= {n}").selectExpr("doc_id", "length(text) AS n").collect()}
+    assert left[n] > 0 and left[n + 1] == 0
 
 
 def test_passages_hold_every_line_of_a_long_enough_run():
