@@ -2,15 +2,18 @@
 
 Documents are counted once per tokenizer version; the counts are kept per document.
 Inserts, deletes and revised counts are signed counts, summed by source, language
-and tokenizer version into a batch of the rollup. A batch is a folder that is
-replaced as a whole, so committing it again changes nothing, and the totals are the
-sums over the batches.
+and tokenizer version into a batch of the rollup. The sums of a try go to a folder of
+their own, and one row of a table of commits, written last as one file, publishes it in
+place of an earlier try. So committing a batch again changes nothing, a try that fails
+leaves what was there, and readers meet whole batches only. The totals are the sums over
+the batches; old batches can be folded into one folder.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections.abc import Callable
 from functools import cache
 
@@ -84,27 +87,61 @@ def revised(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals of docs and tokens by source, language and tokenizer version in ``folder``."""
+    """Totals of docs and tokens by source, language and tokenizer version in ``folder``.
+
+    One writer works at a time; readers may read at any time. Folders that no commit
+    points to any more are not deleted.
+    """
+
+    _SUMS = "source string, lang string, tokenizer string, docs bigint, tokens bigint, try string"
+    _COMMITS = "batch string, number bigint, try string, folded boolean"
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        spark.createDataFrame([], self._COMMITS).write.mode("ignore").parquet(f"{self.folder}/commits")
+        spark.createDataFrame([], self._SUMS).write.mode("append").partitionBy("try").parquet(f"{self.folder}/sums")
+
+    def _last(self) -> DataFrame:
+        """batch, try and whether it is folded, by the last commit of each batch."""
+        commits = self.spark.read.schema(self._COMMITS).parquet(f"{self.folder}/commits")
+        return commits.groupBy("batch").agg(F.max_by(F.struct("number", "try", "folded"), "number").alias("c")).select("batch", "c.*")
+
+    def _published(self) -> DataFrame:
+        # The commits are listed first: what they point to is there by then.
+        tries = self._last().select("try").distinct()
+        return self.spark.read.schema(self._SUMS).parquet(f"{self.folder}/sums").join(tries, "try", "left_semi").drop("try")
+
+    def _write(self, sums: DataFrame, batches: DataFrame, folded: bool) -> None:
+        name = uuid.uuid4().hex
+        sums.write.parquet(f"{self.folder}/sums/try={name}")
+        number = (self._last().agg(F.max("number")).first()[0] or 0) + 1
+        rows = batches.select("batch", F.lit(number).cast("bigint").alias("number"), F.lit(name).alias("try"), F.lit(folded).alias("folded"))
+        rows.coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
 
     def commit(self, batch: str, signed: DataFrame) -> None:
-        """Write the sums of a batch of signed counts in place of an earlier try of it."""
+        """Publish the sums of a batch of signed counts in place of an earlier try of it.
+
+        A batch that has been folded can't be replaced; to commit it again is an error.
+        """
         if not re.fullmatch(r"[A-Za-z0-9.-]+", batch):
             raise ValueError("a batch is named by letters, digits, dots and hyphens")
+        if not self._last().filter((F.col("batch") == batch) & F.col("folded")).isEmpty():
+            raise ValueError(f"batch {batch} has been folded")
         sums = signed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
+        self._write(sums, self.spark.createDataFrame([(batch,)], "batch string"), False)
+
+    def fold(self) -> None:
+        """Put the sums of all batches in one folder; the totals stay as they are."""
+        sums = self._published().groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        self._write(sums, self._last().select("batch"), True)
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs and n_tokens; what has come to nothing is left out.
 
-        Null sources and languages are groups of their own. A rollup without a batch is an error.
+        Null sources and languages are groups of their own. A rollup without a batch has no rows.
         """
-        schema = "source string, lang string, tokenizer string, docs bigint, tokens bigint, batch string"
-        sums = self.spark.read.schema(schema).parquet(self.folder)
         return (
-            sums.groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
+            self._published().groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
             .filter("n_docs <> 0 OR n_tokens <> 0")
         )
 
