@@ -197,28 +197,61 @@ def domain_records(scored: DataFrame) -> DataFrame:
 
 # ---- similar topics ----------------------------------------------------------
 
-# Words up to this length meet by deletion forms, longer ones by segments.
+# Words up to this length meet by what two edits leave of them, longer ones by segments.
 FORM_LETTERS = 32
+# Words whose keys go to one part of the join.
+WORDS_AT_ONCE = 500
 
 
-def _deletion_keys(words: DataFrame, limit: int) -> DataFrame:
-    """Hashes of what is left of a word without up to ``limit`` letters."""
+def _edit_keys(words: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Keys of a word as the first and as the second one of a pair, the shorter one first.
 
-    def shorter(w: Column) -> Column:
-        return F.when(
-            F.length(w) > 0,
-            F.transform(
-                F.sequence(F.lit(1), F.length(w)),
-                lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substr(w, i + 1)),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-
-    one = words.select("word", F.array_distinct(shorter(F.col("word"))).alias("v1"))
-    forms = F.concat(F.array("word"), F.col("v1"))
-    if limit == 2:
-        forms = F.concat(forms, F.flatten(F.transform("v1", shorter)))
-    return one.select("word", F.explode(F.array_distinct(forms)).alias("form")).select(
-        "word", F.xxhash64("form").alias("form")
+    A key is what is left of a word without one or two letters, with the places that the other
+    word may fill in its own way. Two words of one length are equal but for ``limit`` places, or
+    without one letter each; a word with a letter more, without it, is equal to the other but for
+    ``limit`` - 1 places; with two more, without these. So words that share a key are within the limit.
+    """
+    word, size = F.col("word"), F.length("word")
+
+    def rest(i: Column) -> Column:
+        return F.concat(F.substring(word, F.lit(1), i - 1), F.substr(word, i + 1))
+
+    def rest_of_two(i: Column, j: Column) -> Column:
+        return F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, j - i - 1), F.substr(word, j + 1))
+
+    def key(left: Column, i: Column | int, j: Column | int) -> Column:
+        return F.xxhash64(left, *(x if isinstance(x, Column) else F.lit(x) for x in (i, j)))
+
+    def explode(*lists: Column) -> DataFrame:
+        return parts.select("word", F.explode(F.array_distinct(F.concat(*lists))).alias("form"))
+
+    def each(lists: str, of) -> Column:
+        return F.transform(lists, of)
+
+    # Places are counted from 1 and of Spark's int type, as the numbers in the keys are.
+    one = F.when(size > 0, F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(rest(i).alias("left"), i.alias("i"))))
+    parts = words.select("word", F.coalesce(one, F.array().cast("array<struct<left:string,i:int>>")).alias("one"))
+    if limit == 1:
+        same = each("one", lambda x: key(x["left"], x["i"], 0))
+        return explode(same, F.array(key(word, 0, -1))), explode(same, each("one", lambda x: key(x["left"], 0, -1)))
+
+    def second(i: Column) -> Column:
+        return F.transform(
+            F.sequence(i + 1, size), lambda j: F.struct(rest_of_two(i, j).alias("left"), i.alias("i"), j.alias("j"))
+        )
+
+    two = F.when(size > 1, F.flatten(F.transform(F.sequence(F.lit(1), size - 1), second)))
+    parts = parts.withColumn("two", F.coalesce(two, F.array().cast("array<struct<left:string,i:int,j:int>>")))
+    same = F.concat(each("two", lambda x: key(x["left"], x["i"], x["j"])), each("one", lambda x: key(x["left"], 0, 0)))
+    # A word without letters has no place that differs.
+    nothing = F.when(size == 0, F.array(key(word, 0, -1))).otherwise(F.array().cast("array<bigint>"))
+    letter = F.when(size == 1, F.array(key(F.lit(""), 0, -1))).otherwise(F.array().cast("array<bigint>"))
+    return (
+        explode(same, each("one", lambda x: key(x["left"], x["i"], -1)), nothing, F.array(key(word, 0, -2))),
+        explode(
+            same, letter, each("two", lambda x: key(x["left"], x["i"], -1)), each("two", lambda x: key(x["left"], x["j"] - 1, -1)),
+            each("two", lambda x: key(x["left"], 0, -2)),
+        ),
     )
 
 
@@ -253,26 +286,31 @@ def topic_edit_pairs(
 ) -> DataFrame:
     """Unordered pairs of distinct topics within an edit distance of ``limit`` (1 or 2).
 
-    Short words within the limit share a form made by deleting at most ``limit``
-    letters from each, long ones share a segment near its place; pairs meet by the
-    hash of one of these and only then is the distance computed: no pass over all
-    pairs, none is missed, and the keys of a word do not grow with its length.
+    Short words within the limit share what one or two edits leave of them, with its places, so
+    that no others meet; long ones share a segment near its place and meet others too. Pairs
+    meet by the hash of one of these and only then is the distance computed: no pass over all
+    pairs, none is missed. Calling this runs a job: the distinct words are written and counted,
+    since pairs take much more than words, and the join has parts by the number of words.
     """
     if limit not in (1, 2):
         raise ValueError("limit must be 1 or 2")
-    words = sections.select(F.col(key).alias("word")).filter(F.col("word").isNotNull()).distinct()
+    words = write_through(
+        sections.select(F.col(key).alias("word")).filter(F.col("word").isNotNull()).distinct(), "edit-words"
+    )
+    parts = 1 + words.count() // WORDS_AT_ONCE
+    words = words.repartition(parts, "word")
     # A pair whose shorter word is short has a longer one of at most so many letters.
-    forms = _deletion_keys(words.filter(F.length("word") <= FORM_LETTERS + limit), limit)
-    shorter, longer = _segment_keys(words.filter(F.length("word") > FORM_LETTERS), limit)
-
-    def met(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.withColumnRenamed("word", "a").join(b.withColumnRenamed("word", "b"), "form").filter(
-            F.col("a") != F.col("b")
-        ).select(F.least("a", "b").alias("word_a"), F.greatest("a", "b").alias("word_b"))
-
+    short = _edit_keys(words.filter(F.length("word") <= FORM_LETTERS + limit), limit)
+    long = _segment_keys(words.filter(F.length("word") > FORM_LETTERS), limit)
+    # A number of parts that is asked for stays: Spark would merge parts by the size of the keys.
+    x, y = (
+        s.unionByName(g).withColumnRenamed("word", k).repartition(parts, "form") for k, s, g in zip("xy", short, long)
+    )
+    in_order = F.struct(F.length("x"), F.col("x")) < F.struct(F.length("y"), F.col("y"))
+    met = x.join(y, "form").filter(in_order).select(F.least("x", "y").alias("word_a"), F.greatest("x", "y").alias("word_b"))
     distance = F.levenshtein("word_a", "word_b", limit)
     return (
-        met(forms, forms).filter(F.col("word_a") != F.col("word_b")).unionByName(met(shorter, longer)).distinct()
+        met.repartition(parts, "word_a", "word_b").distinct()
         .select("word_a", "word_b", distance.alias("distance"))
         .filter(F.col("distance") >= 0)
     )

@@ -108,6 +108,26 @@ def test_edit_pairs_of_very_long_words(spark):
     assert sorted(r[2] for r in got) == [1, 1, 2]
 
 
+@pytest.mark.parametrize("limit", [1, 2])
+def test_only_words_within_the_limit_share_an_edit_key(spark, limit):
+    rng = random.Random(4)
+    words = {"", "a", "b", "ab", "aab"} | {"x" + "".join(rng.choice("0123") for _ in range(rng.randrange(7))) for _ in range(120)}
+    x, y = catalog._edit_keys(spark.createDataFrame([(w,) for w in words], "word string"), limit)
+    met = x.withColumnRenamed("word", "x").join(y.withColumnRenamed("word", "y"), "form").select("x", "y").distinct()
+    got = {tuple(sorted(r)) for r in met.collect() if r[0] != r[1]}
+    assert got == {(a, b) for a, b in itertools.combinations(sorted(words), 2) if distance(a, b) <= limit}
+
+
+def test_edit_pairs_have_parts_by_the_number_of_words(spark, monkeypatch):
+    """Parts of few bytes of keys, which make many pairs, are not merged."""
+    monkeypatch.setattr(catalog, "WORDS_AT_ONCE", 5, raising=False)
+    df = spark.createDataFrame([(f"x{i}",) for i in range(8, 2000, 9)], "topic string")
+    many = df.count() // 5
+    assert many > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    used = catalog.topic_edit_pairs(df).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used > many // 2
+
+
 def test_substring_semi_equals_brute_force(spark):
     topics = ["deportes", "sport", "a", "", "economia", "eco", "x", None]
     stems = ["eco", "port", "zz"]
