@@ -61,30 +61,48 @@ def first_outcomes(records: DataFrame, known: DataFrame | None = None, keep_for:
     for each of its media with the best score of that media. ``known`` is a stream of rows
     (url, media_url, status_code) that are stored already and only enter the state. A url that
     did not arrive for the time of ``keep_for`` is forgotten; without it, none is.
+
+    A record goes to Python and back as one array of strings: each url is a group of its own
+    there, and the time of a group goes with its columns, of which a record has some twenty.
     """
     rows = records.withColumn("is_known", F.lit(False))
     if known is not None:
         rows = rows.unionByName(known.select("url", "media_url", "status_code", F.lit(True).alias("is_known")), allowMissingColumns=True)
     columns = records.columns
+    names = [*columns, "is_known"]
+
+    def read(row) -> dict:
+        r = dict(zip(names, row))
+        score = None if r["score"] is None else float(r["score"])
+        r["is_known"] = r["is_known"] == "true"
+        if score is None or score != score:
+            r["score"], score = None, -math.inf
+        return {**r, "rank": score}
+
+    def order(r: dict) -> tuple[float, int]:
+        return float(r["fetch_time"]), int(r["fetch_order"])
 
     def decide(key, frames, state):
         if state.hasTimedOut:
             state.remove()
             return
         news, rejected = state.get if state.exists else (False, [])
-        rejected = set(rejected)
-        arrived = [{k: None if v != v else v for k, v in r.items()} for f in frames for r in f.to_dict("records")]
+        rejected, latest = set(rejected), None
+        arrived = []
+        for frame in frames:
+            arrived += map(read, frame["record"])
+            if keep_for is not None:
+                latest = max(t for t in (latest, frame["seen_at"].max()) if t is not None)
         for row in arrived:
             if row["is_known"]:
                 news = news or row["status_code"] == "0"
                 rejected |= {row["media_url"]} if row["status_code"] != "0" else set()
         fetched = [r for r in arrived if not r["is_known"]]
-        last = max(fetched, key=lambda r: (r["fetch_time"], r["fetch_order"]), default=None)
+        last = max(fetched, key=order, default=None)
         best: dict[str | None, dict] = {}
         for row in fetched:
-            score = -math.inf if row["score"] is None else row["score"]
-            if row["media_url"] not in best or score > best[row["media_url"]]["rank"]:
-                best[row["media_url"]] = {**last, "rank": score, **{k: row[k] for k in ("media_url", "score", "link_code")}}
+            if row["media_url"] not in best or row["rank"] > best[row["media_url"]]["rank"]:
+                best[row["media_url"]] = {**last, **{k: row[k] for k in ("rank", "media_url", "score", "link_code")}}
         out, good = [], []
         for media, row in best.items():
             if row["link_code"] != "0":
@@ -98,17 +116,19 @@ def first_outcomes(records: DataFrame, known: DataFrame | None = None, keep_for:
             news = True
         state.update((news, sorted(rejected, key=str)))
         if keep_for is not None:
-            now = max(r["seen_at"].timestamp() for r in arrived)
+            now = latest.timestamp()
             state.setTimeoutTimestamp(max(int((now + keep_for.total_seconds()) * 1000), state.getCurrentWatermarkMs() + 1))
         if out:
-            yield pd.DataFrame(out, columns=columns, dtype=object)
+            yield pd.DataFrame({"record": [[r[k] for k in columns] for r in out]})
 
+    rows = rows.select("url", F.array(*[F.col(k).cast("string") for k in names]).alias("record"))
     timeout = GroupStateTimeout.NoTimeout
     if keep_for is not None:
         # By the times of the micro-batches as event time: a timeout by processing time never lets availableNow end.
         rows = rows.withColumn("seen_at", F.current_timestamp()).withWatermark("seen_at", "1 second")
         timeout = GroupStateTimeout.EventTimeTimeout
-    return rows.groupBy("url").applyInPandasWithState(decide, records.schema, _SEEN, "append", timeout)
+    decided = rows.groupBy("url").applyInPandasWithState(decide, "record array<string>", _SEEN, "append", timeout)
+    return decided.select(*[F.col("record")[i].cast(f.dataType).alias(f.name) for i, f in enumerate(records.schema)])
 
 
 def stream_new_pages(arriving: DataFrame, news_path: str, garbage_path: str, checkpoint: str, as_of: Column,

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -389,6 +390,28 @@ def test_stream_of_five_batches_with_repeats_and_a_restart(spark, article_pages)
     assert used and all("rocksdbGetCount" in m for m in used)
 
 
+def test_records_reach_the_state_as_one_column_and_come_back_whole(spark):
+    """Columns of a group cost their time for every url; nulls, NaN and numbers stay as they are."""
+    schema = ("url string, media_url string, score double, link_code string, status_code string, "
+              "title string, n_tokens int, fetch_time double, fetch_order bigint")
+    rows = [
+        ("u1", "m", 0.1, "0", "0", "a,\"b\nñ", 7, 1.5, 2**53 + 1), ("u1", "m", 0.1, "0", "5_6", None, None, 1.5, 2**53),
+        ("u2", None, float("nan"), "3_2", "0", "", -1, 1.7e9, -1), ("u3", "m", 1e-300, "0", "5_8", None, None, 0.0, 0),
+    ]
+    work = new_path(spark, "packed")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{work}/rows")
+    fresh = jobs.first_outcomes(spark.readStream.schema(schema).parquet(f"{work}/rows"))
+    node = re.search(r"FlatMapGroupsInPandasWithState.*", fresh._jdf.queryExecution().analyzed().toString()).group()
+    assert "record" in node and "title" not in node
+    assert fresh.schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString()
+    with jobs.state_on_disk(spark):
+        query = (fresh.writeStream.format("parquet").option("path", f"{work}/out").option("checkpointLocation", f"{work}/cp")
+                 .outputMode("append").trigger(availableNow=True).start())
+    query.awaitTermination()
+    got = {tuple(r) for r in spark.read.schema(schema).parquet(f"{work}/out").collect()}
+    assert got == {rows[0], ("u2", None, None, "3_2", "3_2", "", -1, 1.7e9, -1), rows[3]}
+
+
 def test_known_rows_enter_the_state_under_a_timeout(spark, article_pages):
     from datetime import timedelta
 
