@@ -115,8 +115,8 @@ def frequent_elements(sets: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(values[again]), pa.array(counts[again])], ["element", "n"])
 
     counted = map_rows(sets.select("elements", "n"), per_batch, "element bigint, n bigint").groupBy("element").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.col("n").desc(), "element").limit(most).toPandas().sort_values("element")
-    return rows["element"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    rows = counted.orderBy(F.col("n").desc(), "element").limit(most).toArrow().sort_by("element")
+    return rows["element"].to_numpy().astype(np.int64), rows["n"].to_numpy().astype(np.int64)
 
 
 def _least_common(size, percent: int):
