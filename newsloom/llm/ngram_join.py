@@ -271,14 +271,31 @@ def _not_apart(pairs: DataFrame, sets: DataFrame, firsts: DataFrame, percent: in
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b) that are linked, from their elements."""
+    """Those of the distinct ``pairs`` (a, b) that are linked, from their elements.
+
+    Elements do not compress, so they move as little as may be: of a pair, the set with fewer pairs
+    goes to the other one, straight from ``sets``; the other one goes there once for all its pairs.
+    """
     pairs = write_through(pairs, "set-pairs")
-    found = _of_paired(pairs, sets, firsts, "elements")
-    left, right = (found.select(F.col("sid").alias(k), F.col("elements").alias(f"of_{k}")) for k in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("of_a", "of_b")).cast("bigint")
-    size = F.size("of_a") + F.size("of_b") - F.col("common")
-    return both.select("a", "b", "of_a", "of_b", common.alias("common")).filter(100 * F.col("common") >= percent * size).select("a", "b")
+    ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
+    degrees = write_through(ends.groupBy("sid").agg(F.count("*").alias("degree")).join(firsts, "sid"), "set-degrees")
+    of = lambda k: degrees.select(F.col("sid").alias(k), F.struct("degree", "sid", "row").alias(f"of_{k}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    low, high = F.least("of_a", "of_b"), F.greatest("of_a", "of_b")
+    turned = write_through(both.select(low["row"].alias("row"), high["row"].alias("hub"), "a", "b"), "turned-pairs")
+    few = turned.count() <= BROADCAST_SETS
+    hubs = turned.select(F.col("hub").alias("row")).distinct()
+
+    def near(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if few else rows
+
+    elements = sets.select("row", "elements")
+    left = elements.withColumnRenamed("elements", "of_row").join(near(turned), "row").drop("row")
+    right = elements.withColumnRenamed("elements", "of_hub").join(near(hubs), "row", "left_semi").withColumnRenamed("row", "hub")
+    common = F.size(F.array_intersect("of_row", "of_hub")).cast("bigint")
+    size = F.size("of_row") + F.size("of_hub") - F.col("common")
+    met = left.join(right, "hub").select("a", "b", "of_row", "of_hub", common.alias("common"))
+    return met.filter(100 * F.col("common") >= percent * size).select("a", "b")
 
 
 def _marked(buckets: DataFrame) -> np.ndarray:
