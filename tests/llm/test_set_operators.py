@@ -305,3 +305,19 @@ def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
 
     few, many = pairs_of(60), pairs_of(240)
     assert many < 8 * few and many < 240 * 239 / 4
+
+
+def test_elements_of_paired_sets_are_not_written_again(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from newsloom.llm import ngram_join
+
+    base, far = list(range(20)), list(range(100, 120))
+    rows = [(0, 10, base), (1, 20, [*base, 50]), (2, 30, [*base, 51]), (3, 40, far)]
+    sets = spark.createDataFrame(rows, "row bigint, sid bigint, elements array<bigint>").withColumn("n", F.size("elements"))
+    pairs = spark.createDataFrame([(10, 20), (10, 30), (10, 40), (20, 30)], "a bigint, b bigint")
+    written, write = [], ngram_join.write_through
+    monkeypatch.setattr(ngram_join, "write_through", lambda df, name: written.extend(df.columns) or write(df, name))
+    got = ngram_join._linked(pairs, sets, sets.select("sid", "row"), 85).collect()
+    assert {tuple(r) for r in got} == {(10, 20), (10, 30), (20, 30)}
+    assert "elements" not in written
