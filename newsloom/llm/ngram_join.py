@@ -9,7 +9,9 @@ entries written and entries met in scans, measured on this very input.
 
 Copies of a set are one set. In a list, or under a subset, sets first meet its
 smallest set of about their size; sets that are connected by then do not meet each
-other again, so a group of n near copies makes about n pairs. The others meet all.
+other again, so a group of n near copies makes about n pairs. The others meet one set
+of the largest group, drawn in each bucket, and then all that are still apart.
+Pairs are compared by sketches, which grow with the sets, before their elements move.
 """
 
 from __future__ import annotations
@@ -39,6 +41,12 @@ SAMPLE_BITS = 5
 BROADCAST_SETS = 1_000_000
 # Words of 64 bits in the sketch of a set: the parities of its elements by hash.
 SKETCH_WORDS = 16
+# Larger sets have a second one too, of a bit for each element at least, up to so many bits.
+FINE_BITS = 1 << 20
+# Classes of sizes that meet in a part of a bucket.
+BAND = 4
+# Orders, as a power of two, by which buckets draw the sets that the others meet.
+DRAWS = 16
 # Buckets of so many members compare them without a look at the sketches first.
 FEW_MEMBERS = 8
 # Bits, as a power of two, that tell which buckets may have two sets.
@@ -77,15 +85,33 @@ def ngrams(text: str, hashes: dict, n: int = NGRAM_WORDS) -> np.ndarray:
     return np.unique(_mixed(rolling + np.uint64(length)).view(np.int64))
 
 
-def sketch(elements: np.ndarray) -> np.ndarray:
-    """Parities of the number of elements by their upper bits, as words of 64 bits."""
-    at = elements.view(np.uint64) >> np.uint64(64 - (64 * SKETCH_WORDS - 1).bit_length())
-    odd = np.bincount(at.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+def sketch(elements: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
+    """Parities of the number of elements by their upper bits, as words (a power of two) of 64 bits."""
+    at = elements.view(np.uint64) >> np.uint64(64 - (64 * words - 1).bit_length())
+    odd = np.bincount(at.astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def fine_sketch(elements: np.ndarray) -> np.ndarray:
+    """A sketch of a bit for each element at least; empty where :func:`sketch` has as many."""
+    if len(elements) <= 64 * SKETCH_WORDS:
+        return np.empty(0, np.int64)
+    return sketch(elements, min(FINE_BITS, 1 << (len(elements) - 1).bit_length()) // 64)
+
+
+def bits_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two fine sketches differ, the longer one folded to the shorter; 0 if one is empty."""
+    x, y = sorted((x, y), key=len)
+    if not len(x):
+        return 0
+    if len(x) < len(y):
+        bits = np.unpackbits(y.view(np.uint8), bitorder="little").reshape(64 * len(x), -1)
+        y = np.packbits(np.bitwise_xor.reduce(bits, 1), bitorder="little").view(np.int64)
+    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+
+
 def ngram_sets(docs: DataFrame, n: int = NGRAM_WORDS) -> DataFrame:
-    """doc_id, n (elements), sid (hash of the set, null if it is empty), sketch and elements per row of ``docs``."""
+    """doc_id, n (elements), sid (hash of the set, null if it is empty), sketches and elements per row of ``docs``."""
 
     def per_batch(batch: pa.RecordBatch):
         hashes = _WordHashes()
@@ -95,14 +121,18 @@ def ngram_sets(docs: DataFrame, n: int = NGRAM_WORDS) -> DataFrame:
             sids = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
             cuts = pa.array(np.cumsum([0, *sizes]).astype(np.int32))
             words = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH_WORDS)
+            fine = [fine_sketch(s) for s in sets]
+            fine_cuts = pa.array(np.cumsum([0, *map(len, fine)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).slice(start, end - start), pa.array(sizes, pa.int32()), pa.array(sids, pa.int64()),
                 pa.ListArray.from_arrays(words, pa.array(np.concatenate([sketch(s) for s in sets]))),
+                pa.ListArray.from_arrays(fine_cuts, pa.array(np.concatenate(fine))),
                 pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(sets))),
-            ], ["doc_id", "n", "sid", "sketch", "elements"])
+            ], ["doc_id", "n", "sid", "sketch", "fine", "elements"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return map_rows(rows, per_batch, "doc_id bigint, n int, sid bigint, sketch array<bigint>, elements array<bigint>")
+    schema = "doc_id bigint, n int, sid bigint, sketch array<bigint>, fine array<bigint>, elements array<bigint>"
+    return map_rows(rows, per_batch, schema)
 
 
 def frequent_elements(sets: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -263,13 +293,29 @@ def _of_paired(pairs: DataFrame, sets: DataFrame, firsts: DataFrame, column: str
 
 
 def _not_apart(pairs: DataFrame, sets: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
-    """Distinct ``pairs`` (a, b) that their sketches allow to be linked."""
-    pairs = write_through(pairs.distinct(), "met-pairs")
+    """Those of the distinct ``pairs`` (a, b) that their sketches allow to be linked."""
     sketches = _of_paired(pairs, sets, firsts, "sketch")
     both = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.sid")).join(sketches.alias("y"), F.col("b") == F.col("y.sid"))
     return both.filter(_in_common("x", "y", percent)).select("a", "b")
 
 
+def _finely_near(pairs: DataFrame, sets: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) that their fine sketches allow to be linked."""
+    fine = _of_paired(pairs, sets, firsts, "fine")
+    both = (
+        pairs.join(fine.alias("x"), F.col("a") == F.col("x.sid")).join(fine.alias("y"), F.col("b") == F.col("y.sid"))
+        .select("a", "b", (F.col("x.size").cast("bigint") + F.col("y.size")).alias("size"), F.col("x.fine").alias("of_a"), F.col("y.fine").alias("of_b"))
+    )
+
+    def per_batch(batch: pa.RecordBatch):
+        of_a, of_b = ([v.values.to_numpy() for v in batch.column(k)] for k in (3, 4))
+        apart = np.array([bits_apart(x, y) for x, y in zip(of_a, of_b)])
+        near = apart * (100 + percent) <= batch.column(2).to_numpy() * (100 - percent)
+        yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return map_rows(both, per_batch, "a bigint, b bigint")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) that are linked, from their elements.
 
@@ -299,8 +345,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, firsts: DataFrame, percent: int)
 
 
 def _marked(buckets: DataFrame) -> np.ndarray:
-    """Bits of the numbers that the upper bits of the ``buckets`` make; a fixed number of bytes for any number of buckets."""
-    bit = F.shiftrightunsigned("bucket", 64 - FILTER_BITS) + 1
+    """Bits of the numbers that the lower bits of the ``buckets`` make; a fixed number of bytes for any number of buckets.
+
+    Not the upper ones: rare elements come by value, so the first ones of all sets have them much alike.
+    """
+    bit = F.col("bucket").bitwiseAND((1 << FILTER_BITS) - 1) + 1
     rows = buckets.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
     out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
     for part, bits in rows.toLocalIterator():
@@ -317,7 +366,7 @@ def _members(sets: DataFrame, frequent, boundary: int, percent: int) -> DataFram
     marks = sets.sparkSession.sparkContext.broadcast(_marked(shared))
 
     def per_batch(batch: pa.RecordBatch):
-        at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+        at = batch.column(0).to_numpy().view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
         some = (marks.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
         yield batch.filter(pa.array(some == 1))
 
@@ -342,37 +391,54 @@ def set_links(sets: DataFrame, percent: int = PERCENT, boundary: int | None = No
     entry = F.struct("sid", "size", "place", "large")
     first = members.groupBy("bucket", "class").agg(F.min(entry).alias("y"))
     meeting = members.alias("x").join(first, ["bucket", "class"]).filter(F.col("x.sid") != F.col("y.sid"))
-    tried = write_through(
-        _not_apart(meeting.filter(_may_link("x", "y", percent)).select(*named("x", "y")), filled, firsts, percent), "first-pairs"
-    )
+    seen = write_through(meeting.filter(_may_link("x", "y", percent)).select(*named("x", "y")).distinct(), "met-pairs")
+    rough = write_through(_not_apart(seen, filled, firsts, percent), "rough-pairs")
+    tried = write_through(_finely_near(rough, filled, firsts, percent), "first-pairs")
     links = write_through(_linked(tried, filled, firsts, percent), "first-links")
-
     groups = write_through(connected(links), "first-groups")
-    placed = members.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    # In a bucket, members of its largest group meet the others only.
-    counts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    main = (
-        counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("groups"), F.sum("n").alias("n"))
-        .filter("groups > 1").select("bucket", "main", (F.col("n") > FEW_MEMBERS).alias("many"))
+    open_ = write_through(_open_members(members, groups), "open-members")
+
+    def unseen(pairs: DataFrame) -> DataFrame:
+        return pairs.distinct().join(seen, ["a", "b"], "left_anti")
+
+    def fresh(pairs: DataFrame) -> DataFrame:
+        return _not_apart(write_through(unseen(pairs), "fresh-pairs"), filled, firsts, percent)
+
+    def still_near(pairs: DataFrame) -> DataFrame:
+        rest = write_through(_between_groups(pairs, groups).select("a", "b"), "other-pairs")
+        return write_through(_finely_near(rest, filled, firsts, percent), "near-pairs")
+
+    def regrouped(more: DataFrame) -> DataFrame:
+        known = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        return write_through(connected(known.unionByName(more)), "more-groups")
+
+    # Most others belong to the largest group too, and meet few of its sets to join it.
+    many = open_.filter("many").drop("many")
+    drawn = many.groupBy("bucket", "class", (F.col("root") == F.col("main")).alias("of_main")).agg(
+        F.min(F.struct(F.xxhash64(F.col("bucket").bitwiseAND(DRAWS - 1), "sid").alias("draw"), "sid", "size", "place", "large", "root")).alias("y")
     )
-    open_ = write_through(placed.join(main, "bucket"), "open-members")
+    others = many.filter("root != main")
+    meeting = others.alias("x").join(drawn, ["bucket", "class"]).filter(F.col("x.root") != F.col("y.root"))
+    rest = still_near(fresh(meeting.filter(_may_link("x", "y", percent)).select(*named("x", "y"))))
+    if not rest.isEmpty():
+        now = _nearest(_between_groups(rest, groups), filled, firsts)
+        groups = regrouped(write_through(_linked(now, filled, firsts, percent), "drawn-links"))
+        many = write_through(_open_members(many.select(*members.columns), groups).drop("many"), "still-open-members")
 
     def met(rows: DataFrame, *filters) -> DataFrame:
-        others = rows.filter(F.col("root") != F.col("main")).withColumn(
-            "near", F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1))))
-        )
-        on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.near") == F.col("y.class")) & (F.col("x.root") != F.col("y.root"))
+        band = lambda k: F.floor((F.col("class") + k) / BAND)
+        # Sets of neighbouring classes may be in another band.
+        others = rows.filter(F.col("root") != F.col("main")).withColumn("near", F.explode(F.array_distinct(F.array(band(-1), band(1)))))
+        on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.near") == F.col("y.band")) & (F.col("x.root") != F.col("y.root"))
         on &= (F.col("y.root") == F.col("y.main")) | (F.col("x.sid") < F.col("y.sid"))
         for f in (_may_link, *filters):
             on &= f("x", "y", percent)
-        return others.alias("x").join(rows.alias("y"), on).select(*named("x", "y"))
+        return others.alias("x").join(rows.withColumn("band", band(0)).alias("y"), on).select(*named("x", "y"))
 
     # Pairs of buckets with few members are few; in the others, sketches are compared before a pair is made.
-    many = open_.filter("many")
     sids = many.select(F.col("sid").alias("a"), F.col("sid").alias("b")).distinct()
     sketched = write_through(many.join(_of_paired(sids, filled, firsts, "sketch").drop("size"), "sid"), "sketched-members")
-    pairs = _not_apart(met(open_.filter("not many")), filled, firsts, percent).unionByName(met(sketched, _in_common).distinct())
-    rest = write_through(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "other-pairs")
+    rest = still_near(fresh(met(open_.filter("not many"))).unionByName(unseen(met(sketched, _in_common))).distinct())
     # One pair of two groups may join them and spare the others: the one whose sketches differ least goes first.
     for last in (False, False, True):
         rest = write_through(_between_groups(rest, groups), "open-pairs")
@@ -383,12 +449,24 @@ def set_links(sets: DataFrame, percent: int = PERCENT, boundary: int | None = No
         if not last:
             rest = rest.select("a", "b").join(now.select("a", "b"), ["a", "b"], "left_anti")
         if not more.isEmpty():
-            groups = write_through(
-                connected(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "more-groups"
-            )
+            groups = regrouped(more)
     return groups
 
 
+def _open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """``members`` of the buckets that have two groups and more, with their root, that of the bucket's largest group (main), and whether there are many.
+
+    Members of the largest group meet the others only.
+    """
+    placed = members.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    counts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    main = (
+        counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("groups"), F.sum("n").alias("n"))
+        .filter("groups > 1").select("bucket", "main", (F.col("n") > FEW_MEMBERS).alias("many"))
+    )
+    return placed.join(main, "bucket")
+
+
 def _between_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets in different groups, with the groups (of_a, of_b) in order."""
     for k in "ab":

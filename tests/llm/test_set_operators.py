@@ -321,3 +321,61 @@ def test_elements_of_paired_sets_are_not_written_again(spark, monkeypatch):
     got = ngram_join._linked(pairs, sets, sets.select("sid", "row"), 85).collect()
     assert {tuple(r) for r in got} == {(10, 20), (10, 30), (20, 30)}
     assert "elements" not in written
+
+
+def test_others_of_a_large_group_join_it_before_all_meet(spark, monkeypatch):
+    r = random.Random(17)
+    base, hashes = [f"w{i}" for i in range(400)], ngram_join._WordHashes()
+
+    def edited(n):
+        copy = list(base)
+        for k in r.sample(range(2, 398, 5), n):
+            copy[k] = f"x{r.random()}"
+        return " ".join(copy)
+
+    # Six edits and two are linked, six and six are not; the set all meet first is one of six.
+    sid = lambda t: ngram_join.xxhash.xxh3_64_intdigest(ngram_join.ngrams(t, hashes).tobytes())
+    far = [edited(6) for _ in range(40)]
+    close = [t for t in (edited(2) for _ in range(200)) if sid(t) - (1 << 63) > min(map(sid, far)) - (1 << 63)][:40]
+    assert len(close) == 40
+    met, write = [], ngram_join.write_through
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "other-pairs":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "write_through", counted)
+    got = ngram_join.jaccard_groups(documents(spark, list(enumerate(far + close))), boundary=-1).collect()
+    assert {g["component_id"] for g in got} == {0}
+    assert met[-1] < 40
+
+
+def test_elements_of_long_sets_move_only_if_they_may_be_linked(spark, monkeypatch):
+    r = random.Random(18)
+    base = [f"w{i}" for i in range(3000)]
+
+    def edited(n):
+        copy = list(base)
+        for k in r.sample(range(2, 2998, 5), n):
+            copy[k] = f"x{r.random()}"
+        return " ".join(copy)
+
+    made, plain = [], ngram_join._linked
+    monkeypatch.setattr(ngram_join, "_linked", lambda pairs, *a: made.append(pairs.count()) or plain(pairs, *a))
+    docs = [(i, edited(130)) for i in range(6)] + [(6, edited(10)), (7, " ".join([*base[:1400], *(f"y{i}" for i in range(1600))]))]
+    got = ngram_join.jaccard_groups(documents(spark, docs), boundary=-1).collect()
+    assert by_row(map(tuple, got)) == by_row(brute_groups(docs))
+    linked = sum(100 * len(a & b) >= 85 * len(a | b) for k, a in enumerate(brute_sets(docs)) for b in brute_sets(docs)[:k])
+    assert sum(made) <= linked
+
+
+def test_bits_apart_never_exceed_the_elements_apart():
+    r = np.random.default_rng(19)
+    for n, m, common in ((1500, 1400, 1300), (2100, 2000, 1900), (3000, 1200, 1200), (9000, 1100, 5), (1030, 900, 800)):
+        both = np.unique(r.integers(-(2**63), 2**63 - 1, n + m - common))
+        x, y = np.sort(both[r.permutation(len(both))[:n]]), both
+        apart = ngram_join.bits_apart(ngram_join.fine_sketch(x), ngram_join.fine_sketch(y))
+        assert apart <= len(y) - len(x) and apart % 2 == (len(y) - len(x)) % 2 or len(x) <= 1024
+        assert apart == ngram_join.bits_apart(ngram_join.fine_sketch(y), ngram_join.fine_sketch(x))
