@@ -52,6 +52,8 @@ FEW_MEMBERS = 8
 # Bits, as a power of two, that tell which buckets may have two sets.
 FILTER_BITS = 26
 _ELEMENTS_AT_ONCE = 300_000
+# Signatures take more than ten columns of that length.
+_SIGNED_AT_ONCE = 100_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TEXT_AT_ONCE = 1 << 20
 _VOCABULARY = 100_000
@@ -182,7 +184,7 @@ def signatures(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], boundar
 
     def per_batch(batch: pa.RecordBatch):
         names, counts = shared.value
-        for start, end in in_slices(batch.column(1).to_pylist(), _ELEMENTS_AT_ONCE):
+        for start, end in in_slices(batch.column(1).to_pylist(), _SIGNED_AT_ONCE):
             part = batch.slice(start, end - start)
             sizes = part.column(1).to_numpy().astype(np.int64)
             sids = part.column(0).fill_null(0).to_numpy()
