@@ -73,15 +73,20 @@ def map_rows(
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Jobs that run inside hand batches of at most so many rows to Python: for rows of many kilobytes."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "1m"):
+    """Jobs that run inside hand batches of at most so many rows and about ``size`` bytes to Python: for rows of many kilobytes.
+
+    A batch stands in buffers of twice its size and more, on either side, outside the heap.
+    """
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(setting, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def running_total(rows: DataFrame, order: list[Column], value: str, out: str) -> DataFrame:

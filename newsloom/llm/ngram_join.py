@@ -17,6 +17,7 @@ Pairs are compared by sketches, which grow with the sets, before their elements
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ SAMPLE_BITS = 5
 BROADCAST_SETS = 1_000_000
 # Words of 64 bits in the sketch of a set: the parities of its elements by hash.
 SKETCH_WORDS = 16
+# Words it is folded to where it moves with each member of a large bucket.
+FOLDED_WORDS = 8
 # Larger sets have a second one too, of a bit for each element at least, up to so many bits.
 FINE_BITS = 1 << 20
 # Classes of sizes that meet in a part of a bucket.
@@ -115,8 +118,9 @@ def bits_apart(x: np.ndarray, y: np.ndarray) -> int:
 def ngram_sets(docs: DataFrame, n: int = NGRAM_WORDS) -> DataFrame:
     """doc_id, n (elements), sid (hash of the set, null if it is empty), sketches and elements per row of ``docs``."""
 
+    hashes = _WordHashes()
+
     def per_batch(batch: pa.RecordBatch):
-        hashes = _WordHashes()
         for start, end, texts in text_slices(batch.column(1), _TEXT_AT_ONCE):
             sets = [ngrams(t, hashes, n) for t in texts]
             sizes = [len(s) for s in sets]
@@ -174,16 +178,19 @@ def _first_elements(flat: np.ndarray, sizes: np.ndarray, weight: np.ndarray, tak
     return own[chosen], flat[chosen], place[chosen]
 
 
-def signatures(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], boundary: int | None, percent: int = PERCENT) -> DataFrame:
+def signatures(
+    sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], boundary: int | None, percent: int = PERCENT, marks: np.ndarray | None = None
+) -> DataFrame:
     """List entries and subsets: bucket, sid, size, place of the element in its set, and whether the set is large.
 
     Sets above ``boundary`` enter the lists of their first elements, and so do smaller ones that may be linked with
     such a set; sets up to it list their subsets. Without a boundary, the entries of all sets for a sample of lists.
+    With the bits of :func:`_marked`, only rows whose bucket is marked leave the task.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(frequent)
+    shared = sets.sparkSession.sparkContext.broadcast((*frequent, marks))
 
     def per_batch(batch: pa.RecordBatch):
-        names, counts = shared.value
+        names, counts, bits = shared.value
         for start, end in in_slices(batch.column(1).to_pylist(), _SIGNED_AT_ONCE):
             part = batch.slice(start, end - start)
             sizes = part.column(1).to_numpy().astype(np.int64)
@@ -217,10 +224,14 @@ def signatures(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], boundar
                     buckets.append(names_of.ravel())
                     owners.append(np.repeat(of, len(x)))
                     places.append(np.full(names_of.size, -1))
-            own = np.concatenate(owners)
+            bucket, own, place = map(np.concatenate, (buckets, owners, places))
+            if bits is not None:
+                at = bucket.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+                some = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                bucket, own, place = bucket[some], own[some], place[some]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(buckets)), pa.array(sids[own]), pa.array(sizes[own].astype(np.int32)),
-                pa.array(np.concatenate(places).astype(np.int32)), pa.array(sizes[own] > limit),
+                pa.array(bucket), pa.array(sids[own]), pa.array(sizes[own].astype(np.int32)),
+                pa.array(place.astype(np.int32)), pa.array(sizes[own] > limit),
             ], ["bucket", "sid", "size", "place", "large"])
 
     return map_rows(sets.select("sid", "n", "elements"), per_batch, _ROWS)
@@ -273,22 +284,38 @@ def _may_link(x: str, y: str, percent: int):
     return sizes & ((px < 0) | ((F.col(f"{x}.large") | F.col(f"{y}.large")) & (bound >= common)))
 
 
-def _apart(x: str, y: str):
+def _folded(sketch: str):
+    """A sketch as ``FOLDED_WORDS`` words: the parities of more elements each."""
+    return F.array(*(
+        reduce(lambda x, y: x.bitwiseXOR(y), [F.col(sketch)[j] for j in range(k, SKETCH_WORDS, FOLDED_WORDS)]) for k in range(FOLDED_WORDS)
+    ))
+
+
+def _apart(x: str, y: str, words: int = SKETCH_WORDS):
     """Bits in which two sketches differ; each stands for an element at least that only one of the sets has."""
-    return sum(F.bit_count(F.col(f"{x}.sketch")[k].bitwiseXOR(F.col(f"{y}.sketch")[k])) for k in range(SKETCH_WORDS))
+    return sum(F.bit_count(F.col(f"{x}.sketch")[k].bitwiseXOR(F.col(f"{y}.sketch")[k])) for k in range(words))
 
 
-def _in_common(x: str, y: str, percent: int):
+def _in_common(x: str, y: str, percent: int, words: int = SKETCH_WORDS):
     """Whether the sketches of two sets allow a link."""
     both = F.col(f"{x}.size").cast("bigint") + F.col(f"{y}.size")
-    return _apart(x, y) * (100 + percent) <= both * (100 - percent)
+    return _apart(x, y, words) * (100 + percent) <= both * (100 - percent)
+
+
+def _in_common_if_folded(x: str, y: str, percent: int):
+    return _in_common(x, y, percent, FOLDED_WORDS)
 
 
 def _of_paired(pairs: DataFrame, sets: DataFrame, firsts: DataFrame, column: str) -> DataFrame:
     """sid, size and ``column``, once for each set of the ``pairs`` (a, b)."""
-    sids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    named = write_through(firsts.join(sids, "sid", "left_semi").select("row"), "paired-sets")
-    asked = F.broadcast(named) if named.count() <= BROADCAST_SETS else named
+    ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
+    sids = write_through(ends.distinct(), "paired-sets")
+    few = sids.count() <= BROADCAST_SETS
+
+    def near(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if few else rows
+
+    asked = near(firsts.join(near(sids), "sid", "left_semi").select("row"))
     return write_through(
         sets.select("row", "sid", F.col("n").alias("size"), column).join(asked, "row", "left_semi").drop("row"), f"set-{column}"
     )
@@ -365,15 +392,8 @@ def _members(sets: DataFrame, frequent, boundary: int, percent: int) -> DataFram
     shared = write_through(
         rows.groupBy("bucket").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low < high").select("bucket"), "shared-buckets"
     )
-    marks = sets.sparkSession.sparkContext.broadcast(_marked(shared))
-
-    def per_batch(batch: pa.RecordBatch):
-        at = batch.column(0).to_numpy().view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
-        some = (marks.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-        yield batch.filter(pa.array(some == 1))
-
-    # Most buckets have one set: their rows stay where they are.
-    few = map_rows(rows, per_batch, _ROWS)
+    # Most buckets have one set: their rows stay where they are, in the Python worker that makes them.
+    few = signatures(sets, frequent, boundary, percent, _marked(shared))
     return few.join(shared, "bucket").distinct().withColumn("class", size_class("size", percent))
 
 
@@ -400,11 +420,9 @@ def set_links(sets: DataFrame, percent: int = PERCENT, boundary: int | None = No
     groups = write_through(connected(links), "first-groups")
     open_ = write_through(_open_members(members, groups), "open-members")
 
-    def unseen(pairs: DataFrame) -> DataFrame:
-        return pairs.distinct().join(seen, ["a", "b"], "left_anti")
-
     def fresh(pairs: DataFrame) -> DataFrame:
-        return _not_apart(write_through(unseen(pairs), "fresh-pairs"), filled, firsts, percent)
+        unseen = pairs.distinct().join(seen, ["a", "b"], "left_anti")
+        return _not_apart(write_through(unseen, "fresh-pairs"), filled, firsts, percent)
 
     def still_near(pairs: DataFrame) -> DataFrame:
         rest = write_through(_between_groups(pairs, groups).select("a", "b"), "other-pairs")
@@ -439,8 +457,9 @@ def set_links(sets: DataFrame, percent: int = PERCENT, boundary: int | None = No
 
     # Pairs of buckets with few members are few; in the others, sketches are compared before a pair is made.
     sids = many.select(F.col("sid").alias("a"), F.col("sid").alias("b")).distinct()
-    sketched = write_through(many.join(_of_paired(sids, filled, firsts, "sketch").drop("size"), "sid"), "sketched-members")
-    rest = still_near(fresh(met(open_.filter("not many"))).unionByName(unseen(met(sketched, _in_common))).distinct())
+    sketches = _of_paired(sids, filled, firsts, "sketch").select("sid", _folded("sketch").alias("sketch"))
+    sketched = write_through(many.join(sketches, "sid"), "sketched-members")
+    rest = still_near(fresh(met(open_.filter("not many")).unionByName(met(sketched, _in_common_if_folded))))
     # One pair of two groups may join them and spare the others: the one whose sketches differ least goes first.
     for last in (False, False, True):
         rest = write_through(_between_groups(rest, groups), "open-pairs")

@@ -7,6 +7,7 @@ import tempfile
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from newsloom.llm import ngram_join, presence_masks, run_queries, word_runs
@@ -285,6 +286,50 @@ def test_the_boundary_follows_the_cost(spark):
     assert low < 57 and high >= low
 
 
+def test_a_task_of_the_join_holds_one_worker_and_small_batches(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from newsloom.llm.common import map_rows, small_batches
+
+    r = random.Random(20)
+    words = [f"w{i}" for i in range(3000)]
+    docs = [(i, " ".join(r.choices(words, k=40 + i % 3))) for i in range(40)]
+    docs += [(100 + i, t) for i, t in docs[:10]] + [(200 + i, f"{t} end") for i, t in docs[:10]]
+    sets = write_through(ngram_join.ngram_sets(documents(spark, docs)), "test-sets").filter("n > 0")
+    frequent = ngram_join.frequent_elements(sets)
+    members = ngram_join._members(sets, frequent, 20, 85)
+    plan = members._jdf.queryExecution().executedPlan().toString()
+    # Two in one stage are two Python processes for each core.
+    assert plan.count("MapInArrow") == 1
+    rows = ngram_join.signatures(sets, frequent, 20).distinct().collect()
+    shared = {b for b in {x["bucket"] for x in rows} if len({x["sid"] for x in rows if x["bucket"] == b}) > 1}
+    got = {tuple(x) for x in members.select(*rows[0].__fields__).collect()}
+    assert got == {tuple(x) for x in rows if x["bucket"] in shared} and got
+
+    def sizes(batch):
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["rows"])
+
+    long = spark.range(0, 600, 1, 1).select(F.repeat(F.lit("abcdefgh"), 2500).alias("text"))
+    with small_batches(spark):
+        assert max(x["rows"] for x in map_rows(long, sizes, "rows bigint").collect()) < 100
+
+
+def test_folded_sketches_never_exceed_the_elements_apart(spark):
+    r = np.random.default_rng(21)
+    rows, apart = [], []
+    for n, edits in ((50, 3), (400, 30), (900, 900)):
+        both = np.unique(r.integers(-(2**63), 2**63 - 1, n + edits))
+        x, y = both[:n], both[edits:]
+        rows.append((n, ngram_join.sketch(x).tolist(), ngram_join.sketch(y).tolist()))
+        apart.append(len(np.setxor1d(x, y)))
+    table = spark.createDataFrame(rows, "n int, x array<bigint>, y array<bigint>")
+    x = table.select("n", ngram_join._folded("x").alias("sketch")).alias("x")
+    y = table.select("n", ngram_join._folded("y").alias("sketch")).alias("y")
+    bits = ngram_join._apart("x", "y", ngram_join.FOLDED_WORDS)
+    got = [k[0] for k in x.join(y, "n").orderBy("n").select(bits).collect()]
+    assert all(0 < k <= n for k, n in zip(got, apart)) and got[2] > 200
+
+
 def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     r = random.Random(16)
     base = [f"w{i}" for i in range(400)]
